@@ -64,8 +64,7 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1
 def _power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < n:
-        n = max(n, 2 * len(have), 1 << 14)
-        step = np.full(n, _BASE if kind == "up" else _INVERSE, np.uint64)
+        step = np.full(max(n, 2 * len(have), 1 << 14), _BASE if kind == "up" else _INVERSE, np.uint64)
         step[0] = 1
         have = _powers[kind] = np.multiply.accumulate(step)
     return have[:n]

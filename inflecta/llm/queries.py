@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inflecta.llm import langid_ppm, spm_codec, toxicity_fm
+from inflecta.llm import fingerprint, langid_ppm, line_dedup, simhash, spm_codec, suffix_dedup, toxicity_fm
 from inflecta.llm._common import table
 
 
@@ -20,12 +20,28 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_ppm.predict(documents, langid_ppm.fit(documents))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return spm_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op9_sentencepiece)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_language_id, op5_suffix_dedup, op7_fingerprints, op8_simhash, op9_sentencepiece, op10_line_dedup)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.oracle_sql()}
