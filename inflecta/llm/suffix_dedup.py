@@ -262,9 +262,13 @@ def window_cover(parts: DataFrame, length: int, gram: int) -> DataFrame:
     return windows.join(repeated, "w").select("d", "k", "s", (F.col("s") + length).alias("e")).distinct()
 
 
-def cover(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(d, k, t, spans): every row's id, key and text with the unordered spans (s, e) that it is to lose, null if none."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("d"), row_key(F.col("doc_id"), F.col("text")).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
+def keyed(documents: DataFrame) -> DataFrame:
+    """(d, k, t): id, key and text of every row, null texts empty."""
+    return documents.select(F.col("doc_id").cast("long").alias("d"), row_key(F.col("doc_id"), F.col("text")).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
+
+
+def lost_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(d2, k2, spans) of the rows (d, k, t) that lose anything: the spans (s, e), unordered, to be clipped to the text."""
     reach = length - gram
     found = anchor_table(rows, length, gram)
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -276,8 +280,7 @@ def cover(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
     spans = identical.union(tree_cover(snippets(rows, wanted.where(F.col("m") <= hot), length, gram), length, gram))
     if many.where(F.col("m") > hot).limit(1).count():
         spans = spans.union(window_cover(snippets(rows, wanted.where(F.col("m") > hot), length, gram), length, gram))
-    lost = spans.groupBy("d", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select(F.col("d").alias("d2"), F.col("k").alias("k2"), "spans")
-    return rows.join(lost, F.col("d").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2")), "left").select("d", "k", "t", "spans")
+    return spans.groupBy("d", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select(F.col("d").alias("d2"), F.col("k").alias("k2"), "spans")
 
 
 def merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -316,7 +319,10 @@ def removed(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
                 digest.append(hashlib.sha256(kept_bytes(data, runs)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, runs_n)), pa.array(digest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return cover(documents, length, gram, hot).select("d", "t", "spans").mapInArrow(measured, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = keyed(documents)
+    lost = lost_spans(rows, length, gram, hot)
+    joined = rows.join(lost, F.col("d").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2")), "left")
+    return joined.select("d", "t", "spans").mapInArrow(measured, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -324,20 +330,28 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
 
     Where a run begins or ends inside a character, the bytes that are left of it are dropped too.
     """
-    spans = cover(documents, length, gram, hot).where("spans is not null").select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("spans").alias("__spans")).dropDuplicates(["__d", "__k"])
-
-    @F.pandas_udf("string")
-    def cut(texts, lists):
-        import pandas as pd
-
-        out = []
-        for text, found in zip(texts, lists, strict=True):
-            data = text.encode("utf-8", "replace")
-            out.append(kept_bytes(data, merged(list(found), len(data))).decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
-
-    changed = spans.select("__d", "__k", cut("__t", "__spans").alias("__new"))
+    lost = lost_spans(keyed(documents), length, gram, hot)
     own = documents.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
-    joined = own.join(changed, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
-    text = F.coalesce("__new", "text")
-    return joined.select(*[text.alias(c) if c == "text" else F.when(F.col("__new").isNotNull(), F.length("__new")).otherwise(F.col("n_chars")).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns])
+    joined = own.join(lost.select(F.col("d2").alias("__d"), F.col("k2").alias("__k"), F.col("spans").alias("__spans")), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left").drop("__key", "__d", "__k")
+    names = documents.columns
+    at, count_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def cut(batches):
+        for b in batches:
+            columns = list(b.columns)
+            spans = columns.pop().to_pylist()
+            hit = [i for i, s in enumerate(spans) if s]
+            if hit:
+                texts = columns[at].to_pylist()
+                for i in hit:
+                    data = texts[i].encode("utf-8", "replace")
+                    texts[i] = kept_bytes(data, merged(spans[i], len(data))).decode("utf-8", "ignore")
+                columns[at] = pa.array(texts, columns[at].type)
+                if count_at is not None:
+                    counts = columns[count_at].to_pylist()
+                    for i in hit:
+                        counts[i] = len(texts[i])
+                    columns[count_at] = pa.array(counts, columns[count_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(cut, documents.schema)
