@@ -271,11 +271,12 @@ def lost_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
     """(d2, k2, spans) of the rows (d, k, t) that lose anything: the spans (s, e), unordered, to be clipped to the text."""
     reach = length - gram
     found = anchor_table(rows, length, gram)
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written down, so that the joins below are of plain tables, whose hot keys Spark can split
+    again = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-again")
     repeated = written(found.join(again, "h").select("h", "s", "d", "k", "p"), "suffix-anchors")
     classes = written(repeated.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "p")).alias("one")), "suffix-classes")
     identical = repeated.join(classes.where("n > 1").select("h", "s"), ["h", "s"]).select("d", "k", (F.col("p") - reach).alias("s"), (F.col("p") + length).alias("e"))
-    many = classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    many = written(classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "suffix-many")
     wanted = classes.join(many, "h").select("h", "m", "one.d", "one.k", "one.p")
     spans = identical.union(tree_cover(snippets(rows, wanted.where(F.col("m") <= hot), length, gram), length, gram))
     if many.where(F.col("m") > hot).limit(1).count():
