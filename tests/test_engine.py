@@ -1,0 +1,186 @@
+"""The engine against hand-derived values and a plain-Python model."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from inflecta.plans.engine import DocIndex, MorphEngine
+from inflecta.sources import fixture as X
+from tests.model import Model
+
+RU = (X.RU_MODELS, X.RU_LEMMAS, [])
+EN = (X.EN_MODELS, X.EN_LEMMAS, X.EN_PREFIXES)
+DOC = "The cats saw two cities; a cat walked, talked"
+
+
+@pytest.fixture(scope="module")
+def engine(spark):
+    return MorphEngine(spark, X.lexicon(spark, ("ru", "en"), corpus=False))
+
+
+@pytest.fixture(scope="module")
+def english(spark):
+    return MorphEngine(spark, X.lexicon(spark, ("en",), corpus=False))
+
+
+@pytest.fixture(scope="module")
+def model():
+    return Model({"ru": RU, "en": EN})
+
+
+def tokens(spark, words):
+    return spark.createDataFrame([(w,) for w in words], "token string")
+
+
+def by_token(df):
+    out = {}
+    for r in df.orderBy("token", "rank").collect():
+        out.setdefault(r["token"], []).append(r["word"])
+    return out
+
+
+CASES = {
+    "cats": (4, ["cat"], ["cat", "cats"]),
+    "walks": (5, ["walk"], ["walk", "walks", "walked", "walking"]),
+    "saw": (3, ["saw", "see"], ["saw", "saws", "see", "sees"]),
+    "rewalked": (6, ["rewalk"], ["rewalk", "rewalks", "rewalked", "rewalking"]),
+    "unrewalks": (5, ["unrewalk"], ["unrewalk", "unrewalks", "unrewalked", "unrewalking"]),
+    "stalked": (6, ["stalk"], ["stalk", "stalks", "stalked", "stalking"]),
+    "velocities": (6, ["velocity"], ["velocity", "velocities"]),
+    "felicity": (4, ["felicity"], ["felicity", "felicities"]),
+    "pity": (3, [], []),
+    "colder": (6, ["cold"], ["cold", "colder", "coldest"]),
+}
+
+
+def test_analysis(spark, english):
+    words = tokens(spark, CASES)
+    known = {r["token"]: r["known_len"] for r in english.known_suffix(words).collect()}
+    lemmas, forms = by_token(english.lemmas(words)), by_token(english.word_forms(words))
+    for w, (n, some, every) in CASES.items():
+        assert (known.get(w, 0), lemmas.get(w, []), forms.get(w, [])) == (n, some, every), w
+
+
+def test_frequency_of_a_lemma_in_two_models(spark, english):
+    row = english.lemmas(tokens(spark, ["walks"])).first()
+    assert (row["word"], row["frequency"]) == ("walk", 1)
+
+
+SEARCHES = {
+    "cat": "cat\ncats\n", "!cat": "cat\ncats\n", "!cats": "cats\n", "!see": "saw\n", "city": "cities\n", "two city": "two cities\n",
+    "cat walking": "cat walked\n", "saw cities": "", "two\ncats\nwalk": "cat\ncats\ntwo\nwalked\n", "en|walks": "walked\n",
+    "ru|cat": "cat\ncats\n", "e|saw": "saw\n", "": "", " \n\t\n": "",
+}
+
+
+@pytest.mark.parametrize("which", ["engine", "english"])
+def test_search(spark, which, request):
+    e = request.getfixturevalue(which)
+    index = e.index(spark.createDataFrame([(1, DOC)], "doc_id long, text string"))
+    phrases = spark.createDataFrame(list(enumerate(SEARCHES)), "phrase_id long, phrase string")
+    got = {r["phrase_id"]: r["result"] for r in e.search(index, phrases).collect()}
+    assert {p: got.get(i, "") for i, p in enumerate(SEARCHES)} == SEARCHES
+    pairs = phrases.select(F.lit(1).cast("long").alias("id"), "phrase_id")
+    contained = {r["phrase_id"]: r["contained"] for r in e.contains(index, phrases, pairs).collect()}
+    assert contained == {i: int(bool(r)) for i, r in enumerate(SEARCHES.values())}
+
+
+PAIRS = [
+    ("россии президенту путину ", "россии президент путин ", 1.0, 1.0),
+    ("России ", "Россия ", 1.0, 1.0),
+    ("палка, палка огуречик вот и вышел человечек", "точка, точка запятая - вышла рожица кривая", 11 / 79, 11 / 79),
+    (DOC, "cat city", 16 / 45, 16 / 45),
+    ("cat", "cats saw cities", 0.0, 1.0),
+    ("", "", 1.0, 1.0),
+]
+
+
+def test_scores(spark, engine, model):
+    rows = spark.createDataFrame([(i, d, s) for i, (d, s, _, _) in enumerate(PAIRS)], "id long, d string, s string")
+    for guard in (True, False):
+        got = {r["id"]: r["score"] for r in engine.intersect_pairs(rows, "id", "d", "s", guard).collect()}
+        for i, (d, s, one, two) in enumerate(PAIRS):
+            assert got[i] == pytest.approx(one if guard else two), (d, s, guard)
+            assert model.intersect(d, s, guard) == pytest.approx(got[i])
+
+
+def test_scores_without_a_lexicon(spark):
+    rows = spark.createDataFrame([(0, *PAIRS[0][:2])], "id long, d string, s string")
+    assert MorphEngine.identity(spark).intersect_pairs(rows, "id", "d", "s").first()["score"] == pytest.approx(13 / 47)
+
+
+def test_raw_search_is_not_lower_cased(spark, english):
+    index = english.index(spark.createDataFrame([(1, "cat")], "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "Cat"), (2, "cat")], "search_id long, search string")
+    got = english.intersect(index, asked, guard=False, normalize_search=False).collect()
+    assert [(r["phrase_id"], r["score"]) for r in got] == [(2, 1.0)]
+
+
+def test_documents_as_they_are_written(spark, english):
+    index = english.index(spark.createDataFrame([(1, "Cat cat")], "doc_id long, text string"), normalize=False)
+    assert sorted(r["surface"] for r in index.postings.collect()) == ["Cat", "cat"]
+
+
+def test_normalize_phrase(spark, engine, english):
+    cases = {"палка, палкой огуречик вот и вышел человечек": "палка палка огуречик вот и выйти человечек ", DOC: "the cat see two city a cat walk talk ", "Cats walked 42 x_1": "cat walk 42 x_1 ", "a": "", "": "", "cities": "city "}
+    rows = spark.createDataFrame([(k, k) for k in cases], "id string, t string")
+    assert {r["id"]: r["normalized"] for r in engine.normalize_phrase(rows, "id", "t").collect()} == cases
+    latin = {k: v for k, v in cases.items() if "п" not in k}
+    got = {r["id"]: r["normalized"] for r in english.normalize_phrase(rows, "id", "t").collect()}
+    assert {k: got[k] for k in latin} == latin
+
+
+def test_contains_pairs(spark, english):
+    rows = spark.createDataFrame([(1, DOC, "walking"), (2, DOC, "dog"), (3, None, "dog"), (4, "x", None)], "id long, d string, p string")
+    assert {r["id"]: r["contained"] for r in english.contains_pairs(rows, "id", "d", "p").collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+
+
+def test_index_round_trip(spark, english, tmp_path):
+    index = english.index(spark.createDataFrame([(1, DOC), (2, ""), (3, None)], "doc_id long, text string"))
+    index.write(str(tmp_path / "index"))
+    again = DocIndex.read(spark, str(tmp_path / "index"))
+    assert sorted(map(tuple, again.postings.collect())) == sorted(map(tuple, index.postings.collect()))
+    assert sorted(map(tuple, again.sizes.collect())) == [(1, 45), (2, 0), (3, 0)]
+
+
+def test_empty_tables(spark, engine):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    index = engine.index(empty)
+    assert index.postings.count() == 0
+    assert engine.search(index, spark.createDataFrame([(1, "cat")], "phrase_id long, phrase string")).count() == 0
+
+
+def random_text(rng, n):
+    stems = ["cat", "walk", "saw", "cit", "cold", "s", "росси", "путин", "вы", "палк", "xyz", "talk", "stalk", "rewalk", "unre", "42", "x_1"]
+    ends = ["", "s", "ed", "ing", "y", "ies", "er", "est", "ee", "aw", "я", "и", "а", "у", "йти", "шла", "ой", "ly"]
+    return rng.choice([" ", ", ", "\n"]).join(rng.choice(stems) + rng.choice(ends) for _ in range(n))
+
+
+def test_against_the_model(spark, engine, model):
+    """Random texts of both languages: the carried language, searches, scores and normal forms."""
+    rng = random.Random(4)
+    rows = [(i, random_text(rng, rng.randint(0, 14)), random_text(rng, rng.randint(0, 4)).replace("\n", " ")) for i in range(120)]
+    table = spark.createDataFrame(rows, "id long, d string, s string")
+    index = engine.index(table, "id", "d")
+    words = {r["id"]: [(w["surface"], list(w["keys"])) for w in r["words"]] for r in index.words.collect()}
+    for i, d, _ in rows:
+        from tests.model import TOKEN
+
+        assert words[i] == model.describe(TOKEN.findall(d.lower())), d
+    pairs = table.select("id", F.col("id").alias("phrase_id"))
+    found = {r["id"]: r["result"] for r in engine.search(index, table, id_col="id", text_col="s", same_id=True).collect()}
+    scores = {r["id"]: r["score"] for r in engine.intersect(index, table, "id", "s", False, True, pairs, True).collect()}
+    normal = {r["id"]: r["normalized"] for r in engine.normalize_phrase(table, "id", "d").collect()}
+    for i, d, s in rows:
+        assert found.get(i, "") == model.search(d.lower(), s.lower()), (d, s)
+        assert scores[i] == pytest.approx(model.intersect(d, s, False)), (d, s)
+        assert normal[i] == model.normalize_phrase(d), d
+
+
+def test_scores_stay_in_bounds_and_guard_only_lowers(spark, engine):
+    rng = random.Random(9)
+    table = spark.createDataFrame([(i, random_text(rng, 6), random_text(rng, 6)) for i in range(60)], "id long, d string, s string")
+    one = {r["id"]: r["score"] for r in engine.intersect_pairs(table, "id", "d", "s").collect()}
+    two = {r["id"]: r["score"] for r in engine.intersect_pairs(table, "id", "d", "s", False).collect()}
+    assert all(0 <= one[i] <= two[i] <= 1 for i in one) and len(one) == 60
