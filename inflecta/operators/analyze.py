@@ -60,9 +60,9 @@ def variations(found: DataFrame, flex: DataFrame, lemmas_only: bool) -> DataFram
     return numbered.join(models, ["lang", "model_no"]).select("token", "lang", word.alias("word"), F.struct("n", "form_no").alias("first"), "ancode")
 
 
-def ranked_words(found: DataFrame, flex: DataFrame, lemmas_only: bool) -> DataFrame:
+def ranked_words(found: DataFrame, flex: DataFrame, lemmas_only: bool, distinct_ancodes: bool = False) -> DataFrame:
     """(token, lang, word, frequency, ancode, rank) of the lemmas, or of all forms, of each word."""
-    return ranked(variations(found, flex, lemmas_only), ["token", "lang"])
+    return ranked(variations(found, flex, lemmas_only), ["token", "lang"], distinct_ancodes)
 
 
 def lemma_lists(found: DataFrame, flex: DataFrame) -> DataFrame:

@@ -50,11 +50,13 @@ def forms_with_grammar(forms: DataFrame, lexicon: Lexicon) -> DataFrame:
     return forms.join(lexicon.grammar, ["lang", "ancode"], "left")
 
 
-def ranked(words: DataFrame, keys: list[str]) -> DataFrame:
+def ranked(words: DataFrame, keys: list[str], distinct_ancodes: bool = False) -> DataFrame:
     """(keys, words): the distinct values of `word` per key, those met more often first, then in order of `first`.
 
-    frequency is the number of repeats. The ancode of a word is that of its first occurrence.
+    frequency is the number of repeats. The ancode of a word is that of its first occurrence; with distinct_ancodes, the
+    same word under two ancodes stays two.
     """
-    counted = words.groupBy(*keys, "word").agg((F.count("*") - 1).alias("frequency"), F.min("first").alias("first"), F.min_by("ancode", "first").alias("ancode"))
+    same = [*keys, "word", *([F.coalesce("ancode", F.lit("")).alias("__ancode")] if distinct_ancodes else [])]
+    counted = words.groupBy(*same).agg((F.count("*") - 1).alias("frequency"), F.min("first").alias("first"), F.min_by("ancode", "first").alias("ancode")).drop("__ancode")
     order = Window.partitionBy(*keys).orderBy(F.desc("frequency"), "first")
     return counted.withColumn("rank", F.row_number().over(order)).drop("first")

@@ -61,6 +61,20 @@ class MorphEngine:
     def identity(cls, spark: SparkSession) -> MorphEngine:
         return cls(spark)
 
+    def build(self, path: str) -> None:
+        """Writes the lexicon with its derived tables, so that engines from_tables need not derive them again."""
+        self.lexicon.write(path)
+        for name in ("forms", "suffixes", "guesses"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def from_tables(cls, spark: SparkSession, path: str) -> MorphEngine:
+        """From what build has written."""
+        out = cls(spark, source.read_tables(spark, path))
+        for name in ("forms", "suffixes", "guesses"):
+            out.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+        return out
+
     def close(self) -> None:
         """Forgets the derived tables."""
         for name in ("forms", "suffixes", "guesses", "prefixes"):
@@ -101,9 +115,9 @@ class MorphEngine:
         """(token, lang, word, frequency, ancode, rank)."""
         return analyze.ranked_words(self.candidates(words), self.lexicon.flex, True)
 
-    def word_forms(self, words: DataFrame) -> DataFrame:
+    def word_forms(self, words: DataFrame, distinct_ancodes: bool = False) -> DataFrame:
         """All forms of the words that each may be: (token, lang, word, frequency, ancode, rank)."""
-        return analyze.ranked_words(self.candidates(words), self.lexicon.flex, False)
+        return analyze.ranked_words(self.candidates(words), self.lexicon.flex, False, distinct_ancodes)
 
     def detect_language(self, words: DataFrame) -> DataFrame:
         return language.detect(words, self.known_suffix(words), self.lexicon.languages)
@@ -190,8 +204,13 @@ class MorphEngine:
         """(id, phrase_id, result) of the pairs that match; every other pair's result is the empty text."""
         return search.joined_matches(self.matches(index, phrases, **options))
 
-    def contains(self, index: DocIndex, phrases: DataFrame, pairs: DataFrame | None = None, **options) -> DataFrame:
-        """(id, phrase_id, contained): 1 for pairs that match; with pairs (id, phrase_id) also 0 for those that don't."""
+    def contains(self, index: DocIndex, phrases: DataFrame, pairs: DataFrame | None = None, compat: bool = False, **options) -> DataFrame:
+        """(id, phrase_id, contained): 1 for pairs that match; with pairs (id, phrase_id) also 0 for those that don't.
+
+        compat: 1 for every one of pairs, as the original function answers whatever it is asked.
+        """
+        if compat and pairs is not None:
+            return pairs.select("id", "phrase_id", F.lit(1).alias("contained"))
         found = self.matches(index, phrases, **options).select("id", "phrase_id").distinct().withColumn("contained", F.lit(1))
         return found if pairs is None else pairs.join(found, ["id", "phrase_id"], "left").fillna(0, ["contained"])
 

@@ -17,8 +17,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: df as a table in the shared folder, read back. Computed once; survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written; what was computed from them can't be computed again."""
+    jvm = spark.sparkContext._jvm
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
