@@ -143,9 +143,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges, last = written(turned(edges), "simhash-edges"), None
     while True:
         sym = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = turned(sym.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        # the least neighbours are written down, so that joins are of plain tables, whose hot nodes Spark can split
+        least = written(sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "simhash-least")
+        large = written(turned(sym.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))), "simhash-edges")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "simhash-least")
         small = turned(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")))
         edges = written(small, "simhash-edges")
         state = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
@@ -172,7 +173,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     prints = written(rows.mapInArrow(printed, f"doc_id {id_type}, k long, f long"), "simhash-prints")
     nodes = prints.groupBy("f").agg(F.min("doc_id").alias("least"))
     roots = nodes.join(components(links(prints)), nodes["f"] == F.col("v"), "left").select("f", "least", F.coalesce("root", "f").alias("root"))
-    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("f", "component_id")
+    named = written(roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("f", "component_id"), "simhash-named")
     return prints.join(named, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id", "k")
 
 
@@ -181,7 +182,10 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 
     Rows without an id stay if their component has no id at all.
     """
-    found = near_duplicates(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("k").alias("k"))
-    own = documents.withColumn("__k", row_key(F.col("doc_id"), F.col("text")))
-    kept = own.join(found.select(F.col("doc_id").alias("__d"), F.col("k").alias("__k2")), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__k2")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__k"]).select(*documents.columns)
+    names = documents.columns
+    kept = near_duplicates(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("k").alias("k"))
+    rows = documents.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
+    rows = rows.withColumn("row", row_key(doc_id, text))
+    joined = rows.join(kept, doc_id.eqNullSafe(F.col("doc_id")) & (F.col("row") == F.col("k")), "left_semi")
+    return joined.dropDuplicates([f"c{names.index('doc_id')}", "row"]).drop("row").toDF(*names)
