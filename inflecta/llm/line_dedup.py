@@ -11,11 +11,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inflecta.llm._common import row_key
+from inflecta.llm._common import row_key, written
 
 LINES = 3
 
 
+def _compared(documents: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All columns, renamed c0, c1 ..., with new_text, n_lines and n_removed; and the columns' names."""
+    names = documents.columns
+    rows = documents.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
+    rows = rows.withColumn("row", row_key(doc_id, text))
+    lines, at = F.split(text, "\n", -1), F.col("lines")
+    window = lambda i: F.struct(F.xxhash64(at[i], at[i + 1], at[i + 2]).alias("h"), F.xxhash64(at[i + 2], F.lit(1), at[i], at[i + 1]).alias("g"), (F.length(F.trim(F.concat(at[i], at[i + 1], at[i + 2]))) == 0).alias("blank"))
+    places = (
+        rows.select(doc_id.alias("d"), F.col("row").alias("k"), lines.alias("lines"))
+        .where(F.size("lines") >= LINES)
+        .select("d", "k", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - LINES), window)).alias("p", "w"))
+        .where("not w.blank")
+        .select("w.h", "w.g", "d", "k", "p")
+    )
+    # written down, so that the join back is one of plain tables, whose hot windows Spark can split
+    first = written(places.groupBy("h", "g").agg(F.min(F.struct("d", "k", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first"), "line-windows")
+    later = places.join(first, ["h", "g"]).where(F.struct("d", "k", "p") > F.col("first"))
+    removed = later.groupBy("d", "k").agg(F.collect_set("p").alias("gone"))
+    joined = rows.join(removed, doc_id.eqNullSafe(F.col("d")) & (F.col("row") == F.col("k")), "left")
+    covered = F.flatten(F.transform("gone", lambda p: F.sequence(p, p + (LINES - 1))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+    joined = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept)).withColumn("lines", lines)
+    new_text = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform("kept", lambda i: at[i]), "\n"))
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size("lines"))
+    n_removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("kept"))
+    return joined.withColumns({"new_text": new_text, "n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long")}), names
+
+
 def deduplicated(documents: DataFrame) -> DataFrame:
     """All columns with text deduplicated, and n_lines and n_removed.
 
@@ -24,29 +53,17 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     text are one document and keep the same lines; rows with the same id and other texts go by a hash of the text; null
     ids come first. An empty table gives an empty one. The columns n_lines and n_removed are replaced if the table has them.
     """
-    rows = documents.drop("n_lines", "n_removed").withColumn("__k", row_key(F.col("doc_id"), F.col("text")))
-    lines = F.split("text", "\n", -1)
-    at = F.col("__lines")
-    window = lambda i: F.struct(F.xxhash64(at[i], at[i + 1], at[i + 2]).alias("h"), F.xxhash64(at[i + 2], F.lit(1), at[i], at[i + 1]).alias("g"), (F.length(F.trim(F.concat(at[i], at[i + 1], at[i + 2]))) == 0).alias("blank"))
-    places = (
-        rows.select(F.col("doc_id").alias("d"), F.col("__k").alias("k"), lines.alias("__lines"))
-        .where(F.size("__lines") >= LINES)
-        .select("d", "k", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("__lines") - LINES), window)).alias("p", "w"))
-        .where("not w.blank")
-        .select("w.h", "w.g", "d", "k", "p")
-    )
-    first = places.groupBy("h", "g").agg(F.min(F.struct("d", "k", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
-    later = places.join(first, ["h", "g"]).where(F.struct("d", "k", "p") > F.col("first"))
-    removed = later.groupBy("d", "k").agg(F.collect_set("p").alias("__p"))
-    joined = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__k") == F.col("k")), "left")
-    covered = F.flatten(F.transform("__p", lambda p: F.sequence(p, p + (LINES - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    joined = joined.withColumn("__kept", F.when(F.col("__p").isNotNull(), kept)).withColumn("__lines", lines)
-    text = F.when(F.col("__p").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda i: at[i]), "\n"))
-    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
-    n_removed = F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long")
-    out = [text.alias("text") if c == "text" else F.col(c) for c in documents.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*out, n_lines.alias("n_lines"), F.when(F.col("__p").isNull(), F.lit(0).cast("long")).otherwise(n_removed).alias("n_removed"))
+    joined, names = _compared(documents)
+    kept = [i for i, c in enumerate(names) if c not in ("n_lines", "n_removed")]
+    columns = [F.col("new_text" if names[i] == "text" else f"c{i}").alias(names[i]) for i in kept]
+    return joined.select(*columns, "n_lines", "n_removed")
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """Just the columns of documents, with text deduplicated and n_chars, if there, anew where lines are gone."""
+    joined, names = _compared(documents)
+    count = lambda c: F.when(F.col("n_removed") > 0, F.length("new_text")).otherwise(F.col(c)).cast(documents.schema["n_chars"].dataType)
+    return joined.select(*[F.col("new_text").alias(c) if c == "text" else count(f"c{i}").alias(c) if c == "n_chars" else F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def oracle_sql(source: str = "documents") -> str:
