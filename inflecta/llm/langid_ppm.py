@@ -156,9 +156,13 @@ def prepared(text: str) -> bytes:
 def fit(documents: DataFrame, sample: int = SAMPLE) -> ContextTrees:
     """Learns from text and non-null lang of documents outside fold 0."""
     rows = documents.select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), F.octet_length("text").alias("n")).where(F.col("k").isNotNull() & F.col("g").isNotNull() & (fold(F.col("k")) != 0) & F.col("n").between(1, FIT_BYTES))
-    order = Window.partitionBy("g").orderBy(F.xxhash64("k"), "k")
+    rows = rows.withColumn("u", F.xxhash64("k") / float(1 << 64) + 0.5)  # uniform in [0, 1)
+    counts = rows.groupBy("g").agg(F.count("*").alias("c"))
+    # about twice `sample` rows of each language by hash, however many it has; only those are ordered
+    few = rows.join(F.broadcast(counts), "g").where(F.col("u") < 2.0 * sample / F.col("c") + 100.0 / F.col("c"))
+    order = Window.partitionBy("g").orderBy("u", "k")
     # at most `sample` ids a language: a bound that doesn't grow with the documents
-    picked = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("k", "g")
+    picked = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("k", "g")
     got = documents.select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), F.col("text").alias("t")).where(F.octet_length("t").between(1, FIT_BYTES)).join(F.broadcast(picked), ["k", "g"]).select("k", "g", "t").toPandas().sort_values(["k", "t"])
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(got["g"], got["t"], strict=True):
