@@ -332,9 +332,10 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     Where a run begins or ends inside a character, the bytes that are left of it are dropped too.
     """
     lost = lost_spans(keyed(documents), length, gram, hot)
-    own = documents.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
-    joined = own.join(lost.select(F.col("d2").alias("__d"), F.col("k2").alias("__k"), F.col("spans").alias("__spans")), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left").drop("__key", "__d", "__k")
     names = documents.columns
+    own = documents.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
+    joined = own.join(lost, doc_id.cast("long").eqNullSafe(F.col("d2")) & (row_key(doc_id, text) == F.col("k2")), "left").drop("d2", "k2")
     at, count_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches):
