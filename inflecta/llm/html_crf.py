@@ -15,6 +15,7 @@ import math
 import random
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ NAME = re.compile(r"[a-z]+")
 WORD = re.compile(r"[^\W\d_]+")
 # Fixed values of HTML: elements without content, with raw text, and those laid out as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template iframe noembed noframes xmp svg math object canvas".split())
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
-CLOSES_P = BLOCK - frozenset("body button head html label option optgroup select textarea title noscript".split())
+RAW = frozenset("script style template noscript iframe noembed noframes xmp svg math object canvas".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
+CLOSES_P = BLOCK - frozenset("body button head html label option optgroup select textarea title".split())
 #: An element that begins ends an open one of these, up to the nearest of the bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 SPACE = {"br", "wbr", "img", "input", "hr"}
@@ -210,22 +211,24 @@ class ChainModel:
         return "\n".join(b.text for b, keep in zip(found, self.decode(found, memo), strict=True) if keep)
 
 
-def fit(pages: list[tuple[list[Block], list[bool]]], rounds: int = 12, ridge: float = 2e-4, seed: int = 5) -> ChainModel:
+def fit(pages: list[tuple[list[Block], list[bool]]], rounds: int = 30, ridge: float = 5e-5, seed: int = 5) -> ChainModel:
     """Maximum likelihood by AdaGrad over pages, gradients by forward-backward."""
     index: dict[str, int] = {}
     data = []
     for found, labels in pages:
         if found:
-            data.append(([np.array([index.setdefault(f, len(index)) for f in (*b.path, *b.own)], np.int64) for b in found], np.array(labels, np.int64)))
+            rows = [[index.setdefault(f, len(index)) for f in (*b.path, *b.own)] for b in found]
+            use, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+            data.append((use, inverse, np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array(labels, np.int64)))
     w, gw = np.zeros(len(index)), np.full(len(index), 1e-3)
     q, gq = np.zeros(6), np.full(6, 1e-3)  # pair 0-3, first 4-5
     order, rng = list(range(len(data))), random.Random(seed)
     for _ in range(rounds):
         rng.shuffle(order)
         for i in order:
-            rows, y = data[i]
-            n = len(rows)
-            e = np.array([w[r].sum() for r in rows])
+            use, inverse, owner, y = data[i]
+            n = len(y)
+            e = np.bincount(owner, w[use][inverse], n)
             pair = q[:4].reshape(2, 2)
             up = np.zeros((n, 2))
             up[0] = q[4:] + (0, e[0])
@@ -245,10 +248,7 @@ def fit(pages: list[tuple[list[Block], list[bool]]], rounds: int = 12, ridge: fl
                 both = np.exp(up[t - 1][:, None] + pair + (down[t] + (0, e[t]))[None, :] - total)
                 counts[:4] += both.ravel()
                 counts[2 * y[t - 1] + y[t]] -= 1
-            cols = np.concatenate(rows)
-            g = np.bincount(cols, np.repeat(d, [len(r) for r in rows]), len(index))
-            use = np.unique(cols)
-            g = g[use] + ridge * w[use]
+            g = np.bincount(inverse, d[owner], len(use)) + ridge * w[use]
             gw[use] += g * g
             w[use] -= 0.15 * g / np.sqrt(gw[use])
             gq += counts * counts
@@ -265,15 +265,16 @@ FURNITURE = {
     "header": ("header masthead topbar logo branding site sitehead hero", "welcome home subscribe sign in"),
     "footer": ("footer foot colophon copyright legal bottom siteinfo", "copyright all rights reserved privacy policy terms imprint"),
     "aside": ("sidebar aside widget related recommended popular trending rail secondary teaser tags archive", "related popular recent posts most read archives tags"),
-    "notice": ("notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe paywall message toast disclaimer", "cookies accept we use this site subscribe newsletter agree"),
+    "notice": ("notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup paywall message toast disclaimer warning", "cookies accept we use this site subscribe newsletter agree"),
     "share": ("share sharing social follow buttons print", "share tweet facebook email print follow us"),
     "form": ("form search login signup contact poll survey", "submit name email password send search reset"),
     "comment": ("comment comments respond replies discussion disqus commentlist reply thread", "comments reply says posted leave a comment report"),
 }
 CONTENT = "content article post entry body main story text page".split()
+ROLES = {"nav": "navigation", "header": "banner", "footer": "contentinfo", "aside": "complementary", "form": "search", "notice": "alert"}
 
 
-def training_pages(n: int = 700, seed: int = 11) -> list[str]:
+def training_pages(n: int = 1_500, seed: int = 11) -> list[str]:
     """n pages; blocks of the article hold \\x02 as their mark, to be taken off by `labelled`."""
     rng = random.Random(seed)
 
@@ -285,7 +286,7 @@ def training_pages(n: int = 700, seed: int = 11) -> list[str]:
         return out[:1].upper() + out[1:]
 
     def sentence(low: int = 1, high: int = 30) -> str:
-        s = words(rng.randint(low, high))
+        s = words(rng.randint(low, high if rng.random() < 0.8 else min(high, 3)))
         return s + rng.choice((".", ".", ".", "!", "?", "", "!!", "%%%", "&amp;")) if rng.random() < 0.9 else s.upper()
 
     def prose(low: int = 1, high: int = 4) -> str:
@@ -294,10 +295,15 @@ def training_pages(n: int = 700, seed: int = 11) -> list[str]:
     def link(text: str) -> str:
         return f'<a href="/{word()}">{text}</a>'
 
-    def named(names: str | list[str]) -> str:
+    def named(names: str | list[str], role: str = "") -> str:
         names = names.split() if isinstance(names, str) else names
+        if role and rng.random() < 0.12:
+            return f' role="{role}"'
         chosen = [rng.choice(names)]
-        if rng.random() < 0.4:
+        if names != CONTENT and rng.random() < 0.2:  # furniture is also named after the content that it stands by
+            chosen.append(rng.choice((*CONTENT, "posts", "articles")))
+            rng.shuffle(chosen)
+        elif rng.random() < 0.4:
             chosen.append(rng.choice((word(), "box", "wrap", "inner", "block", "col", "area", "section", rng.choice(names))))
         joined = rng.choice((" ", "-", "_")).join(chosen)
         return f' {rng.choice(("class", "class", "id"))}="{joined}"'
@@ -316,9 +322,9 @@ def training_pages(n: int = 700, seed: int = 11) -> list[str]:
         names = FURNITURE[kind][0]
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "div")
         attributes = ""
-        if tag == "div" or rng.random() < 0.4:
-            tag = rng.choice(("div", "div", "section")) if tag == "div" or rng.random() < 0.5 else tag
-            attributes = named(names)
+        if tag == "div" or rng.random() < 0.6:
+            tag = rng.choice(("div", "div", "div", "div", "div", "section")) if tag == "div" or rng.random() < 0.7 else tag
+            attributes = named(names, ROLES.get(kind, ""))
         if kind == "nav":
             inner = items([link(words(rng.randint(1, 3))) for _ in range(rng.randint(2, 8))]) if rng.random() < 0.7 else " | ".join(link(words(1)) for _ in range(4))
         elif kind == "form":
@@ -376,10 +382,16 @@ def training_pages(n: int = 700, seed: int = 11) -> list[str]:
             return f"<main>{inner}</main>"
         if r < 0.68:
             return f"<main><article>{inner}</article></main>"
-        return f"<{(t := rng.choice(('div', 'div', 'section', 'td')))}{named(CONTENT)}>{inner}</{t}>"
+        if r < 0.76:
+            return inner if rng.random() < 0.5 else f"<div>{inner}</div>"
+        return f"<{(t := rng.choice(('div', 'section', 'td')))}{named(CONTENT, 'main')}>{inner}</{t}>"
 
     out = []
-    for _ in range(n):
+    for i in range(n):
+        if i % 25 == 0:  # a page of text alone
+            alone = "\x02" + prose(1, 5)
+            out.append(rng.choice((alone, f"<p>{alone}</p>", f"<html><body>{alone}</body></html>", f"<body><p>{alone}</p><p>\x02{prose()}</p></body>", f"<html><head><title>{words(3)}</title></head><body><h1>\x02{words(3)}</h1><p>{alone}</p></body></html>", f"<div><p>{alone}<p>\x02{prose()}</div>")))
+            continue
         before = [furniture(k) for k in rng.sample(["nav", "header", "ad", "notice", "nav", "ad", "form", "aside"], rng.randint(0, 4))]
         after = [furniture(k) for k in rng.sample(["aside", "ad", "share", "form", "notice", "nav", "ad"], rng.randint(0, 3))]
         if rng.random() < 0.4:
@@ -400,6 +412,7 @@ def labelled(marked_page: str) -> tuple[list[Block], list[bool]]:
     return blocks(marked_page.replace("\x02", "")), marks
 
 
+@lru_cache(maxsize=1)
 def trained() -> ChainModel:
     """The production model; always the same."""
     pages = [labelled(p) for p in training_pages()]
