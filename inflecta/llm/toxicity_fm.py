@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text are its distinct lower-cased words, each with its first four and five letters and its last five, hashed
-into 2**20 slots. The slots that differ most between toxic and other documents (chi-square) are the machine's inputs:
+Terms of a text are its distinct lower-cased words, each with its first and last four and five letters, hashed into 2**20
+slots. The slots that differ most between toxic and other documents (chi-square) are the machine's inputs:
 
     logit = b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j          (x_i = 1 if the term occurs)
 
@@ -28,6 +28,7 @@ FIT_BYTES = 262_144
 SLOTS = 1 << 20
 INPUTS = 1_024
 RANK = 8
+KEEP = 0.8
 WORD = re.compile(r"[^\W\d_]+")
 MEMO = 400_000
 
@@ -35,10 +36,9 @@ MEMO = 400_000
 def word_slots(word: str) -> tuple[int, ...]:
     """The hashed terms that one lower-cased word adds."""
     terms = [word]
-    if len(word) > 4:
-        terms.append(f"^{word[:4]}")
-    if len(word) > 5:
-        terms += [f"^{word[:5]}", f"{word[-5:]}$"]
+    for n in (4, 5):
+        if len(word) >= n:
+            terms += [f"^{word[:n]}", f"{word[-n:]}$"]
     return tuple(zlib.crc32(t.encode()) & (SLOTS - 1) for t in terms)
 
 
@@ -83,8 +83,11 @@ def chosen_slots(rows: list[np.ndarray], labels: np.ndarray, inputs: int = INPUT
     return order[chi[order] > 15]
 
 
-def fitted(rows: list[np.ndarray], labels: np.ndarray, inputs: int = INPUTS, rank: int = RANK, steps: int = 250) -> FactorizationMachine:
-    """Full-batch Adam on the log loss with classes in balance; one class or no rows: a constant machine."""
+def fitted(rows: list[np.ndarray], labels: np.ndarray, inputs: int = INPUTS, rank: int = RANK, steps: int = 300, keep: float = KEEP) -> FactorizationMachine:
+    """Full-batch Adam on the log loss with classes in balance; one class or no rows: a constant machine.
+
+    Each step sees a random share `keep` of the inputs, so that terms which mostly come together each learn their own part.
+    """
     n, n1 = len(labels), int(labels.sum())
     chosen = chosen_slots(rows, labels, inputs) if 0 < n1 < n else np.zeros(0, np.int64)
     slot_of = {int(s): i for i, s in enumerate(chosen)}
@@ -100,11 +103,13 @@ def fitted(rows: list[np.ndarray], labels: np.ndarray, inputs: int = INPUTS, ran
     p = [np.zeros(1, np.float32), np.zeros(len(chosen), np.float32), rng.normal(0, 0.02, (len(chosen), rank)).astype(np.float32)]
     m, u = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for t in range(1, steps + 1):
-        xv = x @ p[2]
-        z = p[0][0] + x @ p[1] + 0.5 * ((xv * xv).sum(1) - x @ (p[2] * p[2]).sum(1))
+        on = (rng.random(len(chosen)) < keep).astype(np.float32)
+        w, v = p[1] * on, p[2] * on[:, None]
+        xv = x @ v
+        z = p[0][0] + x @ w + 0.5 * ((xv * xv).sum(1) - x @ (v * v).sum(1))
         g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         gx = g @ x
-        grads = [np.array([g.sum()], np.float32), gx + 2e-5 * p[1], x.T @ (g[:, None] * xv) - gx[:, None] * p[2] + 2e-4 * p[2]]
+        grads = [np.array([g.sum()], np.float32), on * gx + 2e-5 * p[1], on[:, None] * (x.T @ (g[:, None] * xv) - gx[:, None] * v) + 2e-4 * p[2]]
         for i, d in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * d
             u[i] = 0.999 * u[i] + 0.001 * d * d
