@@ -12,6 +12,13 @@ def postings(words: DataFrame) -> DataFrame:
     return each.select("id", F.col("w.pos").alias("pos"), F.col("w.surface").alias("surface"), F.explode("w.keys").alias("key"))
 
 
+def lexemes(words: DataFrame) -> DataFrame:
+    """(id, surface, key) of texts (id, words), each surface with the same keys once per text: found in the row, unshuffled."""
+    kinds = F.array_distinct(F.transform("words", lambda w: F.struct(w["surface"].alias("surface"), w["keys"].alias("keys"))))
+    each = words.select("id", F.explode(kinds).alias("w"))
+    return each.select("id", F.col("w.surface").alias("surface"), F.explode("w.keys").alias("key"))
+
+
 def probes(lines: DataFrame) -> DataFrame:
     """(phrase_id, piece_no, line_no, n, token_no, key) of described phrase lines (phrase_id, piece_no, line_no, exact, words).
 
@@ -22,16 +29,16 @@ def probes(lines: DataFrame) -> DataFrame:
     return each.select("phrase_id", "piece_no", "line_no", "n", F.col("w.pos").alias("token_no"), F.explode(keys).alias("key"))
 
 
-def matches(posts: DataFrame, asked: DataFrame, same_id: bool = False) -> DataFrame:
+def matches(posts: DataFrame, once: DataFrame, asked: DataFrame, same_id: bool = False) -> DataFrame:
     """(id, phrase_id, piece_no, surface): the distinct texts that the lines of a piece match in a document.
 
     A line matches consecutive words of which each shares a key with the line's word there; what is matched are the
-    document's surfaces. One-word lines need no positions: they meet distinct (document, key, surface) rows, so frequent
-    words cost one row a document. same_id: a phrase is only looked for in the document of its own id.
+    document's surfaces. One-word lines need no positions: they meet the lexemes (`once`), so a frequent word costs one row
+    a document. Both joins have plain sides, so Spark can broadcast the phrases by size or split hot words. same_id: a phrase is only looked for in the document of its own id.
     """
     on = ["key", "id"] if same_id else ["key"]
     asked = asked.withColumn("id", F.col("phrase_id")) if same_id else asked
-    single = posts.select("id", "key", "surface").distinct().join(asked.where("n = 1").drop("n", "token_no", "line_no"), on).select("id", "phrase_id", "piece_no", "surface")
+    single = once.join(asked.where("n = 1").drop("n", "token_no", "line_no"), on).select("id", "phrase_id", "piece_no", "surface")
     hits = posts.join(asked.where("n > 1"), on).select("id", "phrase_id", "piece_no", "line_no", "n", (F.col("pos") - F.col("token_no")).alias("start"), "token_no", "surface").distinct()
     whole = hits.groupBy("id", "phrase_id", "piece_no", "line_no", "n", "start").agg(F.array_sort(F.collect_list(F.struct("token_no", "surface"))).alias("w")).where(F.size("w") == F.col("n"))
     phrase = F.array_join(F.transform("w", lambda x: x["surface"]), " ")

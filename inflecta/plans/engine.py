@@ -24,11 +24,12 @@ _WORDS = "array<struct<pos:int,surface:string,lang:string,keys:array<string>>>"
 
 @dataclass
 class DocIndex:
-    """Indexed documents: sizes (id, byte_len), words (id, words) and postings (id, pos, surface, key)."""
+    """Indexed documents: sizes (id, byte_len), words (id, words), postings (id, pos, surface, key), lexemes (id, surface, key)."""
 
     sizes: DataFrame
     words: DataFrame
     postings: DataFrame
+    lexemes: DataFrame
 
     def write(self, path: str) -> None:
         """The index as Parquet; postings come from the words again."""
@@ -37,7 +38,7 @@ class DocIndex:
     @staticmethod
     def read(spark: SparkSession, path: str) -> DocIndex:
         rows = spark.read.parquet(path)
-        return DocIndex(rows.select("id", "byte_len"), rows.select("id", "words"), search.postings(rows.select("id", "words")))
+        return DocIndex(rows.select("id", "byte_len"), rows.select("id", "words"), search.postings(rows.select("id", "words")), search.lexemes(rows.select("id", "words")))
 
 
 class MorphEngine:
@@ -168,14 +169,15 @@ class MorphEngine:
         sizes = rows.select("id", F.coalesce(T.byte_length("t"), F.lit(0).cast("long")).alias("byte_len"))
         if len(self.languages) > 1:
             words = self.describe(texts)
-            return DocIndex(sizes, words, search.postings(words))
+            return DocIndex(sizes, words, search.postings(words), search.lexemes(words))
         each = texts.select("id", F.posexplode("tokens").alias("pos", "surface"))
-        own = each.withColumn("key", F.col("surface"))
+        once = texts.select("id", F.explode(F.array_distinct("tokens")).alias("surface"))
         if not self.languages:
-            return DocIndex(sizes, self.describe(texts), own)
-        keys = self.lemma_keys(each.select(F.col("surface").alias("token")))
-        more = each.join(keys.select(F.col("token").alias("surface"), "key"), "surface").select("id", "pos", "surface", "key")
-        return DocIndex(sizes, self._joined_words(texts, keys), own.union(more))
+            return DocIndex(sizes, self.describe(texts), each.withColumn("key", F.col("surface")), once.withColumn("key", F.col("surface")))
+        keys = self.lemma_keys(once.select(F.col("surface").alias("token")))
+        more = keys.select(F.col("token").alias("surface"), "key")
+        keyed = lambda rows: rows.withColumn("key", F.col("surface")).union(rows.join(more, "surface").select(*rows.columns, "key"))
+        return DocIndex(sizes, self._joined_words(texts, keys), keyed(each), keyed(once))
 
     def phrase_lines(self, pieces: DataFrame) -> DataFrame:
         """pieces (phrase_id, piece_no, text) to described lines (phrase_id, piece_no, line_no, exact, words).
@@ -198,7 +200,7 @@ class MorphEngine:
     def matches(self, index: DocIndex, phrases: DataFrame, id_col: str = "phrase_id", text_col: str = "phrase", normalize: bool = True, by_space: bool = False, same_id: bool = False) -> DataFrame:
         """(id, phrase_id, piece_no, surface): see operators.search.matches."""
         asked = search.probes(self.phrase_lines(self._pieces(phrases, id_col, text_col, normalize, by_space)))
-        return search.matches(index.postings, asked, same_id)
+        return search.matches(index.postings, index.lexemes, asked, same_id)
 
     def search(self, index: DocIndex, phrases: DataFrame, **options) -> DataFrame:
         """(id, phrase_id, result) of the pairs that match; every other pair's result is the empty text."""
