@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inflecta.sources.shared import shared_dir, written
 
-__all__ = ["GEAR", "fold", "mix", "prefix_sums", "row_key", "shared_dir", "span_hash", "table", "utf8", "written"]
+__all__ = ["GEAR", "fold", "mix", "prefix_sums", "row_key", "shared_dir", "small_batches", "span_hash", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that a Python worker holds at once (it holds several copies of what it works on).
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Keeps the session's Arrow batches within BATCH_BYTES, so that long texts don't add up in a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(str(df.sparkSession.conf.get(name)).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as fold 0, which is never trained on."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5, F.lit(0))

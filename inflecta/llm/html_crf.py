@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inflecta.llm._common import small_batches
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME = re.compile(r"[a-z]+")
@@ -425,6 +427,7 @@ def extract(pages: DataFrame, model: ChainModel) -> DataFrame:
     Null and empty pages, and pages without a block of content, give an empty text. Rows are read one by one: repeated rows
     repeat, an empty table gives an empty one, other columns are ignored.
     """
+    small_batches(pages)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def extracted(batches):

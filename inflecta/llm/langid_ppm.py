@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inflecta.llm._common import fold
+from inflecta.llm._common import fold, small_batches
 
 ORDER = 3
 SAMPLE = 400
@@ -177,6 +177,7 @@ def predict(documents: DataFrame, trees: ContextTrees) -> DataFrame:
     best language in the sum of 2**-bits over languages; equal code lengths go to the language that sorts first.
     Rows are judged one by one: repeated rows repeat, an empty table gives an empty one, other columns are ignored.
     """
+    small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(trees)
 
     def predicted(batches):
@@ -205,6 +206,7 @@ def kept(documents: DataFrame, trees: ContextTrees, reject_bits: float = REJECT_
     Rejected are texts without a letter (nulls too), and texts of REJECT_BYTES or more that cost over reject_bits a byte
     under every language.
     """
+    small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(trees)
     at = documents.columns.index("text")
 

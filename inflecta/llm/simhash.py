@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inflecta.llm._common import row_key, written
+from inflecta.llm._common import row_key, small_batches, written
 
 SHINGLE = 3
 SEED = 42
@@ -168,6 +168,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             f = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(f)], ["doc_id", "k", "f"])
 
+    small_batches(documents)
     id_type = dict(documents.dtypes)["doc_id"]
     rows = documents.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("k"), F.col("text").alias("t"))
     prints = written(rows.mapInArrow(printed, f"doc_id {id_type}, k long, f long"), "simhash-prints")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inflecta.llm._common import prefix_sums, row_key, span_hash, utf8, written
+from inflecta.llm._common import prefix_sums, row_key, small_batches, span_hash, utf8, written
 
 LENGTH = 200
 GRAM = 40
@@ -269,6 +269,7 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 def lost_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(d2, k2, spans) of the rows (d, k, t) that lose anything: the spans (s, e), unordered, to be clipped to the text."""
+    small_batches(rows)
     reach = length - gram
     found = anchor_table(rows, length, gram)
     # written down, so that the joins below are of plain tables, whose hot keys Spark can split
