@@ -10,11 +10,12 @@ overlap with another set measures containment; likeness is the smaller of the co
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inflecta.llm._common import GEAR, prefix_sums, small_batches, span_hash
@@ -23,6 +24,7 @@ MIN, NORMAL, MAX = 16, 64, 512
 HARD, EASY = np.uint32(0x7F << 25), np.uint32(0x1F << 25)
 _GEAR32 = (GEAR >> np.uint64(20)).astype(np.uint32)
 BLOCK = 1 << 22
+MOST_RANGES = 100_000
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -95,28 +97,40 @@ def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "replace")
 
 
+def range_of(value: Column, cuts: list[int]) -> Column:
+    """Number of sorted cuts up to a value, by steps of the square root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts) - 1) + 1
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    coarse = F.size(F.filter(longs(cuts[::step]), lambda x: x <= value))
+    fine = F.size(F.filter(F.slice(longs(cuts), (coarse - 1) * step + 1, step), lambda x: x <= value))
+    return F.when(value < F.lit(cuts[0]).cast("long"), 0).otherwise((coarse - 1) * step + fine)
+
+
 def in_order(documents: DataFrame) -> DataFrame:
     """doc_id, text t, bucket b and role: rows dealt into ranges of doc_id, each range sorted in its partition.
 
     The first rows of a range come once more, with role 1, behind the range before it (behind the last range: the first
-    of all), so that every row has its successor in its own partition. Ranges come from quantiles of doc_id; only their
-    bounds and least ids, two numbers a range, reach the driver. Nulls come first; equal ids go by text.
+    of all), so that every row has its successor in its own partition. Ranges, as many as shuffles have partitions, come
+    from quantiles of doc_id; only their bounds and least ids, two numbers a range, reach the driver. Nulls come first;
+    equal ids go by text.
     """
     spark = documents.sparkSession
-    parts = max(1, min(2000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    bounds = sorted(set(documents.select("doc_id").dropna().approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    cuts = F.array(*[F.lit(int(x)).cast("long") for x in bounds]) if bounds else None
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda x: x <= F.col("doc_id")))) if bounds else F.lit(0)
-    rows = rows.withColumn("b", bucket.cast("int"))
-    least = {r["b"]: r["m"] for r in documents.select("doc_id").withColumn("b", bucket.cast("int")).groupBy("b").agg(F.min(F.struct(F.col("doc_id"))).alias("m")).collect()}
+    parts = max(1, min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = sorted({int(x) for x in documents.select("doc_id").dropna().approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(range_of(F.col("doc_id"), cuts)).cast("int")
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), bucket.alias("b"))
+    least = {r["b"]: r["m"][0] for r in documents.select("doc_id").groupBy(bucket.alias("b")).agg(F.min(F.struct("doc_id")).alias("m")).collect()}
+    if not least:
+        return rows.withColumn("role", F.lit(0))
     used = sorted(least)
     before = {b: used[i - 1] for i, b in enumerate(used)}
+    by_range = lambda of, kind: F.array(*[F.lit(of.get(b)).cast(kind) for b in range(used[-1] + 1)])[F.col("b")]
     # a row that opens its range is also wanted behind the range before
-    opens = [F.when((F.col("b") == b) & F.col("doc_id").eqNullSafe(F.lit(least[b][0]).cast("long")), before[b]) for b in used]
-    also = F.coalesce(*opens) if opens else F.lit(None).cast("int")
-    once, again = F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("role"))), F.struct(also.cast("int").alias("b"), F.lit(1).alias("role"))
-    dealt = rows.withColumn("to", F.when(also.isNull(), once).otherwise(F.concat(once, F.array(again)))).select("doc_id", "t", F.inline("to"))
+    opens = F.col("doc_id").eqNullSafe(by_range(least, "long"))
+    once, again = F.struct(F.col("b").alias("b"), F.lit(0).alias("role")), F.struct(by_range(before, "int").alias("b"), F.lit(1).alias("role"))
+    dealt = rows.withColumn("to", F.when(opens, F.array(once, again)).otherwise(F.array(once))).select("doc_id", "t", F.inline("to"))
     return dealt.repartition(parts, "b").sortWithinPartitions("b", "role", "doc_id", "t")
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from inflecta.llm import fingerprint, line_dedup, simhash, suffix_dedup
 
@@ -185,6 +186,13 @@ def test_fingerprints(spark, docs):
     assert rows_of(fingerprint.fingerprints(spark.createDataFrame(docs, SCHEMA))) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("cuts", [[], [5], [1, 5], [0, 2, 4, 6, 8, 10, 12], list(range(3, 103, 2))])
+def test_ranges(spark, cuts):
+    values = [-(10**12), -1, 0, 1, 2, 3, 4, 5, 6, 50, 101, 102, 10**12]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(fingerprint.range_of(F.col("v"), cuts)).collect()]
+    assert got == [sum(c <= v for c in cuts) for v in values]
+
+
 def test_fingerprint_of_a_single_row(spark):
     r = fingerprint.fingerprints(spark.createDataFrame([(9, "abcdefgh")], SCHEMA)).first()
     assert r["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and r["near_next"] == 1.0
