@@ -36,9 +36,11 @@ from inflecta.llm._common import prefix_sums, row_key, small_batches, span_hash,
 LENGTH = 200
 GRAM = 40
 HOT = 100_000
-BLOCK = 1 << 20
-CHUNK_ROWS = 40_000
-MEMBERS = 2_000_000
+#: What a worker holds at once: bytes of a text, surroundings cut out, suffixes of the tree, and members of intervals.
+BLOCK = 1 << 18
+CUT_ROWS = 16_384
+CHUNK_ROWS = 20_000
+MEMBERS = 500_000
 
 
 def _slide(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -192,18 +194,26 @@ def covers(groups: np.ndarray, left: list[bytes], right: list[bytes], length: in
 def snippets(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, d, k, p, l, r): the bytes before and from the wanted anchors (h, d, k, p)."""
 
+    kinds = [*[pa.int64()] * 4, pa.binary(), pa.binary()]
+
+    def batch(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "d", "k", "p", "l", "r"])
+
     def cut(batches):
         for b in batches:
             data, ends = utf8(b.column(2))
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in kinds]
             for i, (d, k, places) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 x = data[ends[i] : ends[i + 1]].tobytes()
                 for place in places:
                     p = place["p"]
                     for column, value in zip(out, (place["h"], d, k, p, x[max(0, p - (length - gram)) : p], x[p : p + length]), strict=True):
                         column.append(value)
+                    if len(out[0]) >= CUT_ROWS:
+                        yield batch(out)
+                        out = [[] for _ in kinds]
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [*[pa.int64()] * 4, pa.binary(), pa.binary()], strict=True)], ["h", "d", "k", "p", "l", "r"])
+                yield batch(out)
 
     asked = wanted.groupBy("d", "k").agg(F.collect_list(F.struct("h", "p")).alias("places")).select(F.col("d").alias("d2"), F.col("k").alias("k2"), "places")
     joined = rows.join(asked, F.col("d").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2")), "left").where("places is not null")
