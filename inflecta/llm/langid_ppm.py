@@ -11,7 +11,8 @@ sum over all its bytes; the language with the shortest code is the answer. As th
 (context, byte) length is worked out once; the contexts of all languages form one automaton, so that a text is scored by
 ORDER + 1 table look-ups per byte for all languages at once.
 
-Fitting uses a bounded sample (SAMPLE documents per language, of up to FIT_BYTES bytes each, lowest hash of doc_id first).
+Fitting uses a bounded sample (SAMPLE documents per language, of up to FIT_BYTES bytes each, lowest hash of doc_id first; the
+LANGUAGES most frequent languages).
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ ORDER = 3
 SAMPLE = 400
 FIT_BYTES = 65_536
 MAX_CONTEXTS = 16_000
+LANGUAGES = 256
 UNKNOWN = "und"
 #: Bits a byte above which no learned language explains a text (a byte costs 8 if nothing is known of it).
 REJECT_BITS = 7.0
@@ -157,11 +159,11 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> ContextTrees:
     """Learns from text and non-null lang of documents outside fold 0."""
     rows = documents.select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), F.octet_length("text").alias("n")).where(F.col("k").isNotNull() & F.col("g").isNotNull() & (fold(F.col("k")) != 0) & F.col("n").between(1, FIT_BYTES))
     rows = rows.withColumn("u", F.xxhash64("k") / float(1 << 64) + 0.5)  # uniform in [0, 1)
-    counts = rows.groupBy("g").agg(F.count("*").alias("c"))
+    # at most LANGUAGES of them, the most frequent: what is broadcast below has a fixed bound
+    counts = rows.groupBy("g").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "g").limit(LANGUAGES)
     # about twice `sample` rows of each language by hash, however many it has; only those are ordered
     few = rows.join(F.broadcast(counts), "g").where(F.col("u") < 2.0 * sample / F.col("c") + 100.0 / F.col("c"))
     order = Window.partitionBy("g").orderBy("u", "k")
-    # at most `sample` ids a language: a bound that doesn't grow with the documents
     picked = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("k", "g")
     got = documents.select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), F.col("text").alias("t")).where(F.octet_length("t").between(1, FIT_BYTES)).join(F.broadcast(picked), ["k", "g"]).select("k", "g", "t").toPandas().sort_values(["k", "t"])
     texts: dict[str, list[bytes]] = {}
