@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +49,23 @@ def routed(texts: DataFrame, main: str | None) -> DataFrame:
 
     facts: array of (token, detected, array of (lang, lemmas)).
     """
-    schema = "array<struct<pos:int,surface:string,lang:string,keys:array<string>>>"
-
-    @F.pandas_udf(schema)
-    def fold(tokens: pd.Series, states: pd.Series, facts: pd.Series) -> pd.Series:
-        out = []
-        for words, state, known in zip(tokens, states, facts, strict=True):
-            table = {f["token"]: (f["detected"], {x["lang"]: list(x["lemmas"]) for x in f["langs"]}) for f in (known if known is not None else [])}
-            found = route(list(words) if words is not None else [], table, main, state)
-            out.append([{"pos": i, "surface": w, "lang": lang, "keys": keys} for i, (w, lang, keys) in enumerate(found)])
-        return pd.Series(out)
-
-    return texts.select("id", fold("tokens", "state", "facts").alias("words"))
+    fields = [("pos", pa.int32()), ("surface", pa.string()), ("lang", pa.string()), ("keys", pa.list_(pa.string()))]
+
+    def fold(batches):
+        for b in batches:
+            ends, surfaces, langs, key_ends, keys = [0], [], [], [0], []
+            for words, state, known in zip(*(b.column(c).to_pylist() for c in ("tokens", "state", "facts")), strict=True):
+                table = {f["token"]: (f["detected"], {x["lang"]: x["lemmas"] for x in f["langs"]}) for f in known or ()}
+                for surface, lang, own in route(words or [], table, main, state):
+                    surfaces.append(surface)
+                    langs.append(lang)
+                    keys += own
+                    key_ends.append(len(keys))
+                ends.append(len(surfaces))
+            places = np.arange(len(surfaces)) - np.repeat(ends[:-1], np.diff(ends))
+            flat = [pa.array(places, pa.int32()), pa.array(surfaces, pa.string()), pa.array(langs, pa.string()), pa.ListArray.from_arrays(pa.array(key_ends, pa.int32()), pa.array(keys, pa.string()))]
+            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, fields=[pa.field(n, k) for n, k in fields]))
+            yield pa.RecordBatch.from_arrays([b.column("id"), words], ["id", "words"])
+
+    id_type = dict(texts.dtypes)["id"]
+    return texts.select("id", "tokens", "state", "facts").mapInArrow(fold, f"id {id_type}, words array<struct<pos:int,surface:string,lang:string,keys:array<string>>>")

@@ -42,7 +42,8 @@ def matches(posts: DataFrame, once: DataFrame, asked: DataFrame, same_id: bool =
     hits = posts.join(asked.where("n > 1"), on).select("id", "phrase_id", "piece_no", "line_no", "n", (F.col("pos") - F.col("token_no")).alias("start"), "token_no", "surface").distinct()
     whole = hits.groupBy("id", "phrase_id", "piece_no", "line_no", "n", "start").agg(F.array_sort(F.collect_list(F.struct("token_no", "surface"))).alias("w")).where(F.size("w") == F.col("n"))
     phrase = F.array_join(F.transform("w", lambda x: x["surface"]), " ")
-    return single.union(whole.select("id", "phrase_id", "piece_no", phrase.alias("surface"))).distinct()
+    # dealt by document, which what follows groups by as well: the matches move once
+    return single.union(whole.select("id", "phrase_id", "piece_no", phrase.alias("surface"))).repartition("id").distinct()
 
 
 def joined_matches(found: DataFrame) -> DataFrame:
@@ -56,6 +57,15 @@ def covered_bytes(found: DataFrame) -> DataFrame:
     return found.groupBy("id", "phrase_id").agg(F.sum(F.octet_length("surface") + 1).cast("long").alias("covered"))
 
 
+def covered_by_pieces(per_text: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(id, phrase_id, covered) from what each distinct piece text covers (id, phrase_id: that text, covered).
+
+    pieces: (phrase_id, text, times). A piece text is matched once, however many searches share it.
+    """
+    each = per_text.withColumnRenamed("phrase_id", "text").join(pieces, "text")
+    return each.groupBy("id", "phrase_id").agg(F.sum(F.col("covered") * F.col("times")).alias("covered"))
+
+
 def score(covered: Column, doc_bytes: Column, search_bytes: Column, guard: bool) -> Column:
     """covered / doc_bytes, at most 1; an empty document scores 1. guard: 0 if the search is longer than the document."""
     covered = F.coalesce(covered, F.lit(0))

@@ -16,7 +16,7 @@ from inflecta.functions import text as T
 from inflecta.operators import analyze, forms, language, search
 from inflecta.sources import lexicon as source
 from inflecta.sources.lexicon import Lexicon
-from inflecta.sources.shared import written
+from inflecta.sources.shared import spread, written
 
 
 _WORDS = "array<struct<pos:int,surface:string,lang:string,keys:array<string>>>"
@@ -77,9 +77,11 @@ class MorphEngine:
         return out
 
     def close(self) -> None:
-        """Forgets the derived tables."""
-        for name in ("forms", "suffixes", "guesses", "prefixes"):
-            self.__dict__.pop(name, None)
+        """Forgets the derived tables, which are kept in Spark's cache till then (in memory, or on disk if they are large)."""
+        self.__dict__.pop("prefixes", None)
+        for name in ("forms", "suffixes", "guesses"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
 
     @property
     def main_language(self) -> str | None:
@@ -87,15 +89,15 @@ class MorphEngine:
 
     @cached_property
     def forms(self) -> DataFrame:
-        return forms.distinct_forms(forms.generate_forms(self.lexicon))
+        return forms.distinct_forms(forms.generate_forms(self.lexicon)).persist()
 
     @cached_property
     def suffixes(self) -> DataFrame:
-        return forms.suffix_index(self.forms)
+        return forms.suffix_index(self.forms).persist()
 
     @cached_property
     def guesses(self) -> DataFrame:
-        return forms.guess_index(self.forms)
+        return forms.guess_index(self.forms).persist()
 
     @cached_property
     def prefixes(self) -> dict[str, list[str]]:
@@ -164,7 +166,7 @@ class MorphEngine:
 
     def index(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalize: bool = True) -> DocIndex:
         """Indexes documents of distinct ids. normalize=False takes words as they are written."""
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+        rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
         texts = rows.select("id", T.tokens("t", normalize).alias("tokens"), F.lit(None).cast("string").alias("state"))
         sizes = rows.select("id", F.coalesce(T.byte_length("t"), F.lit(0).cast("long")).alias("byte_len"))
         if len(self.languages) > 1:
@@ -222,7 +224,13 @@ class MorphEngine:
         Without pairs (id, phrase_id), only those with a match are returned; every other scores 0 (1 if the document is
         empty). Each blank-separated piece of the search counts for itself, repeated pieces again.
         """
-        found = search.covered_bytes(self.matches(index, searches, id_col, text_col, normalize_search, True, same_id))
+        if same_id:
+            found = search.covered_bytes(self.matches(index, searches, id_col, text_col, normalize_search, True, True))
+        else:
+            pieces = self._pieces(searches, id_col, text_col, normalize_search, True).groupBy("phrase_id", "text").agg(F.count("*").alias("times"))
+            texts = pieces.select(F.col("text").alias("phrase_id"), F.lit(0).alias("piece_no"), "text").distinct()
+            per_text = search.covered_bytes(search.matches(index.postings, index.lexemes, search.probes(self.phrase_lines(texts))))
+            found = search.covered_by_pieces(per_text, pieces)
         if pairs is not None:
             found = pairs.join(found, ["id", "phrase_id"], "left")
         sized = found.join(index.sizes, "id").join(searches.select(F.col(id_col).alias("phrase_id"), F.coalesce(T.byte_length(text_col), F.lit(0).cast("long")).alias("search_len")), "phrase_id")

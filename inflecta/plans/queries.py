@@ -14,7 +14,7 @@ from inflecta.plans import oracle as O
 from inflecta.plans.engine import MorphEngine
 from inflecta.sources import fixture as X
 from inflecta.sources import lexicon as L
-from inflecta.sources.shared import shared_dir
+from inflecta.sources.shared import shared_dir, spread
 from inflecta.streaming import tokens as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +48,7 @@ def engine(spark: SparkSession, *languages: str) -> MorphEngine:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct words of the corpus."""
-    return documents(spark, sf_dir).select(F.explode(T.tokens("text")).alias("token")).distinct()
+    return spread(documents(spark, sf_dir)).select(F.explode(T.tokens("text")).alias("token")).distinct()
 
 
 def as_long(df: DataFrame, *columns: str) -> DataFrame:

@@ -17,6 +17,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of input for each core below which a table is dealt out anew.
+SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is small: small files are often one row group, which only one task can read.
+
+    Large tables come in many row groups and stay where they are; the rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 _tables: list[str] = []
 
 
