@@ -156,11 +156,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id and key k of every row.
+    """doc_id, fingerprint, component_id, root and key k of every row.
 
     Null and blank texts have fingerprint zero and are linked like any other; repeated rows share a component. component_id
-    is the least non-null doc_id reachable (null if there is none). An empty table gives an empty one; other columns are
-    ignored.
+    is the least non-null doc_id reachable (null if there is none), root the least fingerprint: components without an id, and
+    those that share one, are told apart by it. An empty table gives an empty one; other columns are ignored.
     """
 
     def printed(batches):
@@ -174,17 +174,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     prints = written(rows.mapInArrow(printed, f"doc_id {id_type}, k long, f long"), "simhash-prints")
     nodes = prints.groupBy("f").agg(F.min("doc_id").alias("least"))
     roots = nodes.join(components(links(prints)), nodes["f"] == F.col("v"), "left").select("f", "least", F.coalesce("root", "f").alias("root"))
-    named = written(roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("f", "component_id"), "simhash-named")
-    return prints.join(named, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id", "k")
+    named = written(roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("f", "component_id", "root"), "simhash-named")
+    return prints.join(named, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id", "root", "k")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The rows, all columns as they are, that give their component its id; of rows that repeat that id, one.
+    """One row, all columns as they are, of each component: one that gives the component its id, of several the lowest key.
 
-    Rows without an id stay if their component has no id at all.
+    A component without any id keeps one of its rows; an id that two components share stays in both.
     """
     names = documents.columns
-    kept = near_duplicates(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("k").alias("k"))
+    kept = near_duplicates(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("k").alias("k"))
     rows = documents.toDF(*[f"c{i}" for i in range(len(names))])
     doc_id, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
     rows = rows.withColumn("row", row_key(doc_id, text))

@@ -125,6 +125,18 @@ def test_simhash(spark, docs):
     assert kept.columns == ["doc_id", "text", "component_id"]
 
 
+def test_simhash_keeps_one_of_each_component_whatever_the_ids(spark):
+    """Unlinked rows without an id all stay, linked ones leave one; an id with two unlinked texts keeps both."""
+    rng = random.Random(11)
+    a, b, *alone = [" ".join(rng.choice("abcdefgh") * 3 + str(i) for i in range(80)) for _ in range(8)]
+    rows = [(5, a), (5, b), (9, b), *[(None, t) for t in alone], (None, alone[0]), (None, alone[0].upper()), (7, alone[1])]
+    assert len({c for _, c, _ in brute_components(rows)}) == 8
+    got = rows_of(simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)))
+    assert len(got) == 8
+    assert sorted(t.lower() for _, t in got) == sorted([a, b, *alone])
+    assert sorted(d for d, _ in got if d is not None) == [5, 5, 7]
+
+
 def test_simhash_links_within_two_bits_exactly(spark):
     rng = random.Random(5)
     near = set()
