@@ -11,8 +11,8 @@ sum over all its bytes; the language with the shortest code is the answer. As th
 (context, byte) length is worked out once; the contexts of all languages form one automaton, so that a text is scored by
 ORDER + 1 table look-ups per byte for all languages at once.
 
-Fitting uses a bounded sample (SAMPLE documents per language, of up to FIT_BYTES bytes each, lowest hash of doc_id first; the
-LANGUAGES most frequent languages).
+Fitting uses a bounded sample (SAMPLE documents per language, lowest hash of doc_id first, of each its middle FIT_BYTES
+bytes; the LANGUAGES most frequent languages).
 """
 
 from __future__ import annotations
@@ -156,8 +156,8 @@ def prepared(text: str) -> bytes:
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> ContextTrees:
-    """Learns from text and non-null lang of documents outside fold 0."""
-    rows = documents.select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), F.octet_length("text").alias("n")).where(F.col("k").isNotNull() & F.col("g").isNotNull() & (fold(F.col("k")) != 0) & F.col("n").between(1, FIT_BYTES))
+    """Learns from text and non-null lang of documents outside fold 0; of a long document, from a slice in its middle."""
+    rows = documents.select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), F.octet_length("text").alias("n")).where(F.col("k").isNotNull() & F.col("g").isNotNull() & (fold(F.col("k")) != 0) & (F.col("n") > 0))
     rows = rows.withColumn("u", F.xxhash64("k") / float(1 << 64) + 0.5)  # uniform in [0, 1)
     # at most LANGUAGES of them, the most frequent: what is broadcast below has a fixed bound
     counts = rows.groupBy("g").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "g").limit(LANGUAGES)
@@ -165,10 +165,12 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> ContextTrees:
     few = rows.join(F.broadcast(counts), "g").where(F.col("u") < 2.0 * sample / F.col("c") + 100.0 / F.col("c"))
     order = Window.partitionBy("g").orderBy("u", "k")
     picked = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("k", "g")
-    got = documents.select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), F.col("text").alias("t")).where(F.octet_length("t").between(1, FIT_BYTES)).join(F.broadcast(picked), ["k", "g"]).select("k", "g", "t").toPandas().sort_values(["k", "t"])
+    size = F.octet_length("text")
+    piece = F.substring(F.col("text").cast("binary"), F.when(size > FIT_BYTES, F.floor((size - FIT_BYTES) / 2) + 1).otherwise(1).cast("int"), F.lit(FIT_BYTES))
+    got = documents.where(size > 0).select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), piece.alias("t")).join(F.broadcast(picked), ["k", "g"]).select("k", "g", "t").toPandas().sort_values(["k", "t"])
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(got["g"], got["t"], strict=True):
-        texts.setdefault(lang, []).append(prepared(text))
+        texts.setdefault(lang, []).append(prepared(bytes(text).decode("utf-8", "ignore")))  # a character that the slice cuts is left out
     return trained(texts)
 
 
@@ -206,7 +208,7 @@ def kept(documents: DataFrame, trees: ContextTrees, reject_bits: float = REJECT_
     """The rows, all columns as they are, whose text some learned language explains.
 
     Rejected are texts without a letter (nulls too), and texts of REJECT_BYTES or more that cost over reject_bits a byte
-    under every language.
+    under every language. If nothing was learned, only the former are.
     """
     small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(trees)
@@ -217,8 +219,8 @@ def kept(documents: DataFrame, trees: ContextTrees, reject_bits: float = REJECT_
         for b in batches:
             keep = []
             for text in b.column(at).to_pylist():
-                good = bool(text) and bool(model.languages) and LETTER.search(text) is not None
-                if good:
+                good = bool(text) and LETTER.search(text) is not None
+                if good and model.languages:
                     data = prepared(text)
                     good = len(data) < REJECT_BYTES or model.code_lengths(data).min() <= reject_bits * len(data)
                 keep.append(good)

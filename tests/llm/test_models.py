@@ -186,6 +186,24 @@ def test_language_of_odd_rows(spark):
     assert langid_ppm.kept(noise, trees).count() == 0
 
 
+def test_languages_of_long_documents_are_learned(spark):
+    """A language with a script of its own, all of whose documents are long, is predicted, and its documents stay."""
+    rng = random.Random(9)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, text("αβγδ ", 50_000), "el") for i in range(12)] + [(i, text("abcd ", 2_000), "en") for i in range(12, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = langid_ppm.fit(docs)
+    assert trees.languages == ["el", "en"]
+    assert langid_ppm.predict(docs, trees).join(docs, "doc_id").where("lang = lang_pred").count() == 40
+    assert langid_ppm.kept(docs, trees).count() == 40
+    assert langid_ppm.fit(docs.where("lang = 'el'")).languages == ["el"]
+
+
+def test_unlabelled_documents_are_kept(spark):
+    docs = spark.createDataFrame([(1, "some words " * 20, None), (2, "漢字", None), (3, "12 34 " * 30, None), (4, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in langid_ppm.kept(docs, langid_ppm.fit(docs)).collect()] == [1, 2]
+
+
 # --- SentencePiece ---
 
 
