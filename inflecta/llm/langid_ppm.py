@@ -8,11 +8,11 @@ training text shows. The code length of a byte after a context is
 
 and a context that a language has never seen costs nothing to leave. A text's code length under a language is the exact
 sum over all its bytes; the language with the shortest code is the answer. As the statistics are frozen, every
-(context, byte) length is worked out once; the contexts of all languages form one automaton, so that a text is scored by
-ORDER + 1 table look-ups per byte for all languages at once.
+(context, byte) length is worked out once; the contexts of a language form an automaton, so that a text is scored by
+ORDER + 1 table look-ups per byte and language. Tables grow in proportion to the number of languages.
 
-Fitting uses a bounded sample (SAMPLE documents per language, lowest hash of doc_id first, of each its middle FIT_BYTES
-bytes; the LANGUAGES most frequent languages).
+Fitting learns every labelled language from a bounded sample: at most SAMPLE documents each, lowest hash of doc_id first, of
+each its middle FIT_BYTES bytes; fewer documents each, but one at least, where all samples would exceed FIT_TOTAL bytes.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from inflecta.llm._common import fold, small_batches
 ORDER = 3
 SAMPLE = 400
 FIT_BYTES = 65_536
+FIT_TOTAL = 128 << 20
+#: Contexts of each language.
 MAX_CONTEXTS = 16_000
-LANGUAGES = 256
 UNKNOWN = "und"
 #: Bits a byte above which no learned language explains a text (a byte costs 8 if nothing is known of it).
 REJECT_BITS = 7.0
@@ -42,30 +43,36 @@ LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
-class ContextTrees:
-    """symbol: class of a byte (0: never seen). step[context, symbol]: next context. bits[context, symbol, language]."""
+class Tree:
+    """symbol: class of a byte (0: never seen). step[context * width + symbol]: next context * width; bits likewise."""
 
-    languages: list[str]
     symbol: np.ndarray
     step: np.ndarray
     bits: np.ndarray
+
+
+@dataclass
+class ContextTrees:
+    languages: list[str]
+    trees: list[Tree]
     order: int
 
     def code_lengths(self, data: bytes) -> np.ndarray:
         """Exact bits of the whole data under each language; long data goes in blocks that keep their context."""
         total = np.zeros(len(self.languages))
-        width, k = self.step.shape[1], self.order
-        step, bits = self.step.reshape(-1), self.bits.reshape(-1, len(self.languages))
+        k = self.order
         raw = np.frombuffer(data, np.uint8)
         for at in range(0, len(raw), BLOCK):
-            piece = self.symbol[raw[max(0, at - k) : at + BLOCK]]
             lead = min(at, k)
-            n = len(piece) - lead
-            padded = np.concatenate([np.zeros(k - lead, np.int32), piece])
-            state = np.zeros(n, np.int32)
-            for lag in range(k):
-                state = step[state * width + padded[lag : lag + n]]
-            total += bits[state * width + padded[k : k + n]].sum(0, dtype=np.float64)
+            part = raw[at - lead : at + BLOCK]
+            n = len(part) - lead
+            padded = np.zeros(k + n, np.int32)
+            for i, tree in enumerate(self.trees):
+                padded[k - lead :] = tree.symbol[part]
+                cell = padded[:n]  # of the empty context
+                for lag in range(1, k + 1):
+                    cell = tree.step[cell] + padded[lag : lag + n]
+                total[i] += tree.bits[cell].sum(dtype=np.float64)
         return total
 
 
@@ -84,24 +91,50 @@ def grams(symbols: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarr
 
 
 def trained(texts: dict[str, list[bytes]], order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> ContextTrees:
-    """Context trees from each language's texts; contexts seen once are left out, and rarer ones beyond max_contexts."""
+    """Context trees from each language's texts; contexts seen once in all are left out, and a language's rarer ones beyond
+    max_contexts."""
     languages = sorted(texts)
-    joined = {lang: b"\x00".join(texts[lang]) for lang in languages}
-    seen = np.bincount(np.frombuffer(b"".join(joined.values()), np.uint8), minlength=256) if languages else np.zeros(256, int)
-    seen[0] = 0  # parts the documents
+    counted = []
+    for lang in languages:
+        s, _, letters = _symbols(texts[lang], order)
+        found = [np.unique(grams(s, n, len(letters))[0], return_counts=True) for n in range(1, order + 1)]
+        counted.append([(codes, _bytes_code(codes, n, letters), c) for n, (codes, c) in enumerate(found, 1)])
+    often = []
+    for n in range(order):
+        codes, at = np.unique(np.concatenate([c[n][1] for c in counted] or [np.zeros(0, np.int64)]), return_inverse=True)
+        often.append(codes[np.bincount(at, np.concatenate([c[n][2] for c in counted] or [np.zeros(0)]), len(codes)) >= 2])
+    trees = []
+    for lang, own in zip(languages, counted, strict=True):
+        kept = [(codes[use], c[use]) for (codes, plain, c), shown in zip(own, often, strict=True) for use in [np.isin(plain, shown)]]
+        least = 1
+        while sum(int((c >= least).sum()) for _, c in kept) > max_contexts:
+            least *= 2
+        trees.append(_tree(texts[lang], order, [np.zeros(1, np.int64), *(codes[c >= least] for codes, c in kept)]))
+    return ContextTrees(languages, trees, order)
+
+
+def _symbols(parts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as symbols, the symbol of each byte, and the byte of each symbol."""
+    raw = np.frombuffer(b"\x00".join(parts), np.uint8)
+    seen = np.bincount(raw, minlength=256) > 0
+    seen[0] = False  # parts the documents
     symbol = np.zeros(256, np.int32)
-    symbol[seen > 0] = 1 + np.arange((seen > 0).sum())
-    width = int(symbol.max()) + 1
-    data = {lang: np.concatenate([np.zeros(order, np.int32), symbol[np.frombuffer(joined[lang], np.uint8)]]) for lang in languages}
+    symbol[seen] = 1 + np.arange(seen.sum())
+    return np.concatenate([np.zeros(order, np.int32), symbol[raw]]), symbol, np.concatenate([[0], np.flatnonzero(seen)])
 
-    counted = []
-    for n in range(1, order + 1):
-        codes = [grams(data[lang], n, width)[0] for lang in languages]
-        counted.append(np.unique(np.concatenate(codes or [np.zeros(0, np.int64)]), return_counts=True))
-    least = 2
-    while sum(int((c >= least).sum()) for _, c in counted) > max_contexts:
-        least *= 2
-    levels = [np.zeros(1, np.int64), *(codes[c >= least] for codes, c in counted)]
+
+def _bytes_code(codes: np.ndarray, n: int, letters: np.ndarray) -> np.ndarray:
+    """Codes of n-grams by bytes, which are the same for all languages, from those by symbols."""
+    out, width = np.zeros(len(codes), np.int64), len(letters)
+    for i in range(n):
+        out += letters[codes // width**i % width] << (8 * i)
+    return out
+
+
+def _tree(parts: list[bytes], order: int, levels: list[np.ndarray]) -> Tree:
+    """One language's automaton over the contexts of each length, and the bits of each byte after each of them."""
+    s, symbol, letters = _symbols(parts, order)
+    width = len(letters)
     starts = np.cumsum([0, *(len(x) for x in levels)])
     nodes = int(starts[-1])
 
@@ -118,36 +151,32 @@ def trained(texts: dict[str, list[bytes]], order: int = ORDER, max_contexts: int
             parent = starts[n] + np.searchsorted(codes, child // width)
             step[parent, child % width] = starts[n + 1] + np.arange(len(child))
 
-    bits = np.zeros((nodes, width, len(languages)), np.float32)
-    for i, lang in enumerate(languages):
-        s = data[lang]
-        size = len(s) - order
-        state = np.zeros(size, np.int32)
-        states = [state]
-        for lag in range(order):
-            state = step[state, s[lag : lag + size]]
-        target = s[order:]
-        count = np.zeros((nodes, width))
-        # every suffix of the longest context counts the byte as well
-        while True:
-            use = target > 0
-            np.add.at(count, (state[use], target[use]), 1)
-            on = state > 0
-            if not on.any():
-                break
-            state, target = shorter[state[on]], target[on]
-        del states
-        total, distinct = count.sum(1), (count > 0).sum(1)
-        known = total > 0
-        hit = np.zeros((nodes, width))
-        hit[known] = -np.log2(np.maximum(count[known], 1) / (total + distinct)[known, None])
-        escape = np.zeros(nodes)
-        escape[known] = -np.log2(distinct[known] / (total + distinct)[known])
-        for n in range(len(levels)):
-            own = slice(starts[n], starts[n + 1])
-            below = bits[shorter[own], :, i] if n else np.full((1, width), 8.0)
-            bits[own, :, i] = np.where(count[own] > 0, hit[own], escape[own, None] + below)
-    return ContextTrees(languages, symbol, step, bits, order)
+    size = len(s) - order
+    state = np.zeros(size, np.int32)
+    for lag in range(order):
+        state = step[state, s[lag : lag + size]]
+    target = s[order:]
+    count = np.zeros((nodes, width))
+    # every suffix of the longest context counts the byte as well
+    while True:
+        use = target > 0
+        np.add.at(count, (state[use], target[use]), 1)
+        on = state > 0
+        if not on.any():
+            break
+        state, target = shorter[state[on]], target[on]
+    total, distinct = count.sum(1), (count > 0).sum(1)
+    known = total > 0
+    hit = np.zeros((nodes, width))
+    hit[known] = -np.log2(np.maximum(count[known], 1) / (total + distinct)[known, None])
+    escape = np.zeros(nodes)
+    escape[known] = -np.log2(distinct[known] / (total + distinct)[known])
+    bits = np.zeros((nodes, width), np.float32)
+    for n in range(len(levels)):
+        own = slice(starts[n], starts[n + 1])
+        below = bits[shorter[own]] if n else np.full((1, width), 8.0)
+        bits[own] = np.where(count[own] > 0, hit[own], escape[own, None] + below)
+    return Tree(symbol, (step * width).astype(np.int32).reshape(-1), bits.reshape(-1))
 
 
 def prepared(text: str) -> bytes:
@@ -155,23 +184,24 @@ def prepared(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE) -> ContextTrees:
+def fit(documents: DataFrame, sample: int = SAMPLE, max_contexts: int = MAX_CONTEXTS) -> ContextTrees:
     """Learns from text and non-null lang of documents outside fold 0; of a long document, from a slice in its middle."""
     rows = documents.select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), F.octet_length("text").alias("n")).where(F.col("k").isNotNull() & F.col("g").isNotNull() & (fold(F.col("k")) != 0) & (F.col("n") > 0))
     rows = rows.withColumn("u", F.xxhash64("k") / float(1 << 64) + 0.5)  # uniform in [0, 1)
-    # at most LANGUAGES of them, the most frequent: what is broadcast below has a fixed bound
-    counts = rows.groupBy("g").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "g").limit(LANGUAGES)
-    # about twice `sample` rows of each language by hash, however many it has; only those are ordered
-    few = rows.join(F.broadcast(counts), "g").where(F.col("u") < 2.0 * sample / F.col("c") + 100.0 / F.col("c"))
+    counts = rows.groupBy("g").agg(F.count("*").alias("c"), F.avg(F.least("n", F.lit(FIT_BYTES))).alias("mean"))
+    # s: documents of each language, of which all languages together hold about FIT_TOTAL bytes at most
+    counts = counts.select("g", "c", F.greatest(F.lit(1), F.least(F.lit(sample), F.floor(FIT_TOTAL / max(1, counts.count()) / F.col("mean")))).alias("s"))
+    # about twice s rows of each language by hash, however many it has; only those are ordered
+    few = rows.join(F.broadcast(counts), "g").where(F.col("u") < 2.0 * F.col("s") / F.col("c") + 100.0 / F.col("c"))
     order = Window.partitionBy("g").orderBy("u", "k")
-    picked = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("k", "g")
+    picked = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("s")).select("k", "g")
     size = F.octet_length("text")
     piece = F.substring(F.col("text").cast("binary"), F.when(size > FIT_BYTES, F.floor((size - FIT_BYTES) / 2) + 1).otherwise(1).cast("int"), F.lit(FIT_BYTES))
     got = documents.where(size > 0).select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), piece.alias("t")).join(F.broadcast(picked), ["k", "g"]).select("k", "g", "t").toPandas().sort_values(["k", "t"])
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(got["g"], got["t"], strict=True):
         texts.setdefault(lang, []).append(prepared(bytes(text).decode("utf-8", "ignore")))  # a character that the slice cuts is left out
-    return trained(texts)
+    return trained(texts, max_contexts=max_contexts)
 
 
 def predict(documents: DataFrame, trees: ContextTrees) -> DataFrame:

@@ -199,6 +199,20 @@ def test_languages_of_long_documents_are_learned(spark):
     assert langid_ppm.fit(docs.where("lang = 'el'")).languages == ["el"]
 
 
+def test_every_labelled_language_is_learned(spark):
+    """300 languages, the rarest of them with letters of its own; the others don't make its tree shallower."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 2 + str(i % 299) for _ in range(8)), f"l{i % 299:03}") for i in range(6 * 299)]
+    rows += [(i, "".join(rng.choice("жзий ") for _ in range(300)), "rare") for i in range(9_000, 9_003)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = langid_ppm.fit(docs, max_contexts=60)
+    assert trees.languages == [*(f"l{i:03}" for i in range(299)), "rare"]
+    only = langid_ppm.fit(docs.where("lang = 'rare'"), max_contexts=60)
+    assert trees.code_lengths("жзий жж".encode())[-1] == only.code_lengths("жзий жж".encode())[0]
+    rare = docs.where("lang = 'rare'")
+    assert [r["lang_pred"] for r in langid_ppm.predict(rare, trees).collect()] == ["rare"] * 3 and langid_ppm.kept(rare, trees).count() == 3
+
+
 def test_unlabelled_documents_are_kept(spark):
     docs = spark.createDataFrame([(1, "some words " * 20, None), (2, "漢字", None), (3, "12 34 " * 30, None), (4, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in langid_ppm.kept(docs, langid_ppm.fit(docs)).collect()] == [1, 2]
