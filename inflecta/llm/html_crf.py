@@ -4,7 +4,8 @@ A page is read into its leaf blocks: the runs of text between block-level tags,
 is content or not; a block's score sums weights of its ancestors' tags, classes, ids and roles and of its own text
 (length, share of link text, punctuation, words of short blocks), and weights on pairs of neighbouring labels let a block
 lean on the one before. Weights maximise the likelihood of labelled pages (forward-backward, regularised); Viterbi finds
-the best labelling of a page. The labelled pages come from `training_pages`, which lays out articles of invented words
+the best labelling of a page. Ancestors' features count once each, at any depth. What script, style, template, iframe, noembed,
+noframes, xmp and svg hold is not text, up to their end tag or else the end of the page. The labelled pages come from `training_pages`, which lays out articles of invented words
 with the furniture of many kinds of sites; `fit` takes any other labelled pages as well.
 """
 
@@ -30,7 +31,7 @@ NAME = re.compile(r"[a-z]+")
 WORD = re.compile(r"[^\W\d_]+")
 # Fixed values of HTML: elements without content, with raw text, and those laid out as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe noembed noframes xmp svg math object canvas".split())
+RAW = frozenset("script style template iframe noembed noframes xmp svg".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 CLOSES_P = BLOCK - frozenset("body button head html label option optgroup select textarea title".split())
 #: An element that begins ends an open one of these, up to the nearest of the bounds.
@@ -38,12 +39,41 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
 SPACE = {"br", "wbr", "img", "input", "hr"}
 
 
+class Path:
+    """The features of open elements, each once: those of the elements around, and what the innermost adds."""
+
+    __slots__ = ("outer", "added")
+
+    def __init__(self, outer: Path | None, added: tuple[str, ...]):
+        self.outer, self.added = outer, added
+
+    def __iter__(self):
+        parts, node = [], self
+        while node is not None:
+            parts.append(node.added)
+            node = node.outer
+        return (f for added in reversed(parts) for f in added)
+
+    def score(self, weight: dict[str, float], memo: dict[Path, float]) -> float:
+        """Sum of the weights; memo has those of the elements around that were asked for before."""
+        new, node = [], self
+        while node is not None and node not in memo:
+            new.append(node)
+            node = node.outer
+        total = 0.0 if node is None else memo[node]
+        for node in reversed(new):
+            for f in node.added:
+                total += weight.get(f, 0.0)
+            memo[node] = total
+        return total
+
+
 @dataclass
 class Block:
     """Text with references decoded and white space single; features of the path and of the text."""
 
     text: str
-    path: tuple[str, ...]
+    path: Path
     own: tuple[str, ...] = field(default=())
 
 
@@ -79,17 +109,20 @@ def text_features(text: str, linked: int, tag: str) -> tuple[str, ...]:
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks in page order; scripts, styles, comments and the like leave none."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
+    # tag, path, the tag and path of the nearest block, features
+    stack: list[tuple[str, Path, tuple[str, Path], tuple[str, ...]]] = [("", top := Path(None, ()), ("", top), ())]
+    places: dict[str, list[int]] = {}  # where in the stack a tag is open
+    shown: dict[str, int] = {}  # how many open elements have a feature
     parts: list[str] = []
     state = {"linked": 0, "links": 0}
-    where: tuple[str, tuple[str, ...]] = stack[0]
+    where: tuple[str, Path] = stack[0][2]
     if not page:
         return out
 
     def text(raw: str) -> None:
         nonlocal where
         if not parts:
-            where = next((e for e in reversed(stack) if e[0] in BLOCK or e[0] == ""), stack[0])
+            where = stack[-1][2]
         plain = html.unescape(raw) if "&" in raw else raw
         parts.append(plain)
         if state["links"]:
@@ -104,13 +137,20 @@ def blocks(page: str | None) -> list[Block]:
             state["linked"] = 0
 
     def close(index: int) -> None:
-        for tag, _ in stack[index:]:
+        for tag, _, _, features in stack[index:]:
             if tag in BLOCK:
                 flush()
             if tag == "a":
                 state["links"] -= 1
+            places[tag].pop()
+            for f in features:
+                shown[f] -= 1
         del stack[index:]
 
+    def innermost(*tags: str) -> int:
+        """Where the innermost open one of these is; 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     at, end = 0, len(page)
     while at < end:
         m = TAG.search(page, at)
@@ -122,13 +162,10 @@ def blocks(page: str | None) -> list[Block]:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            if i := innermost(tag):
+                close(i)
+            elif tag in BLOCK:
+                flush()
             continue
         if not m[2]:
             continue
@@ -148,24 +185,24 @@ def blocks(page: str | None) -> list[Block]:
             flush()
         if tag in CLOSES:
             which, bounds = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in bounds:
+            bound = innermost(*bounds)
+            while (i := innermost(*which)) > bound:
+                close(i)
+                if tag != "tr":
                     break
-                if stack[i][0] in which:
-                    close(i)
-                    if tag != "tr":
-                        break
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in ("table", "td", "th", "button", "caption"):
-                    break
-        if len(stack) < 400:  # elements nested deeper are read as part of the one at that depth
-            stack.append((tag, stack[-1][1] + element_features(tag, m[3] or "") if len(stack) < 60 else stack[-1][1]))
-            if tag == "a":
-                state["links"] += 1
+            i = innermost("p")
+            if i > innermost("table", "td", "th", "button", "caption"):
+                close(i)
+        features = element_features(tag, m[3] or "")
+        added = tuple(f for f in dict.fromkeys(features) if not shown.get(f))
+        for f in features:
+            shown[f] = shown.get(f, 0) + 1
+        path = Path(stack[-1][1], added) if added else stack[-1][1]
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, path, (tag, path) if tag in BLOCK else stack[-1][2], features))
+        if tag == "a":
+            state["links"] += 1
     flush()
     return out
 
@@ -178,20 +215,15 @@ class ChainModel:
     pair: np.ndarray
     first: np.ndarray
 
-    def decode(self, page_blocks: list[Block], memo: dict | None = None) -> list[bool]:
+    def decode(self, page_blocks: list[Block]) -> list[bool]:
         """Viterbi: the best labelling of a page; ties to `not content`."""
         w = self.weight
-        memo = {} if memo is None else memo
+        memo: dict[Path, float] = {}
         (p00, p01), (p10, p11) = self.pair.tolist()
         back = []
         s0 = s1 = 0.0
         for i, b in enumerate(page_blocks):
-            path = memo.get(b.path)
-            if path is None:
-                if len(memo) > 50_000:
-                    memo.clear()
-                path = memo[b.path] = sum(w.get(f, 0.0) for f in b.path)
-            e = path + sum([w.get(f, 0.0) for f in b.own])
+            e = b.path.score(w, memo) + sum([w.get(f, 0.0) for f in b.own])
             if i == 0:
                 s0, s1 = float(self.first[0]), float(self.first[1]) + e
                 continue
@@ -208,9 +240,9 @@ class ChainModel:
             labels.append(bool(label))
         return labels[::-1]
 
-    def extract(self, page: str | None, memo: dict | None = None) -> str:
+    def extract(self, page: str | None) -> str:
         found = blocks(page)
-        return "\n".join(b.text for b, keep in zip(found, self.decode(found, memo), strict=True) if keep)
+        return "\n".join(b.text for b, keep in zip(found, self.decode(found), strict=True) if keep)
 
 
 def fit(pages: list[tuple[list[Block], list[bool]]], rounds: int = 30, ridge: float = 5e-5, seed: int = 5) -> ChainModel:
@@ -431,9 +463,9 @@ def extract(pages: DataFrame, model: ChainModel) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def extracted(batches):
-        crf, memo = shared.value, {}
+        crf = shared.value
         for b in batches:
-            texts = [crf.extract(p, memo) for p in b.column(2).to_pylist()]
+            texts = [crf.extract(p) for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)

@@ -44,6 +44,19 @@ def test_html_blocks():
     assert len(html_crf.blocks("<div>" * 5000 + "x")) == 1
 
 
+@pytest.mark.parametrize("depth", [0, 70, 500, 20_000])
+def test_html_of_any_depth(crf, depth):
+    """Unclosed elements before the page hide neither its furniture nor its article, and end tags close their own."""
+    assert crf.extract(PAGE.replace("<header", '<font><b><span class="x">' * (depth // 3) + "<header", 1)) == TEXT
+    found = html_crf.blocks("<div>" * depth + "<nav>a</nav><p>b")
+    assert "t=nav" in [*found[0].path] and "t=nav" not in [*found[1].path] and [*found[1].path].count("t=div") == min(depth, 1)
+
+
+def test_html_text_of_ordinary_elements(crf):
+    page = PAGE.replace("First ", "First <math><mi>x</mi></math> <noscript>y</noscript> <object>z</object> <canvas>w ")
+    assert crf.extract(page) == TEXT.replace("First ", "First x y z w ")
+
+
 def test_viterbi_is_the_best_labelling(crf):
     """Against all labellings of short pages."""
     rng = random.Random(1)
