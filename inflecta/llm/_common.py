@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inflecta.sources.shared import shared_dir, written
 
-__all__ = ["GEAR", "fold", "mix", "prefix_sums", "row_key", "shared_dir", "small_batches", "span_hash", "table", "utf8", "written"]
+__all__ = ["GEAR", "fold", "mix", "prefix_sums", "row_key", "shared_dir", "slices", "span_hash", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of an Arrow batch that a Python worker holds at once (it holds several copies of what it works on).
-BATCH_BYTES = 16 << 20
+#: Bytes of rows that a Python worker works on at once (it holds several copies of what it works on).
+BATCH_BYTES = 8 << 20
 
 
-def small_batches(df: DataFrame) -> None:
-    """Keeps the session's Arrow batches within BATCH_BYTES, so that long texts don't add up in a worker."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(str(df.sparkSession.conf.get(name)).rstrip("b"))
-    if not 0 < now <= BATCH_BYTES:
-        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about BATCH_BYTES, a row at least, however large the session's batches are."""
+    for b in batches:
+        rows = max(1, b.num_rows * BATCH_BYTES // max(b.nbytes, BATCH_BYTES))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def fold(doc_id: Column) -> Column:

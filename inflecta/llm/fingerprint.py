@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inflecta.llm._common import GEAR, prefix_sums, small_batches, span_hash
+from inflecta.llm._common import GEAR, prefix_sums, slices, span_hash
 
 MIN, NORMAL, MAX = 16, 64, 512
 HARD, EASY = np.uint32(0x7F << 25), np.uint32(0x1F << 25)
@@ -145,7 +145,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     def marked(batches):
         held = None  # (bucket, doc_id, text, data, chunks) of the row that waits for its successor
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text, b, role in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if role and held is None:
@@ -162,7 +162,6 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    small_batches(documents)
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     return in_order(documents.withColumn("doc_id", F.col("doc_id").cast("long"))).select("doc_id", "t", "b", "role").mapInArrow(marked, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -1,12 +1,19 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the DOM.
 
 A page is read into its leaf blocks: the runs of text between block-level tags, with the elements around them. Each block
-is content or not; a block's score sums weights of its ancestors' tags, classes, ids and roles and of its own text
-(length, share of link text, punctuation, words of short blocks), and weights on pairs of neighbouring labels let a block
-lean on the one before. Weights maximise the likelihood of labelled pages (forward-backward, regularised); Viterbi finds
-the best labelling of a page. Ancestors' features count once each, at any depth. What script, style, template, iframe, noembed,
-noframes, xmp and svg hold is not text, up to their end tag or else the end of the page. The labelled pages come from `training_pages`, which lays out articles of invented words
-with the furniture of many kinds of sites; `fit` takes any other labelled pages as well.
+is content or not; a block's score sums weights of its ancestors' tags, classes, ids and roles, of its own text (length,
+share of link text, punctuation, words of short blocks) and its neighbours', and of where it stands to the container with
+the most running text on the page; weights on pairs of neighbouring labels let a block lean on the one before. Weights
+maximise the likelihood of labelled pages (forward-backward, regularised); Viterbi finds the best labelling of a page.
+
+An ancestor's feature counts once however often it occurs, neutral tags (div, td and the like) and the names on html and
+body say nothing, and names on elements that hold most of the page's text are features of their own, so that wrappers, of
+any number and name, don't speak for what they wrap. Time and memory are in proportion to the page at any depth.
+
+What script, style, template, iframe, noembed, noframes and svg hold is not text, up to their end tag or else the end of
+the page; nor is what an inline element with `hidden` or `display:none` holds (on block elements those are features). The
+labelled pages come from `training_pages`, which lays out articles of invented words with the furniture of many kinds of
+sites; `fit` takes any other labelled pages as well.
 """
 
 from __future__ import annotations
@@ -23,128 +30,159 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inflecta.llm._common import small_batches
+from inflecta.llm._common import slices
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-NAME = re.compile(r"[a-z]+")
+# an attribute's value ends at its closing quote; a quote without one, or inside a bare value, is a character of it
+_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>]*+"
+ATTRIBUTE = re.compile(rf"([^\s/>=]++)(?:\s*+=\s*+({_VALUE}))?+")
+TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|</([a-zA-Z][^\s/>]*+)[^>]*+>?|<([a-zA-Z][^\s/>]*+)((?:[\s/=]++|[^\s/>=]++(?:\s*+=\s*+(?:{_VALUE}))?+)*+)>?|<[!?/][^>]*+>?", re.S)
+CLASS_NAME = re.compile(r"[^\s]+")
+LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 WORD = re.compile(r"[^\W\d_]+")
-# Fixed values of HTML: elements without content, with raw text, and those laid out as blocks.
+UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
+# Fixed values of HTML: elements without content, with raw text, with text but no elements, and those laid out as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template iframe noembed noframes xmp svg".split())
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
+RAW = frozenset("script style template iframe noembed noframes svg".split())
+TEXT_ONLY = frozenset("title textarea xmp".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul xmp".split())
 CLOSES_P = BLOCK - frozenset("body button head html label option optgroup select textarea title".split())
 #: An element that begins ends an open one of these, up to the nearest of the bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 SPACE = {"br", "wbr", "img", "input", "hr"}
-
-
-class Path:
-    """The features of open elements, each once: those of the elements around, and what the innermost adds."""
-
-    __slots__ = ("outer", "added")
-
-    def __init__(self, outer: Path | None, added: tuple[str, ...]):
-        self.outer, self.added = outer, added
-
-    def __iter__(self):
-        parts, node = [], self
-        while node is not None:
-            parts.append(node.added)
-            node = node.outer
-        return (f for added in reversed(parts) for f in added)
-
-    def score(self, weight: dict[str, float], memo: dict[Path, float]) -> float:
-        """Sum of the weights; memo has those of the elements around that were asked for before."""
-        new, node = [], self
-        while node is not None and node not in memo:
-            new.append(node)
-            node = node.outer
-        total = 0.0 if node is None else memo[node]
-        for node in reversed(new):
-            for f in node.added:
-                total += weight.get(f, 0.0)
-            memo[node] = total
-        return total
+#: Elements whose tag says nothing of what they hold, and those that hold a part of the page rather than a part of a text.
+NEUTRAL = frozenset("body center div html section table tbody td tfoot th thead tr".split())
+HOLDERS = frozenset("article aside body center details dialog div fieldset footer form header html main menu nav search section".split())
+BESIDE = frozenset("aside footer form head nav".split())
+TELLING = BESIDE | {"article", "header", "main"}
+#: Names that begin so tell of something elsewhere on the page.
+ELSEWHERE = ("has-", "has_", "with-", "with_", "no-", "no_", "js-", "is-")
+WIDE = 0.7
 
 
 @dataclass
 class Block:
-    """Text with references decoded and white space single; features of the path and of the text."""
+    """Text with references decoded and white space single, the element that holds it, and the features of the text."""
 
     text: str
-    path: Path
+    node: int
+    linked: int
     own: tuple[str, ...] = field(default=())
 
 
-def element_features(tag: str, attributes: str) -> tuple[str, ...]:
-    """The tag, and the words in its class, id, role and the like."""
-    out = [f"t={tag}"]
-    if attributes and "=" in attributes or "hidden" in attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            name = m[1].lower()
-            if name in ("hidden", "aria-hidden"):
-                if (m[2] or m[3] or m[4] or "true").lower() != "false":
-                    out.append("hidden")
-            else:
-                words = NAME.findall((m[2] or m[3] or m[4] or "").lower())
-                out += [f"c={w}" for w in dict.fromkeys(words)]
-    return tuple(out)
+@dataclass
+class Page:
+    """Blocks in page order; parent and added features of each element, in the order of their start tags (0: the page)."""
+
+    blocks: list[Block]
+    parent: list[int]
+    added: list[tuple[str, ...]]
+
+    def path(self, block: Block) -> list[str]:
+        """Features of the elements around a block, each once."""
+        out, node = [], block.node
+        while node >= 0:
+            out += self.added[node]
+            node = self.parent[node]
+        return out
 
 
-def text_features(text: str, linked: int, tag: str) -> tuple[str, ...]:
+def element_features(tag: str, attributes: str) -> tuple[tuple[str, ...], bool]:
+    """The tag and the words in class, id, role and the like; and whether the element is not shown."""
+    out = [] if tag in NEUTRAL else [f"t={tag}"]
+    hidden = unshown = False
+    if attributes:
+        for m in ATTRIBUTE.finditer(attributes):
+            name = m[1].lower()
+            value = (m[2] or "").strip("\"'")
+            if name == "hidden" or name == "style" and UNSHOWN.search(value):
+                hidden = unshown = True
+            elif name == "aria-hidden":
+                hidden = hidden or value.lower() == "true"
+            elif name in ("class", "id", "role", "itemprop") and tag not in ("html", "body"):
+                for part in CLASS_NAME.findall(value):
+                    if not part.lower().startswith(ELSEWHERE):
+                        for w in LETTERS.findall(part):
+                            w = w.lower()
+                            if len(w) > 1:
+                                out.append(f"c={w}")
+                                if len(w) > 4:
+                                    out += (f"c^{w[:4]}", f"c${w[-4:]}")
+    if hidden:
+        out.append("hidden")
+    return tuple(dict.fromkeys(out)), unshown
+
+
+def size_of(n: int) -> int:
+    return min(8, int(math.log2(n + 1)))
+
+
+def share_of(part: float, whole: float) -> int:
+    """A share in six steps, from nothing to all but all."""
+    x = part / whole if whole else 0.0
+    return 0 if x <= 0 else 1 if x < 0.1 else 2 if x < 0.34 else 3 if x < 0.6 else 4 if x < 0.9 else 5
+
+
+def text_features(text: str, linked: int, tag: str) -> list[str]:
     """What the block's own text says."""
     n = len(text)
-    share = linked / n
-    out = [f"b={tag}", f"n={min(8, int(math.log2(n + 1)))}", f"a={0 if share == 0 else 1 if share < 0.34 else 2 if share < 0.9 else 3}"]
+    out = [f"b={tag}", f"n={size_of(n)}", f"a={share_of(linked, n)}"]
     if text[-1] in ".!?:;…。":
         out.append("end")
     if "©" in text or "(c)" in text.lower():
         out.append("copyright")
     if n <= 80:
         out += [f"w={w}" for w in dict.fromkeys(WORD.findall(text.lower()))]
-    return tuple(out)
+    return out
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks in page order; scripts, styles, comments and the like leave none."""
-    out: list[Block] = []
-    # tag, path, the tag and path of the nearest block, features
-    stack: list[tuple[str, Path, tuple[str, Path], tuple[str, ...]]] = [("", top := Path(None, ()), ("", top), ())]
+def after(page: str, at: int, tag: str) -> int:
+    """Where an element with raw text ends; svg and template may hold their like."""
+    nests, depth = tag in ("svg", "template"), 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>]|\Z)[^>]*+>?", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif nests and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(page)
+
+
+def parsed(page: str | None) -> tuple[list[Block], list[int], list[str], list[tuple[str, ...]]]:
+    """The leaf blocks in page order, and the parent, tag and features of each element that can hold some."""
+    blocks: list[Block] = []
+    parent, tags, names = [-1], [""], [()]
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element that holds, whether an inline element is unshown
     places: dict[str, list[int]] = {}  # where in the stack a tag is open
-    shown: dict[str, int] = {}  # how many open elements have a feature
     parts: list[str] = []
-    state = {"linked": 0, "links": 0}
-    where: tuple[str, Path] = stack[0][2]
-    if not page:
-        return out
+    state = {"linked": 0, "links": 0, "unshown": 0, "where": 0}
+    page = page or ""
 
     def text(raw: str) -> None:
-        nonlocal where
+        if state["unshown"]:
+            return
         if not parts:
-            where = stack[-1][2]
-        plain = html.unescape(raw) if "&" in raw else raw
-        parts.append(plain)
+            state["where"] = stack[-1][1]
+        parts.append(raw)
         if state["links"]:
-            state["linked"] += len(plain)
+            state["linked"] += len(raw)
 
     def flush() -> None:
         if parts:
             joined = " ".join("".join(parts).split())
             if joined:
-                out.append(Block(joined, where[1], text_features(joined, min(state["linked"], len(joined)), where[0])))
+                blocks.append(Block(joined, state["where"], min(state["linked"], len(joined))))
             parts.clear()
             state["linked"] = 0
 
     def close(index: int) -> None:
-        for tag, _, _, features in stack[index:]:
+        for tag, _, unshown in stack[index:]:
             if tag in BLOCK:
                 flush()
             if tag == "a":
                 state["links"] -= 1
+            state["unshown"] -= unshown
             places[tag].pop()
-            for f in features:
-                shown[f] -= 1
         del stack[index:]
 
     def innermost(*tags: str) -> int:
@@ -156,7 +194,8 @@ def blocks(page: str | None) -> list[Block]:
         m = TAG.search(page, at)
         start = m.start() if m else end
         if start > at:
-            text(page[at:start])
+            raw = page[at:start]
+            text(html.unescape(raw) if "&" in raw else raw)
         if not m:
             break
         at = m.end()
@@ -166,6 +205,8 @@ def blocks(page: str | None) -> list[Block]:
                 close(i)
             elif tag in BLOCK:
                 flush()
+            elif tag == "br" and parts:
+                parts.append(" ")
             continue
         if not m[2]:
             continue
@@ -177,9 +218,8 @@ def blocks(page: str | None) -> list[Block]:
                 parts.append(" ")
             continue
         if tag in RAW:
-            if not m[0].endswith("/>"):
-                stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                at = stop.end() if stop else end
+            if tag != "svg" or not m[0].endswith("/>"):
+                at = after(page, at, tag)
             continue
         if tag in BLOCK:
             flush()
@@ -194,17 +234,104 @@ def blocks(page: str | None) -> list[Block]:
             i = innermost("p")
             if i > innermost("table", "td", "th", "button", "caption"):
                 close(i)
-        features = element_features(tag, m[3] or "")
-        added = tuple(f for f in dict.fromkeys(features) if not shown.get(f))
-        for f in features:
-            shown[f] = shown.get(f, 0) + 1
-        path = Path(stack[-1][1], added) if added else stack[-1][1]
+        own, unshown = element_features(tag, m[3])
+        holds = tag in BLOCK or "-" in tag
+        if holds:
+            parent.append(stack[-1][1])
+            tags.append(tag)
+            names.append(own)
         places.setdefault(tag, []).append(len(stack))
-        stack.append((tag, path, (tag, path) if tag in BLOCK else stack[-1][2], features))
+        stack.append((tag, len(parent) - 1 if holds else stack[-1][1], unshown and not holds))
+        state["unshown"] += stack[-1][2]
         if tag == "a":
             state["links"] += 1
+        if tag in TEXT_ONLY:
+            stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
+            upto = stop.start() if stop else end
+            text(page[at:upto] if tag == "xmp" else html.unescape(page[at:upto]))
+            at = upto
     flush()
-    return out
+    return blocks, parent, tags, names
+
+
+def described(blocks: list[Block], parent: list[int], tags: list[str], names: list[tuple[str, ...]]) -> Page:
+    """The page with the features of its elements and blocks."""
+    n = len(parent)
+    chars, linked, parted = [0] * n, [0] * n, [False] * n
+    for b in blocks:
+        chars[b.node] += len(b.text)
+        linked[b.node] += b.linked
+    for i in range(n - 1, 0, -1):
+        chars[parent[i]] += chars[i]
+        linked[parent[i]] += linked[i]
+        if chars[i]:
+            parted[parent[i]] = True
+    # the holder of each element: the nearest element that is a part of the page (a table cell, if it has blocks inside)
+    holder = [0] * n
+    for i in range(1, n):
+        holder[i] = i if tags[i] in HOLDERS or "-" in tags[i] or tags[i] == "td" and parted[i] else holder[parent[i]]
+    beside = [False] * n  # inside an element that is no article by its tag
+    kind = [""] * n  # the innermost element that tells by its tag what it is, and the next one around it
+    for i in range(1, n):
+        beside[i] = beside[parent[i]] or tags[i] in BESIDE
+        kind[i] = f"{tags[i]} {kind[parent[i]].split(' ')[0]}" if tags[i] in TELLING else kind[parent[i]]
+    prose, rank = [0.0] * n, [0.0] * n
+    for b in blocks:
+        plain = len(b.text) - b.linked
+        if plain >= 25 and not beside[b.node]:
+            prose[holder[b.node]] += plain
+    for i in range(n):
+        if prose[i]:
+            rank[i] += prose[i]
+            if i:
+                rank[holder[parent[i]]] += prose[i] / 2
+    best = max(range(n), key=rank.__getitem__)  # of equals the first
+    within, around = [False] * n, [False] * n
+    within[best] = True
+    for i in range(best + 1, n):
+        within[i] = within[parent[i]]
+    i = best
+    while i > 0:
+        i = parent[i]
+        around[i] = True
+    inside = [i for i, b in enumerate(blocks) if within[holder[b.node]]]
+    first, last = (inside[0], inside[-1]) if inside else (0, -1)
+    all_prose = sum(prose)
+
+    added: list[tuple[str, ...]] = [()] * n
+    shown: dict[str, int] = {}  # how many of the elements around have a feature
+    stack: list[tuple[int, tuple[str, ...]]] = []
+    for i in range(1, n):
+        while stack and stack[-1][0] != parent[i]:
+            for f in stack.pop()[1]:
+                shown[f] -= 1
+        own = names[i]
+        if chars[i] > WIDE * chars[0]:
+            own = tuple([f if f == "hidden" else "W" + f for f in own])
+        added[i] = tuple([f for f in own if not shown.get(f)])
+        for f in own:
+            shown[f] = shown.get(f, 0) + 1
+        stack.append((i, own))
+
+    looks = [f"{size_of(len(b.text)) // 2}{share_of(b.linked, len(b.text))}" for b in blocks]
+    for i, b in enumerate(blocks):
+        h = holder[b.node]
+        own = text_features(b.text, b.linked, tags[b.node])
+        stands = ("in" if within[h] else "up" if around[h] else "out") + ("<" if i < first else ">" if i > last else "")
+        own += [
+            f"r={stands}", f"r={stands} {looks[i]}", f"r={stands} {own[0]}",
+            f"l={share_of(linked[h], chars[h])}", f"l={share_of(linked[h], chars[h])} {stands}",
+            f"s={share_of(prose[h], all_prose)}", f"s={share_of(prose[h], all_prose)} {stands}",
+            f"k={kind[h]}", f"k={kind[h]} {stands}",
+            f"p={looks[i - 1] if i else ''}", f"q={looks[i + 1] if i + 1 < len(blocks) else ''}",
+        ]
+        b.own = tuple(own)
+    return Page(blocks, parent, added)
+
+
+def read(page: str | None) -> Page:
+    """The leaf blocks in page order with their features; scripts, styles, comments and the like leave none."""
+    return described(*parsed(page))
 
 
 @dataclass
@@ -215,15 +342,20 @@ class ChainModel:
     pair: np.ndarray
     first: np.ndarray
 
-    def decode(self, page_blocks: list[Block]) -> list[bool]:
+    def scores(self, page: Page) -> list[float]:
+        """Score of `content` for each block."""
+        get = self.weight.get
+        above = [0.0] * len(page.parent)
+        for i in range(1, len(above)):
+            above[i] = above[page.parent[i]] + sum([get(f, 0.0) for f in page.added[i]])
+        return [above[b.node] + sum([get(f, 0.0) for f in b.own]) for b in page.blocks]
+
+    def decode(self, page: Page) -> list[bool]:
         """Viterbi: the best labelling of a page; ties to `not content`."""
-        w = self.weight
-        memo: dict[Path, float] = {}
         (p00, p01), (p10, p11) = self.pair.tolist()
         back = []
         s0 = s1 = 0.0
-        for i, b in enumerate(page_blocks):
-            e = b.path.score(w, memo) + sum([w.get(f, 0.0) for f in b.own])
+        for i, e in enumerate(self.scores(page)):
             if i == 0:
                 s0, s1 = float(self.first[0]), float(self.first[1]) + e
                 continue
@@ -231,7 +363,7 @@ class ChainModel:
             from1 = s1 + p11 > s0 + p01
             back.append((from0, from1))
             s0, s1 = (s1 + p10 if from0 else s0 + p00), (s1 + p11 if from1 else s0 + p01) + e
-        if not page_blocks:
+        if not page.blocks:
             return []
         label = int(s1 > s0)
         labels = [bool(label)]
@@ -241,52 +373,75 @@ class ChainModel:
         return labels[::-1]
 
     def extract(self, page: str | None) -> str:
-        found = blocks(page)
-        return "\n".join(b.text for b, keep in zip(found, self.decode(found), strict=True) if keep)
+        found = read(page)
+        return "\n".join(b.text for b, keep in zip(found.blocks, self.decode(found), strict=True) if keep)
 
 
-def fit(pages: list[tuple[list[Block], list[bool]]], rounds: int = 30, ridge: float = 5e-5, seed: int = 5) -> ChainModel:
-    """Maximum likelihood by AdaGrad over pages, gradients by forward-backward."""
+def marginals(e: np.ndarray, lengths: np.ndarray, pair: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over pages side by side: P(label at t) and P(labels at t-1 and t), zero behind a page's end.
+
+    e[page, t] is the score of `content`. Values are scaled at each step, which leaves the probabilities as they are.
+    """
+    pages, steps = e.shape
+    x = np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], 2)
+    m = np.exp(pair)
+    up, down = np.zeros((pages, steps, 2)), np.ones((pages, steps, 2))
+    up[:, 0] = np.exp(first) * x[:, 0]
+    for t in range(1, steps):
+        v = (up[:, t - 1] / up[:, t - 1].sum(1, keepdims=True)) @ m
+        up[:, t] = v * x[:, t]
+    for t in range(steps - 2, -1, -1):
+        v = (x[:, t + 1] * down[:, t + 1]) @ m.T
+        v /= v.sum(1, keepdims=True)
+        down[:, t] = np.where((t + 1 < lengths)[:, None], v, 1.0)
+    p = up * down
+    p /= p.sum(2, keepdims=True)
+    both = up[:, :-1, :, None] * m * (x * down)[:, 1:, None, :]
+    both /= both.sum((2, 3), keepdims=True)
+    alive = np.arange(steps) < lengths[:, None]
+    return p * alive[:, :, None], both * alive[:, 1:, None, None]
+
+
+def fit(pages: list[tuple[Page, list[bool]]], rounds: int = 24, batch: int = 48, ridge: float = 5e-5, seed: int = 5) -> ChainModel:
+    """Maximum likelihood by AdaGrad over batches of pages of like length, gradients by forward-backward."""
     index: dict[str, int] = {}
-    data = []
-    for found, labels in pages:
-        if found:
-            rows = [[index.setdefault(f, len(index)) for f in (*b.path, *b.own)] for b in found]
-            use, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-            data.append((use, inverse, np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array(labels, np.int64)))
-    w, gw = np.zeros(len(index)), np.full(len(index), 1e-3)
-    q, gq = np.zeros(6), np.full(6, 1e-3)  # pair 0-3, first 4-5
-    order, rng = list(range(len(data))), random.Random(seed)
+    pages = sorted((p for p in pages if p[0].blocks), key=lambda p: len(p[1]))
+    batches = []
+    for at in range(0, len(pages), batch):
+        part = pages[at : at + batch]
+        steps = max(len(y) for _, y in part)
+        columns, owner = [], []
+        labels, lengths = np.zeros((len(part), steps), np.int64), np.array([len(y) for _, y in part])
+        for i, (page, y) in enumerate(part):
+            labels[i, : len(y)] = y
+            paths: dict[int, list[int]] = {}
+            for t, b in enumerate(page.blocks):
+                if b.node not in paths:
+                    paths[b.node] = [index.setdefault(f, len(index)) for f in page.path(b)]
+                row = paths[b.node] + [index.setdefault(f, len(index)) for f in b.own]
+                columns += row
+                owner += [i * steps + t] * len(row)
+        use, inverse = np.unique(np.array(columns), return_inverse=True)
+        batches.append((use, inverse, np.array(owner), labels, lengths))
+    w, gw = np.zeros(len(index)), np.full(len(index), 1e-2)
+    q, gq = np.zeros(6), np.full(6, 1e-2)  # pair 0-3, first 4-5
+    order, rng = list(range(len(batches))), random.Random(seed)
     for _ in range(rounds):
         rng.shuffle(order)
         for i in order:
-            use, inverse, owner, y = data[i]
-            n = len(y)
-            e = np.bincount(owner, w[use][inverse], n)
-            pair = q[:4].reshape(2, 2)
-            up = np.zeros((n, 2))
-            up[0] = q[4:] + (0, e[0])
-            for t in range(1, n):
-                up[t] = np.logaddexp(up[t - 1, 0] + pair[0], up[t - 1, 1] + pair[1]) + (0, e[t])
-            down = np.zeros((n, 2))
-            for t in range(n - 2, -1, -1):
-                nxt = down[t + 1] + (0, e[t + 1])
-                down[t] = np.logaddexp(pair[:, 0] + nxt[0], pair[:, 1] + nxt[1])
-            total = np.logaddexp(*up[-1])
-            p = np.exp(up + down - total)
-            d = p[:, 1] - y
+            use, inverse, owner, y, lengths = batches[i]
+            e = np.bincount(owner, w[use][inverse], y.size).reshape(y.shape)
+            p, both = marginals(e, lengths, q[:4].reshape(2, 2), q[4:])
+            alive = np.arange(y.shape[1]) < lengths[:, None]
+            d = (p[:, :, 1] - y) * alive
             counts = np.zeros(6)
-            counts[4:] = p[0]
-            counts[4 + y[0]] -= 1
-            for t in range(1, n):
-                both = np.exp(up[t - 1][:, None] + pair + (down[t] + (0, e[t]))[None, :] - total)
-                counts[:4] += both.ravel()
-                counts[2 * y[t - 1] + y[t]] -= 1
-            g = np.bincount(inverse, d[owner], len(use)) + ridge * w[use]
+            counts[:4] = both.sum((0, 1)).ravel() - np.bincount((2 * y[:, :-1] + y[:, 1:])[alive[:, 1:]], minlength=4)
+            counts[4:] = p[:, 0].sum(0) - np.bincount(y[:, 0], minlength=2)
+            g = np.bincount(inverse, d.ravel()[owner], len(use)) + ridge * len(y) * w[use]
             gw[use] += g * g
-            w[use] -= 0.15 * g / np.sqrt(gw[use])
+            w[use] -= 0.3 * g / np.sqrt(gw[use])
             gq += counts * counts
-            q -= 0.05 * counts / np.sqrt(gq)
+            q -= 0.1 * counts / np.sqrt(gq)
     return ChainModel({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, q[:4].reshape(2, 2).copy(), q[4:].copy())
 
 
@@ -294,163 +449,265 @@ def fit(pages: list[tuple[list[Block], list[bool]]], rounds: int = 30, ridge: fl
 
 #: What each kind of furniture is called in class and id names, and the words that short blocks of it show.
 FURNITURE = {
-    "ad": ("ad ads advert advertisement banner sponsored promo promotion adsbygoogle dfp commercial", "advertisement sponsored ad promoted buy now offer sale"),
-    "nav": ("nav navbar navigation menu topnav breadcrumb breadcrumbs pagination pager toc links tabs skip", "home about contact next previous menu login search more"),
-    "header": ("header masthead topbar logo branding site sitehead hero", "welcome home subscribe sign in"),
-    "footer": ("footer foot colophon copyright legal bottom siteinfo", "copyright all rights reserved privacy policy terms imprint"),
-    "aside": ("sidebar aside widget related recommended popular trending rail secondary teaser tags archive", "related popular recent posts most read archives tags"),
-    "notice": ("notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup paywall message toast disclaimer warning", "cookies accept we use this site subscribe newsletter agree"),
-    "share": ("share sharing social follow buttons print", "share tweet facebook email print follow us"),
-    "form": ("form search login signup contact poll survey", "submit name email password send search reset"),
-    "comment": ("comment comments respond replies discussion disqus commentlist reply thread", "comments reply says posted leave a comment report"),
+    "ad": ("ad ads advert advertisement banner sponsored promo promotion adsbygoogle dfp commercial adslot adbox advertSlot sponsor outbrain taboola", "advertisement sponsored ad promoted buy now offer sale anzeige publicité publicidad реклама"),
+    "nav": ("nav navbar navigation menu topnav breadcrumb breadcrumbs pagination pager toc links tabs skip mainmenu leftMenu sitenav navWrapper topmenu portal subnav", "home about contact next previous menu login search more news skip to content navigation startseite kontakt accueil inicio contacto главная"),
+    "header": ("header masthead topbar logo branding site sitehead hero siteHeader pageheader topBar tagline", "welcome home subscribe sign in your daily news"),
+    "footer": ("footer foot colophon copyright legal bottom siteinfo pageFooter sitefooter credits imprint", "copyright all rights reserved privacy policy terms imprint of use last edited licence impressum datenschutz mentions légales aviso legal"),
+    "aside": ("sidebar aside widget related recommended popular trending rail secondary teaser tags archive relatedStories leftSidebar rightcolumn jp-relatedposts morestories sphinxsidebar mostread category author-bio card panel list-group col-md-4 col-lg-3 right-column", "related popular recent posts most read archives tags more on this story you may also like categories in brief table of contents"),
+    "notice": ("notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup paywall message toast disclaimer warning cookieBanner newsletterSignup dialog lightbox", "cookies accept all we use this site subscribe now get our newsletter agree"),
+    "share": ("share sharing social follow buttons print sharedaddy addtoany shareButtons social-links sharebar likes", "share this tweet facebook twitter email print follow us click to"),
+    "form": ("form search login signup contact poll survey searchbox loginform respond", "submit name email password send search reset leave a reply"),
+    "comment": ("comment comments respond replies discussion disqus commentlist reply thread commentsArea disqus_thread responses", "comments reply says posted leave a comment report"),
 }
-CONTENT = "content article post entry body main story text page".split()
+CONTENT = "content article post entry body main story text page article-body post-content entry-content storyBody mw-parser-output single blogpost rightContent articleText markdown document bodywrapper".split()
+WRAPPERS = "wrapper container page layout row grid site hfeed app root outer inner wrap main-wrapper site-content content-area col-md-12 l-page l-main primary section shell viewport".split()
+SIDE_BY_SIDE = "row columns grid wrap flex two-col container layout".split()
+COLUMNS = ("col-md-8", "col-lg-9", "column left", "primary", "main-column", "eight columns", "l-main", "center", "content-area", "documentwrapper")
 ROLES = {"nav": "navigation", "header": "banner", "footer": "contentinfo", "aside": "complementary", "form": "search", "notice": "alert"}
+SYLLABLES = "th er on an re he in ed nd sch ei ü é ou ció a o st ti l m к на ру".split()
+
 
+class Layouts:
+    """Random pages; blocks of the article hold \x02 as their mark, to be taken off by `labelled`."""
 
-def training_pages(n: int = 1_500, seed: int = 11) -> list[str]:
-    """n pages; blocks of the article hold \\x02 as their mark, to be taken off by `labelled`."""
-    rng = random.Random(seed)
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+        self.names = "named"
+        self.vocabulary = ["".join(self.rng.choices(SYLLABLES, k=self.rng.randint(1, 5))) for _ in range(20_000)]
 
-    def word() -> str:
-        return "".join(rng.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "sch", "ei", "ü", "é", "ou", "ció", "a", "o", "st", "ti", "l", "m", "к", "на", "ру")) for _ in range(rng.randint(1, 5)))
+    def one(self, *choices):
+        return self.rng.choice(choices)
 
-    def words(k: int) -> str:
-        out = " ".join(word() for _ in range(k))
+    def chance(self, share: float) -> bool:
+        return self.rng.random() < share
+
+    def word(self) -> str:
+        return self.rng.choice(self.vocabulary)
+
+    def words(self, low: int, high: int | None = None) -> str:
+        out = " ".join(self.rng.choices(self.vocabulary, k=self.rng.randint(low, high or low)))
         return out[:1].upper() + out[1:]
 
-    def sentence(low: int = 1, high: int = 30) -> str:
-        s = words(rng.randint(low, high if rng.random() < 0.8 else min(high, 3)))
-        return s + rng.choice((".", ".", ".", "!", "?", "", "!!", "%%%", "&amp;")) if rng.random() < 0.9 else s.upper()
+    def sentence(self, low: int = 1, high: int = 30) -> str:
+        s = self.words(low, high if self.chance(0.8) else max(low, min(high, 3)))
+        return s + self.one(".", ".", ".", ".", "!", "?", "", "!!", "%%%", "&amp;") if self.chance(0.95) else s.upper()
+
+    def prose(self, low: int = 1, high: int = 4) -> str:
+        return " ".join(self.sentence() for _ in range(self.rng.randint(low, high)))
 
-    def prose(low: int = 1, high: int = 4) -> str:
-        return " ".join(sentence() for _ in range(rng.randint(low, high)))
+    def link(self, text: str) -> str:
+        return f'<a href="/{self.word()}">{text}</a>'
 
-    def link(text: str) -> str:
-        return f'<a href="/{word()}">{text}</a>'
+    def items(self, texts: list[str]) -> str:
+        tag = self.one("ul", "ul", "ol")
+        return f"<{tag}>{''.join(f'<li>{t}</li>' if self.chance(0.8) else f'<li>{t}' for t in texts)}</{tag}>"
 
-    def named(names: str | list[str], role: str = "") -> str:
-        names = names.split() if isinstance(names, str) else names
-        if role and rng.random() < 0.12:
+    def attributes(self, names, role: str = "") -> str:
+        """class or id of one of the names, as the page goes: names that tell, letters without sense, or none."""
+        if self.names == "none":
+            return ""
+        if self.names == "hashed":
+            return f' class="{self.one("css", "sc", "x", "_")}-{"".join(self.rng.choice("abcdefghij0123456789") for _ in range(6))}"' if self.chance(0.8) else ""
+        names = names.split() if isinstance(names, str) else list(names)
+        if role and self.chance(0.12):
             return f' role="{role}"'
-        chosen = [rng.choice(names)]
-        if names != CONTENT and rng.random() < 0.2:  # furniture is also named after the content that it stands by
-            chosen.append(rng.choice((*CONTENT, "posts", "articles")))
-            rng.shuffle(chosen)
-        elif rng.random() < 0.4:
-            chosen.append(rng.choice((word(), "box", "wrap", "inner", "block", "col", "area", "section", rng.choice(names))))
-        joined = rng.choice((" ", "-", "_")).join(chosen)
-        return f' {rng.choice(("class", "class", "id"))}="{joined}"'
-
-    def items(texts: list[str]) -> str:
-        return f"<ul>{''.join(f'<li>{t}</li>' if rng.random() < 0.8 else f'<li>{t}' for t in texts)}</ul>"
-
-    def shown(kind: str) -> str:
-        """Text of furniture: a telling phrase, a link, or prose that only its place gives away."""
-        r = rng.random()
-        if r < 0.3:
-            return " ".join(rng.sample(FURNITURE[kind][1].split(), rng.randint(1, 3))).capitalize()
-        return prose(1, 3) if r < 0.75 else link(words(rng.randint(1, 6)))
-
-    def furniture(kind: str) -> str:
+        chosen = [self.rng.choice(names)]
+        if names[0] in ("ad", "nav", "footer", "sidebar") and self.chance(0.2):  # furniture is also named after what it stands by
+            chosen.append(self.rng.choice((*CONTENT, "posts", "articles")))
+            self.rng.shuffle(chosen)
+        elif self.chance(0.4):
+            chosen.append(self.rng.choice((self.word(), "box", "wrap", "inner", "block", "col", "area", "section", self.rng.choice(names))))
+        return f' {self.one("class", "class", "id")}="{self.one(" ", "-", "_").join(chosen)}"' + (f' role="{role}"' if role and self.chance(0.15) else "")
+
+    def told(self, kind: str) -> str:
+        """A telling phrase."""
+        words = FURNITURE[kind][1].split()
+        at = self.rng.randrange(len(words))
+        return " ".join(words[at : at + self.rng.randint(1, 4)] if self.chance(0.5) else self.rng.sample(words, self.rng.randint(1, 3))).capitalize()
+
+    def shown(self, kind: str) -> str:
+        """Text of furniture: a telling phrase, a link, or, where names or tags give it away, prose."""
+        r = self.rng.random()
+        if r < (0.3 if self.names == "named" else 0.7):
+            return self.told(kind)
+        return self.prose(1, 3) if r < 0.75 and self.names == "named" else self.link(self.words(1, 6))
+
+    def furniture(self, kind: str) -> str:
         names = FURNITURE[kind][0]
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "div")
         attributes = ""
-        if tag == "div" or rng.random() < 0.6:
-            tag = rng.choice(("div", "div", "div", "div", "div", "section")) if tag == "div" or rng.random() < 0.7 else tag
-            attributes = named(names, ROLES.get(kind, ""))
+        if tag == "div" or self.chance(0.6):
+            tag = self.one("div", "div", "div", "div", "div", "section") if tag == "div" or self.chance(0.7) else tag
+            attributes = self.attributes(names, ROLES.get(kind, ""))
         if kind == "nav":
-            inner = items([link(words(rng.randint(1, 3))) for _ in range(rng.randint(2, 8))]) if rng.random() < 0.7 else " | ".join(link(words(1)) for _ in range(4))
+            told = FURNITURE["nav"][1].split()
+            labels = [self.link(self.rng.choice(told).capitalize() if self.chance(0.3) else self.words(1, 3)) if self.chance(0.9) else self.words(1) for _ in range(self.rng.randint(1, 9))]
+            inner = self.items(labels) if self.chance(0.6) else self.one(" | ", "<br>", " ", " &raquo; ").join(labels)
+            if self.chance(0.15):
+                inner = f"<{(h := self.one('h2', 'h3', 'h4'))}>{self.one('Navigation', 'Navigation menu', 'Menu', 'Table of contents', self.words(1, 2))}</{h}>" + inner
         elif kind == "form":
-            inner = f"<label>{words(2)}</label><input name=q><select><option>{words(1)}<option>{words(2)}</select><textarea>{words(3)}</textarea><button>{words(1)}</button>" + (f"<p>{shown(kind)}</p>" if rng.random() < 0.6 else "")
+            inner = f"<label>{self.words(2)}</label><input name=q><select><option>{self.words(1)}<option>{self.words(2)}</select><textarea>{self.words(3)}</textarea><button>{self.words(1)}</button>" + (f"<p>{self.shown(kind)}</p>" if self.chance(0.6) else "")
+            if attributes or self.chance(0.5):
+                inner = f"<form>{inner}</form>" if tag != "form" else inner
         elif kind == "comment":
-            inner = f"<h3>{shown(kind)}</h3>" + "".join(rng.choice((f'<div class="comment"><p>{prose()}</p></div>', f"<article class=comment><header>{words(2)}</header><p>{prose()}</p></article>", f"<li class=comment><b>{words(1)}</b><p>{prose()}</p>")) for _ in range(rng.randint(1, 4)))
+            one = lambda: self.one(f'<div class="comment"><p>{self.prose()}</p></div>', f"<article class=comment><header>{self.words(2)}</header><p>{self.prose()}</p></article>", f"<li class=comment><b>{self.words(1)}</b><p>{self.prose()}</p>", f'<div class="comment-body"><p>{self.prose()}</p></div>')
+            inner = f"<h3>{self.shown(kind)}</h3>" + "".join(one() for _ in range(self.rng.randint(0, 4)))
+            if not attributes.strip():
+                attributes = ' class="comments"'
         elif kind == "footer":
-            inner = rng.choice(("&copy; ", "Copyright ", "", "")) + (f"{word()}.example.net &middot; {prose(1, 2)}" if rng.random() < 0.6 else f"<p>{shown(kind)}</p><p>{prose(1, 1)}</p>")
+            inner = self.one(
+                f"{self.one('&copy; ', 'Copyright ', '&copy; 2024 ', 'Copyright &copy; ')}{self.words(1, 3)}{self.one('', '.', ' All rights reserved.', ', all rights reserved.', ' 2023')}",
+                f"{self.one('&copy; ', '')}{self.word()}.example.net &middot; {self.prose(1, 2)}",
+                f"<p>{self.shown(kind)}</p><p>{self.one('&copy; 2020 ', '')}{self.prose(1, 1)}</p>",
+                f"<p>&copy; {self.words(1, 3)}. All rights reserved.</p>",
+                self.items([self.sentence(4, 12) + " " + self.shown(kind) for _ in range(2)]) if self.names == "named" else f"<small>Copyright 2001 {self.words(2)}</small>",
+                " | ".join(self.link(self.one("Privacy policy", "Terms of use", "Help", self.words(1, 2))) for _ in range(3)),
+            )
         elif kind == "aside":
-            inner = f"<h3>{shown(kind)}</h3>" + (items([link(words(rng.randint(2, 7))) for _ in range(rng.randint(2, 6))]) if rng.random() < 0.5 else f"<p>{prose()}</p>")
+            inner = f"<{(h := self.one('h2', 'h3', 'h4', 'div', 'p'))}>{self.shown(kind)}</{h}>"
+            inner += self.items([self.link(self.words(2, 7)) for _ in range(self.rng.randint(2, 6))]) if self.chance(0.6) or self.names != "named" else f"<p>{self.prose()}</p>"
+            if self.names == "named" and self.chance(0.3):
+                inner += f"<p>{self.prose()}</p>"
         elif kind == "header":
-            inner = rng.choice((f"<h1>{words(2)}</h1>", f"<div class=logo>{words(2)}</div>", f"<p>{prose(1, 1)}</p>", link(words(2))))
+            inner = self.one(f"<h1>{self.words(2)}</h1>", f"<div class=logo>{self.words(2)}</div>", f"<p>{self.prose(1, 1)}</p>", self.link(self.words(2)), f"<p class=site-title>{self.link(self.words(2))}</p><p class=site-description>{self.sentence(3, 8)}</p>") if self.names == "named" or tag == "header" else self.link(self.words(2))
+        elif kind == "share":
+            inner = self.one(self.shown(kind), f"<h3>{self.one('Share this:', 'Share', self.shown(kind))}</h3>{self.items([self.link(self.words(1, 4)) for _ in range(3)])}", " ".join(self.link(self.one("Facebook", "Twitter", "Email", "Print", self.words(1))) for _ in range(3)), f"<p>Share this: {self.link('Twitter')} {self.link('Email')}</p>")
         else:
-            inner = rng.choice((shown(kind), f"<p>{shown(kind)}</p>", f"<p>{shown(kind)}</p><p>{prose(1, 2)}</p>", f"<h4>{shown(kind)}</h4>{prose(1, 1)}"))
+            inner = self.one(self.shown(kind), f"<p>{self.shown(kind)}</p>", f"<p>{self.shown(kind)}</p><p>{self.prose(1, 2)}</p>", f"<h4>{self.shown(kind)}</h4>{self.prose(1, 1)}", f"<p>{self.prose(1, 2)}</p><button>{self.one('Accept', 'OK', self.words(1))}</button>") if self.names == "named" else self.shown(kind)
         return f"<{tag}{attributes}>{inner}</{tag}>"
 
-    def paragraph() -> str:
-        r = rng.random()
+    def paragraph(self) -> str:
+        r = self.rng.random()
         mark = "\x02"
-        body = prose(1, 6)
-        if rng.random() < 0.12:  # articles, too, say what furniture says
-            body = " ".join(rng.sample(FURNITURE[rng.choice(sorted(FURNITURE))][1].split(), 3)).capitalize() + rng.choice((".", ""))
-        if rng.random() < 0.15:
-            body += f" {link(words(2))} {sentence()}"
-        if rng.random() < 0.15:
-            body = rng.choice((f"<b>{body}</b>", f"<em>{body}</em>", f"<b>{body}<br>", f"<span>{body}</span>"))
-        if r < 0.72:
-            return f"<p>{mark}{body}" + ("</p>" if rng.random() < 0.85 else "")
-        if r < 0.78:
-            return f"<{(h := rng.choice(('h2', 'h3', 'h4')))}>{mark}{words(rng.randint(1, 8))}</{h}>"
-        if r < 0.84:
-            return items([mark + (sentence() if rng.random() < 0.8 else link(words(3))) for _ in range(rng.randint(2, 5))])
+        body = self.prose(1, 6) if self.chance(0.8) else self.sentence(1, 8)
+        if self.chance(0.2):  # articles, too, say what furniture says
+            body = self.told(self.rng.choice(sorted(FURNITURE))) + self.one(".", "")
+        if self.chance(0.15):
+            body += f" {self.link(self.words(2))} {self.sentence()}"
+        if self.chance(0.15):
+            body = self.one(f"<b>{body}</b>", f"<em>{body}</em>", f"<b>{body}<br>", f"<span>{body}</span>")
+        if r < 0.70:
+            return f"<p>{mark}{body}" + ("</p>" if self.chance(0.85) else "")
+        if r < 0.76:
+            return f"<{(h := self.one('h2', 'h3', 'h4'))}>{mark}{self.words(1, 8)}</{h}>"
+        if r < 0.82:
+            return self.items([mark + (self.sentence() if self.chance(0.8) else self.link(self.words(3))) for _ in range(self.rng.randint(2, 5))])
+        if r < 0.86:
+            return f"<blockquote>{self.one('', '<p>')}{mark}{body}</blockquote>"
         if r < 0.88:
-            return f"<blockquote>{mark}{body}</blockquote>"
+            return f"<pre>{mark}{self.words(6)}\n  {self.words(4)}</pre>"
         if r < 0.91:
-            return f"<pre>{mark}{words(6)}\n  {words(4)}</pre>"
-        if r < 0.94:
-            return f"<table><tr><th>{mark}{words(2)}</th><th>{mark}{words(1)}</th></tr><tr><td>{mark}{words(3)}</td><td>{mark}{sentence(1, 9)}</td></tr></table>"
-        if r < 0.97:
+            return f"<figure><img src=x.png><figcaption>{mark}{self.sentence(1, 9)}</figcaption></figure>"
+        if r < 0.95:
+            return f"<table><tr><th>{mark}{self.words(1, 2)}</th><th>{mark}{self.words(1)}</th></tr>" + "".join(f"<tr><td>{mark}{self.words(1, 3)}</td><td>{mark}{self.one(self.sentence(1, 9), str(self.rng.randint(1, 999)))}</td></tr>" for _ in range(self.rng.randint(1, 3))) + "</table>"
+        if r < 0.98:
             return f"<div>{mark}{body}</div>"
-        return f"<dl><dt>{mark}{words(2)}<dd>{mark}{sentence()}</dl>"
-
-    def article() -> str:
-        title = f"<h1>\x02{words(rng.randint(2, 9))}</h1>" if rng.random() < 0.85 else ""
-        parts = [paragraph() for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 14)))]
-        if rng.random() < 0.25:
-            parts.insert(rng.randint(0, len(parts)), furniture(rng.choice(("ad", "share", "aside", "notice", "form"))))
+        return f"<dl><dt>{mark}{self.words(2)}<dd>{mark}{self.sentence()}</dl>"
+
+    def article(self) -> str:
+        title = f"<{(h := self.one('h1', 'h1', 'h1', 'h2'))}>\x02{self.words(1, 9)}</{h}>" if self.chance(0.85) else ""
+        parts = [self.paragraph() for _ in range(self.one(1, 1, 2, 3, 3, 5, 8, 14))]
+        for _ in range(self.one(0, 0, 0, 1, 1, 2) if self.names == "named" else 0):
+            parts.insert(self.rng.randint(0, len(parts)), self.furniture(self.one("ad", "share", "aside", "notice", "form", "ad", "share")))
+        if self.chance(0.08):
+            parts.insert(self.rng.randint(0, len(parts)), self.one(f"<p hidden>{self.prose()}</p>", f'<div style="display:none">{self.prose()}</div>', f'<p style="color: red; display: none;">{self.prose()}</p>'))
+        if self.chance(0.1):  # sections of their own
+            cut = self.rng.randint(0, len(parts))
+            parts = [f"<section>{''.join(parts[:cut])}</section><section>{''.join(parts[cut:])}</section>"]
         inner = title + "".join(parts)
-        if rng.random() < 0.12 and title:
-            inner = f"<header>{title}</header>" + "".join(parts)
-        r = rng.random()
+        if self.chance(0.25) and title:
+            inner = f"<header{self.attributes(['entry-header', 'post-header', 'article-header']) if self.chance(0.5) else ''}>{title}</header>" + self.one("".join(parts), f"<div{self.attributes(CONTENT)}>{''.join(parts)}</div>")
+        r = self.rng.random() if self.names == "named" or self.chance(0.3) else 0.7 + 0.3 * self.rng.random()
+        if r < 0.35:
+            return f"<article{self.attributes(CONTENT) if self.chance(0.4) else ''}>{inner}</article>"
         if r < 0.45:
-            return f"<article{named(CONTENT) if rng.random() < 0.3 else ''}>{inner}</article>"
-        if r < 0.6:
-            return f"<main>{inner}</main>"
-        if r < 0.68:
+            return f"<main{self.attributes(CONTENT) if self.chance(0.3) else ''}>{inner}</main>"
+        if r < 0.53:
             return f"<main><article>{inner}</article></main>"
-        if r < 0.76:
-            return inner if rng.random() < 0.5 else f"<div>{inner}</div>"
-        return f"<{(t := rng.choice(('div', 'section', 'td')))}{named(CONTENT, 'main')}>{inner}</{t}>"
-
-    out = []
-    for i in range(n):
-        if i % 25 == 0:  # a page of text alone
-            alone = "\x02" + prose(1, 5)
-            out.append(rng.choice((alone, f"<p>{alone}</p>", f"<html><body>{alone}</body></html>", f"<body><p>{alone}</p><p>\x02{prose()}</p></body>", f"<html><head><title>{words(3)}</title></head><body><h1>\x02{words(3)}</h1><p>{alone}</p></body></html>", f"<div><p>{alone}<p>\x02{prose()}</div>")))
-            continue
-        before = [furniture(k) for k in rng.sample(["nav", "header", "ad", "notice", "nav", "ad", "form", "aside"], rng.randint(0, 4))]
-        after = [furniture(k) for k in rng.sample(["aside", "ad", "share", "form", "notice", "nav", "ad"], rng.randint(0, 3))]
-        if rng.random() < 0.4:
-            after.append(furniture("comment"))
-        if rng.random() < 0.8:
-            after.append(furniture("footer"))
-        middle = article()
-        if rng.random() < 0.3:
-            middle = f"<div{named('wrapper container page layout row grid')}>{middle}{furniture('aside') if rng.random() < 0.5 else ''}</div>"
-        head = f"<head><title>{words(5)}</title><style>p{{}}</style></head>" if rng.random() < 0.9 else ""
-        out.append(f'<!DOCTYPE html><html lang="x">{head}<body><!-- {word()} -->{"".join(before)}{middle}{"".join(after)}' + ("</body></html>" if rng.random() < 0.9 else ""))
-    return out
-
-
-def labelled(marked_page: str) -> tuple[list[Block], list[bool]]:
-    """Blocks and labels of a page from `training_pages`."""
-    marks = ["\x02" in b.text for b in blocks(marked_page)]
-    return blocks(marked_page.replace("\x02", "")), marks
+        if r < 0.6:
+            return f'<div role="main"{self.attributes(CONTENT)}>{inner}</div>'
+        if r < 0.7 and self.names == "named":
+            return f"<{(t := self.one('div', 'div', 'section'))}{self.attributes(CONTENT, 'main')}>{inner}</{t}>"
+        if r < 0.78:
+            return inner
+        return self.wrapped(f"<div{self.attributes(CONTENT)}>{inner}</div>", self.one(0, 0, 1, 2))
+
+    def wrapped(self, inner: str, n: int) -> str:
+        for _ in range(n):
+            noise = f' class="{self.rng.choice(FURNITURE[self.rng.choice(sorted(FURNITURE))][0].split())}-{self.one("on", "fixed", "open", "left", "dark")}"'
+            inner = f"<div{noise if self.names == 'named' and self.chance(0.1) else self.attributes(WRAPPERS) if self.chance(0.6) else ''}>{inner}</div>"
+        return inner
+
+    def alone(self) -> str:
+        """A page of text alone."""
+        text = "\x02" + self.prose(1, 5)
+        page = self.one(text, f"<p>{text}</p>", f"<html><body>{text}</body></html>", f"<body><p>{text}</p><p>\x02{self.prose()}</p></body>", f"<html><head><title>{self.words(3)}</title></head><body><h1>\x02{self.words(3)}</h1><p>{text}</p></body></html>", f"<div><p>{text}<p>\x02{self.prose()}</div>", f"<div><div><p>{text}</p></div></div>")
+        return page
+
+    def table_layout(self) -> str:
+        """Cells of a table as the parts of a page."""
+        menu = self.one("<br>", " ", " | ").join(self.link(self.words(1, 2)) for _ in range(self.rng.randint(1, 6)))
+        article = (f"<h1>\x02{self.words(2, 6)}</h1>" if self.chance(0.7) else "") + "".join(self.paragraph() for _ in range(self.one(2, 3, 5)))
+        top = f"<tr><td colspan=2>{self.one(f'<b>{self.words(2)}</b>', self.link(self.words(2)))}</td></tr>" if self.chance(0.6) else ""
+        foot = f"<tr><td colspan=2>{self.one('', '<small>', '<font size=1>')}{self.one('&copy;', 'Copyright')} 2004 {self.words(2)}{self.one('', '. All rights reserved.')}</td></tr>" if self.chance(0.7) else ""
+        cells = [f"<td{self.attributes('menu nav left') if self.chance(0.3) else ''}>{menu}</td>", f"<td>{article}</td>"]
+        return f"<html><body><table>{top}<tr>{''.join(cells if self.chance(0.8) else cells[::-1])}</tr>{foot}</table></body></html>"
+
+    def page(self) -> str:
+        r = self.rng.random()
+        self.names = "named" if r < 0.76 else "hashed" if r < 0.86 else "none"
+        if self.chance(0.05):
+            return self.alone()
+        if self.chance(0.06):
+            return self.table_layout()
+        if self.chance(0.04):  # from before there were divs
+            bar = self.one(" | ", " ").join(self.link(self.words(1, 2)) for _ in range(4))
+            middle = f"<H1>\x02{self.words(2, 6)}</H1>" + "".join(f"<P>\x02{self.prose(1, 5)}" for _ in range(self.rng.randint(1, 6)))
+            return f"<HTML><BODY><CENTER>{bar}</CENTER><HR>{middle}<HR><FONT SIZE=1>{self.one('Copyright', '&copy;')} 1998 {self.words(1, 3)}{self.one('', '. All rights reserved.')}</FONT></BODY></HTML>"
+        before = [self.furniture(k) for k in self.rng.sample(["nav", "header", "ad", "notice", "nav", "ad", "form", "aside"] if self.names == "named" else ["nav", "header", "nav"], self.rng.randint(0, 4 if self.names == "named" else 2))]
+        after = [self.furniture(k) for k in self.rng.sample(["aside", "ad", "share", "form", "notice", "nav", "ad"] if self.names == "named" else ["aside", "share", "nav"], self.rng.randint(0, 3 if self.names == "named" else 2))]
+        if self.chance(0.4):
+            after.append(self.furniture("comment"))
+        if self.chance(0.8):
+            after.append(self.furniture("footer"))
+        middle = self.article()
+        if self.chance(0.4):  # beside a sidebar or the like
+            column = f' class="{self.rng.choice(COLUMNS)}"' if self.names == "named" and self.chance(0.6) else self.attributes(WRAPPERS)
+            parts = [self.one(middle, f"<div{column}>{middle}</div>"), self.furniture(self.one("aside", "aside", "nav", "ad" if self.names == "named" else "nav"))]
+            if self.chance(0.25):
+                parts.reverse()
+            if self.chance(0.2) and self.names == "named":
+                parts.append(f'<div class="{self.one("col-md-4", "col-lg-3", "column right", "four columns")}"><div class="{self.one("card", "panel", "box")}"><div class="{self.one("card-header", "panel-heading", "title")}">{self.one("Most read", self.words(1, 3), self.shown("aside"))}</div>{self.items([self.link(self.words(2, 7)) for _ in range(3)])}</div></div>')
+            middle = f"<div{self.attributes(SIDE_BY_SIDE)}>{''.join(parts)}</div>"
+        if self.chance(0.1) and len(after) > 1:  # what comes behind the article is inside its element's parent
+            middle, after = f"<main>{middle}{after[0]}</main>", after[1:]
+        body = self.wrapped("".join(before) + self.wrapped(middle, self.one(0, 0, 0, 1, 2)) + "".join(after), self.one(0, 0, 0, 1, 1, 2, 3, 4, 6, 10, 40) if self.chance(0.9) else 0)
+        head = f"<head><title>{self.words(5)}</title><style>p{{}}</style></head>" if self.chance(0.9) else ""
+        names = f' class="{" ".join(self.rng.choice(FURNITURE[self.rng.choice(sorted(FURNITURE))][0].split()) for _ in range(2))}"' if self.chance(0.2) else ""
+        return f'<!DOCTYPE html><html lang="x">{head}<body{names}><!-- {self.word()} -->{body}' + ("</body></html>" if self.chance(0.9) else "")
+
+
+def training_pages(n: int = 2_500, seed: int = 11) -> list[str]:
+    """n marked pages."""
+    layouts = Layouts(seed)
+    return [layouts.page() for _ in range(n)]
+
+
+def labelled(marked_page: str) -> tuple[Page, list[bool]]:
+    """A page from `training_pages` without its marks, and the labels of its blocks."""
+    blocks, *elements = parsed(marked_page)
+    marks = ["\x02" in b.text for b in blocks]
+    for b in blocks:
+        b.text = b.text.replace("\x02", "")
+        b.linked = min(b.linked, len(b.text))
+    return described(blocks, *elements), marks
 
 
 @lru_cache(maxsize=1)
 def trained() -> ChainModel:
     """The production model; always the same."""
     pages = [labelled(p) for p in training_pages()]
-    return fit([(b, y) for b, y in pages if len(b) == len(y)])
+    return fit(pages)
 
 
 def extract(pages: DataFrame, model: ChainModel) -> DataFrame:
@@ -459,12 +716,11 @@ def extract(pages: DataFrame, model: ChainModel) -> DataFrame:
     Null and empty pages, and pages without a block of content, give an empty text. Rows are read one by one: repeated rows
     repeat, an empty table gives an empty one, other columns are ignored.
     """
-    small_batches(pages)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def extracted(batches):
         crf = shared.value
-        for b in batches:
+        for b in slices(batches):
             texts = [crf.extract(p) for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

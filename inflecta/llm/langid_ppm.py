@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inflecta.llm._common import fold, small_batches
+from inflecta.llm._common import fold, slices
 
 ORDER = 3
 SAMPLE = 400
@@ -211,12 +211,11 @@ def predict(documents: DataFrame, trees: ContextTrees) -> DataFrame:
     best language in the sum of 2**-bits over languages; equal code lengths go to the language that sorts first.
     Rows are judged one by one: repeated rows repeat, an empty table gives an empty one, other columns are ignored.
     """
-    small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(trees)
 
     def predicted(batches):
         model = shared.value
-        for b in batches:
+        for b in slices(batches):
             langs, scores, rates = [], [], []
             for text in b.column(2).to_pylist():
                 if not text or not model.languages or not LETTER.search(text):
@@ -240,13 +239,12 @@ def kept(documents: DataFrame, trees: ContextTrees, reject_bits: float = REJECT_
     Rejected are texts without a letter (nulls too), and texts of REJECT_BYTES or more that cost over reject_bits a byte
     under every language. If nothing was learned, only the former are.
     """
-    small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(trees)
     at = documents.columns.index("text")
 
     def accepted(batches):
         model = shared.value
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for text in b.column(at).to_pylist():
                 good = bool(text) and LETTER.search(text) is not None

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inflecta.llm._common import row_key, small_batches, written
+from inflecta.llm._common import row_key, slices, written
 
 SHINGLE = 3
 SEED = 42
@@ -105,7 +105,7 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError("cells and blocks are laid out for two bits")
 
     def spread(batches):
-        for b in batches:
+        for b in slices(batches):
             cell, f = cells(b.column(0).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([_signed(cell), _signed(f)], ["cell", "f"])
 
@@ -116,7 +116,7 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             a, b = cell_edges(c, g)
             return pa.RecordBatch.from_arrays([_signed(a), _signed(b)], ["a", "b"])
 
-        for b in batches:
+        for b in slices(batches):
             cell = np.concatenate([cell, b.column(0).to_numpy().view(np.uint64)])
             f = np.concatenate([f, b.column(1).to_numpy().view(np.uint64)])
             if len(cell) >= CHUNK_ROWS and cell[0] != cell[-1]:
@@ -164,11 +164,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
 
     def printed(batches):
-        for b in batches:
+        for b in slices(batches):
             f = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _signed(f)], ["doc_id", "k", "f"])
 
-    small_batches(documents)
     id_type = dict(documents.dtypes)["doc_id"]
     rows = documents.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("k"), F.col("text").alias("t"))
     prints = written(rows.mapInArrow(printed, f"doc_id {id_type}, k long, f long"), "simhash-prints")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inflecta.llm._common import small_batches
+from inflecta.llm._common import slices
 
 MARK = "▁"
 CHUNK = re.compile(" +[^ ]*")
@@ -89,11 +89,10 @@ def encode(documents: DataFrame, path: str, text: str = "text", out: str = "ids"
 
     def encoded(batches):
         t = ChunkTable(path)
-        for b in batches:
+        for b in slices(batches):
             ids = pa.array([t.ids(x) for x in b.column(at).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
 
-    small_batches(documents)
     rest = documents.drop(out) if out in documents.columns else documents
     at = rest.columns.index(text)
     return rest.mapInArrow(encoded, ", ".join(f"`{n}` {k}" for n, k in rest.dtypes) + f", `{out}` array<int>")
@@ -107,7 +106,7 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
 
     def coded(batches):
         t = ChunkTable(path)
-        for b in batches:
+        for b in slices(batches):
             n, ids, decoded = [], [], []
             for text in b.column(1).to_pylist():
                 count, joined, plain = t.digest(text)
@@ -116,6 +115,5 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
                 decoded.append(hashlib.sha256(plain.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    small_batches(documents)
     id_type = dict(documents.dtypes)["doc_id"]
     return documents.select("doc_id", F.col("text").alias("t")).mapInArrow(coded, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

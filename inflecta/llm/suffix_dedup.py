@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inflecta.llm._common import prefix_sums, row_key, small_batches, span_hash, utf8, written
+from inflecta.llm._common import prefix_sums, row_key, slices, span_hash, utf8, written
 
 LENGTH = 200
 GRAM = 40
@@ -85,7 +85,7 @@ def anchor_table(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, s, d, k, p) of every anchor of rows (d, k, t)."""
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches):
             data, ends = utf8(b.column(2))
             found, owner = [], []
             for i in range(b.num_rows):
@@ -200,7 +200,7 @@ def snippets(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "d", "k", "p", "l", "r"])
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             data, ends = utf8(b.column(2))
             out: list[list] = [[] for _ in kinds]
             for i, (d, k, places) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
@@ -236,7 +236,7 @@ def tree_cover(parts: DataFrame, length: int, gram: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([flat("d"), flat("k"), pa.array(p - a[on]), pa.array(p + z[on])], ["d", "k", "s", "e"])
 
         size = 0
-        for b in batches:
+        for b in slices(batches):
             held.append(b)
             size += b.num_rows
             if size >= CHUNK_ROWS:
@@ -257,7 +257,7 @@ def window_cover(parts: DataFrame, length: int, gram: int) -> DataFrame:
     """The same spans by counting the hashes of all windows around the anchors: for hashes too frequent for one task."""
 
     def spread(batches):
-        for b in batches:
+        for b in slices(batches):
             for d, k, p, left, right in zip(*(b.column(c).to_pylist() for c in ("d", "k", "p", "l", "r")), strict=True):
                 x = np.frombuffer(left + right, np.uint8)
                 if len(x) >= length:
@@ -279,7 +279,6 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 def lost_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(d2, k2, spans) of the rows (d, k, t) that lose anything: the spans (s, e), unordered, to be clipped to the text."""
-    small_batches(rows)
     reach = length - gram
     found = anchor_table(rows, length, gram)
     # written down, so that the joins below are of plain tables, whose hot keys Spark can split
@@ -322,7 +321,7 @@ def removed(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     """
 
     def measured(batches):
-        for b in batches:
+        for b in slices(batches):
             n, gone, runs_n, digest = [], [], [], []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = text.encode("utf-8", "replace")
@@ -350,7 +349,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     at, count_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             columns = list(b.columns)
             spans = columns.pop().to_pylist()
             hit = [i for i, s in enumerate(spans) if s]

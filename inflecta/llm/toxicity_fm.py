@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inflecta.llm._common import fold, small_batches
+from inflecta.llm._common import fold, slices
 
 SAMPLE = 5_000
 FIT_BYTES = 262_144
@@ -119,7 +119,6 @@ def fitted(rows: list[np.ndarray], labels: np.ndarray, inputs: int = INPUTS, ran
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:
     """Learns from labelled rows outside fold 0: at most `sample` toxic and `sample` other documents."""
-    small_batches(documents)
     rows = labels.select(F.col("doc_id").alias("k"), F.col("toxic").cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("k")) != 0))
     rows = rows.groupBy("k").agg(F.max("y").alias("y"))
     picked = [rows.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample) for y in (0, 1)]
@@ -127,7 +126,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factor
     picked = F.broadcast(picked[0].union(picked[1]))
 
     def slots(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([text_slots(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["k", "y", "s"])
 
     texts = documents.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).where(F.octet_length("t") <= FIT_BYTES)
@@ -140,14 +139,13 @@ def score(documents: DataFrame, machine: FactorizationMachine) -> DataFrame:
 
     Rows are scored one by one: repeated rows give repeated results, an empty table an empty one, other columns are ignored.
     """
-    small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(machine)
 
     def scored(batches):
         fm, memo = shared.value, {}
         slot_of = fm.slot_of
         empty = fm.score([])
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column(2).to_pylist():
                 found: set[int] = set()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inflecta.llm import ann_mih, html_crf, langid_ppm, packing, spm_codec, toxicity_fm
+from inflecta.llm import ann_mih, html_crf, langid_ppm, packing, simhash, spm_codec, toxicity_fm
 from inflecta.llm._common import fold
 
 DATA = "/root/testdata/sf0.01"
@@ -37,19 +37,29 @@ def test_html_page(crf):
     assert crf.extract(PAGE) == TEXT
 
 
+def texts(page):
+    return [b.text for b in html_crf.read(page).blocks]
+
+
 def test_html_blocks():
-    assert [b.text for b in html_crf.blocks("a<p>b<p>c <i>d</i>e<div>f</div>g</p>h<td>i<script>x")] == ["a", "b", "c de", "f", "g", "h", "i"]
-    assert html_crf.blocks(None) == [] and html_crf.blocks("") == [] and html_crf.blocks("<!-- x") == []
-    assert [b.text for b in html_crf.blocks('<a href="x>y</a> z')] != []
-    assert len(html_crf.blocks("<div>" * 5000 + "x")) == 1
+    assert texts("a<p>b<p>c <i>d</i>e<div>f</div>g</p>h<td>i<script>x") == ["a", "b", "c de", "f", "g", "h", "i"]
+    assert texts(None) == texts("") == texts("<!-- x") == []
+    assert texts('<a href="x>y</a> z') == ["y z"] and texts("a<b c='d'") == ["a"]
+    assert texts("<p a=b/c title=don't d='>' e=\">\">x</p><p / = =x y=>z</p>") == ["x", "z"]
+    assert texts("<!-->a<!--->b<!-- c --!>d<!doctype x>e</3>f<?g?>h") == ["abdefh"]
+    assert texts("<script src=x />a</script>b<svg/>c<svg><text>d</text><svg></svg>e</svg>f<template><template></template>g</template>h") == ["bcfh"]
+    assert texts("<textarea><p>a</textarea>b<title>c<b></title>") == ["<p>a", "b", "c<b>"]
+    assert texts("a<span hidden>b</span>c<i style='display : none'>d</i>e") == ["ace"]
 
 
 @pytest.mark.parametrize("depth", [0, 70, 500, 20_000])
 def test_html_of_any_depth(crf, depth):
     """Unclosed elements before the page hide neither its furniture nor its article, and end tags close their own."""
     assert crf.extract(PAGE.replace("<header", '<font><b><span class="x">' * (depth // 3) + "<header", 1)) == TEXT
-    found = html_crf.blocks("<div>" * depth + "<nav>a</nav><p>b")
-    assert "t=nav" in [*found[0].path] and "t=nav" not in [*found[1].path] and [*found[1].path].count("t=div") == min(depth, 1)
+    assert crf.extract(PAGE.replace("<header", '<div class="x">' * depth + "<header", 1)) == TEXT
+    page = html_crf.read('<div class="y">' * depth + "<nav>a</nav><p>b")
+    paths = [page.path(b) for b in page.blocks]
+    assert "t=nav" in paths[0] and "t=nav" not in paths[1] and paths[1].count("Wc=y") <= 1
 
 
 def test_html_text_of_ordinary_elements(crf):
@@ -59,18 +69,36 @@ def test_html_text_of_ordinary_elements(crf):
 
 def test_viterbi_is_the_best_labelling(crf):
     """Against all labellings of short pages."""
-    rng = random.Random(1)
-    for page in html_crf.training_pages(40, seed=77):
-        found = html_crf.blocks(page)[: rng.randint(1, 9)]
-        score = lambda y: crf.first[y[0]] + sum(crf.pair[a][b] for a, b in zip(y, y[1:], strict=False)) + sum(sum(crf.weight.get(f, 0.0) for f in (*b.path, *b.own)) for b, k in zip(found, y, strict=True) if k)  # noqa: E731, B023
-        best = max(score([n >> i & 1 for i in range(len(found))]) for n in range(1 << len(found)))
-        assert score([int(k) for k in crf.decode(found)]) == pytest.approx(best)
+    for marked in html_crf.training_pages(60, seed=77):
+        page, _ = html_crf.labelled(marked)
+        if len(page.blocks) > 10:
+            continue
+        e = [sum(crf.weight.get(f, 0.0) for f in (*page.path(b), *b.own)) for b in page.blocks]
+        score = lambda y: crf.first[y[0]] + sum(crf.pair[a][b] for a, b in zip(y, y[1:], strict=False)) + sum(x for x, k in zip(e, y, strict=True) if k)  # noqa: E731, B023
+        best = max(score([n >> i & 1 for i in range(len(e))]) for n in range(1 << len(e)))
+        assert score([int(k) for k in crf.decode(page)]) == pytest.approx(best)
+
+
+def test_marginals_are_sums_over_all_labellings():
+    rng = np.random.default_rng(2)
+    pair, first, e, lengths = rng.normal(size=(2, 2)), rng.normal(size=2), rng.normal(size=(3, 5)), np.array([5, 3, 1])
+    p, both = html_crf.marginals(e, lengths, pair, first)
+    for i, n in enumerate(lengths):
+        want, joint, total = np.zeros(n), np.zeros((n - 1, 2, 2)), 0.0
+        for bits in range(1 << n):
+            y = [bits >> t & 1 for t in range(n)]
+            weight = np.exp(first[y[0]] + sum(pair[a][b] for a, b in zip(y, y[1:], strict=False)) + sum(e[i, t] for t in range(n) if y[t]))
+            total += weight
+            want += weight * np.array(y)
+            for t in range(1, n):
+                joint[t - 1, y[t - 1], y[t]] += weight
+        assert np.allclose(p[i, :n, 1], want / total) and np.allclose(both[i, : n - 1], joint / total) and not both[i, n - 1 :].any()
 
 
 def test_html_held_out_pages(crf):
     pages = [html_crf.labelled(p) for p in html_crf.training_pages(150, seed=5_000)]
-    right = sum(a == b for found, labels in pages for a, b in zip(crf.decode(found), labels, strict=True))
-    assert right / sum(len(b) for b, _ in pages) > 0.97
+    right = sum(a == b for page, labels in pages for a, b in zip(crf.decode(page), labels, strict=True))
+    assert right / sum(len(page.blocks) for page, _ in pages) > 0.97
 
 
 def test_html_table(spark, crf):
@@ -375,3 +403,26 @@ def test_fold(spark):
 
     got = [tuple(r) for r in spark.createDataFrame([(0,), (17,), (None,)], "i long").select("i", fold(F.col("i")).cast("int")).collect()]
     assert got == [(0, zlib.crc32(b"0") % 5), (17, zlib.crc32(b"17") % 5), (None, 0)]
+
+
+# --- batches ---
+
+
+def test_batches_are_cut_and_the_session_stays(spark):
+    """Whatever the session says of batches, with a unit or without."""
+    import pyarrow as pa
+
+    from inflecta.llm import _common
+
+    big = pa.RecordBatch.from_arrays([pa.array(["x" * (3 << 20)] * 7 + [None, ""])], ["t"])
+    cut = list(_common.slices([big, big.slice(0, 0)]))
+    assert [t for b in cut for t in b.column(0).to_pylist()] == big.column(0).to_pylist() and all(b.nbytes <= 9 << 20 for b in cut)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+        assert simhash.near_duplicates(docs).count() == 2
+        assert spark.conf.get(name) == "64m"
+    finally:
+        spark.conf.set(name, was)
