@@ -1,13 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text are its distinct lower-cased words, each with its first and last four and five letters, hashed into 2**20
-slots. The slots that differ most between toxic and other documents (chi-square) are the machine's inputs:
+Terms of a text are its distinct lower-cased words, each with its first and last four letters, hashed into 2**20 slots. All
+slots that a labelled text shows are inputs of the machine:
 
-    logit = b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j          (x_i = 1 if the term occurs)
+    logit = b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j          (x_i = evidence of slot i, if one of its terms occurs)
 
-The factors v learn what two terms say together, such as an insult beside the mention of a group, which additive weights
-can't express. Fitting uses a bounded sample of the labelled rows (SAMPLE per class, whole texts of up to FIT_BYTES bytes,
-lowest hash of doc_id first); scoring reads every whole text in one pass without a shuffle.
+The evidence of a slot, chi / (chi + SHRINK) by the chi-square of its occurrence against the label, lies between 0 and 1:
+terms that say little count little, and none is left out. The factors v learn what two terms say together, such as an
+insult beside the mention of a group, which additive weights can't express. Fitting uses a bounded sample of the labelled
+rows: at most SAMPLE documents per class, lowest hash of doc_id first, and no more than FIT_TERMS distinct terms per class
+in all (a document at least). Scoring reads every whole text in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,119 +20,146 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inflecta.llm._common import fold, slices
+from inflecta.llm._common import fold, slices, written
 
 SAMPLE = 5_000
-FIT_BYTES = 262_144
+FIT_TERMS = 5_000_000
 SLOTS = 1 << 20
-INPUTS = 1_024
+SHRINK = 15.0
 RANK = 8
 KEEP = 0.8
+#: Steps of fitting at least, for small samples.
+STEPS = 300
 WORD = re.compile(r"[^\W\d_]+")
-MEMO = 400_000
+#: Words whose slots a worker remembers; further words are hashed anew.
+MEMO = 200_000
 
 
 def word_slots(word: str) -> tuple[int, ...]:
     """The hashed terms that one lower-cased word adds."""
-    terms = [word]
-    for n in (4, 5):
-        if len(word) >= n:
-            terms += [f"^{word[:n]}", f"{word[-n:]}$"]
-    return tuple(zlib.crc32(t.encode()) & (SLOTS - 1) for t in terms)
+    terms = [word, f"^{word[:4]}", f"{word[-4:]}$"] if len(word) > 4 else [word]
+    return tuple([zlib.crc32(t.encode("utf-8", "replace")) & (SLOTS - 1) for t in terms])
 
 
-def text_slots(text: str | None) -> np.ndarray:
+def text_slots(text: str | None, memo: dict[str, tuple[int, ...]] | None = None) -> np.ndarray:
     """Sorted distinct slots of a text."""
-    return np.array(sorted({s for w in set(WORD.findall((text or "").lower())) for s in word_slots(w)}), np.int32)
+    memo = {} if memo is None else memo
+    found: set[int] = set()
+    for w in set(WORD.findall(text.lower())) if text else ():
+        hit = memo.get(w)
+        if hit is None:
+            hit = word_slots(w)
+            if len(memo) < MEMO:
+                memo[w] = hit
+        found.update(hit)
+    out = np.fromiter(found, np.int32, len(found))
+    out.sort()
+    return out
 
 
 @dataclass
 class FactorizationMachine:
-    """b, w and v over the chosen slots; slot_of maps a slot to its input."""
+    """b; of each slot its evidence x, weight w and factors v (all zero for slots that no labelled text showed)."""
 
     bias: float
+    evidence: np.ndarray
     weights: np.ndarray
     factors: np.ndarray
-    slot_of: dict[int, int]
-
-    def logit(self, inputs: list[int]) -> float:
-        if not inputs:
-            return self.bias
-        v = self.factors[inputs]
-        total = v.sum(0)
-        return float(self.bias + self.weights[inputs].sum() + 0.5 * (total @ total - (v * v).sum()))
-
-    def score(self, inputs: list[int]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(inputs), -35, 35))))
-
-
-def chosen_slots(rows: list[np.ndarray], labels: np.ndarray, inputs: int = INPUTS, least: int = 4) -> np.ndarray:
-    """Slots by chi-square of occurrence against label, best first; ties to the smaller slot."""
-    if not rows:
-        return np.zeros(0, np.int64)
-    toxic = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y] or [np.zeros(0, np.int32)]), minlength=SLOTS)
-    other = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if not y] or [np.zeros(0, np.int32)]), minlength=SLOTS)
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    seen = toxic + other
+
+    def logit(self, slots: np.ndarray) -> float:
+        x = self.evidence[slots]
+        v = x[:, None] * self.factors[slots]
+        total = v.sum(0, dtype=np.float64)
+        return float(self.bias + (x * self.weights[slots]).sum(dtype=np.float64) + 0.5 * (total @ total - (v * v).sum(dtype=np.float64)))
+
+    def score(self, slots: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.logit(slots), -35, 35))))
+
+
+def evidence(rows: list[np.ndarray], labels: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """chi / (chi + SHRINK) of each slot, classes in balance; 0 for slots that don't occur."""
+    count = lambda label: np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == label] or [np.zeros(0, np.int32)]), minlength=slots)
+    toxic, other = count(1), count(0)
+    n1, n0 = max(int(labels.sum()), 1), max(int((1 - labels).sum()), 1)
     # the smaller class is weighed up, so that a rare class counts as much as a common one
-    gap = np.abs(toxic / max(n1, 1) - other / max(n0, 1))
-    rate = np.clip(seen / max(n1 + n0, 1), 1e-9, 1 - 1e-9)
-    chi = np.where(seen >= least, gap**2 / (rate * (1 - rate)) * (n1 * n0 / max(n1 + n0, 1)), 0)
-    order = np.lexsort((np.arange(SLOTS), -chi))[:inputs]
-    return order[chi[order] > 15]
+    gap = toxic / n1 - other / n0
+    rate = np.clip((toxic + other) / (n1 + n0), 1e-9, 1 - 1e-9)
+    chi = gap**2 / (rate * (1 - rate)) * (n1 * n0 / (n1 + n0))
+    return (chi / (chi + SHRINK)).astype(np.float32)
 
 
-def fitted(rows: list[np.ndarray], labels: np.ndarray, inputs: int = INPUTS, rank: int = RANK, steps: int = 300, keep: float = KEEP) -> FactorizationMachine:
-    """Full-batch Adam on the log loss with classes in balance; one class or no rows: a constant machine.
+def fitted(rows: list[np.ndarray], labels: np.ndarray, slots: int = SLOTS, rank: int = RANK, epochs: int = 6, batch: int = 64, rate: float = 0.15, keep: float = KEEP, x: np.ndarray | None = None) -> FactorizationMachine:
+    """AdaGrad on the log loss with classes in balance; one class or no rows: a constant machine.
 
     Each step sees a random share `keep` of the inputs, so that terms which mostly come together each learn their own part.
     """
     n, n1 = len(labels), int(labels.sum())
-    chosen = chosen_slots(rows, labels, inputs) if 0 < n1 < n else np.zeros(0, np.int64)
-    slot_of = {int(s): i for i, s in enumerate(chosen)}
-    if not slot_of:
-        rate = n1 / n if n else 0.0
-        return FactorizationMachine(float(np.log((rate + 1e-6) / (1 - rate + 1e-6))), np.zeros(0), np.zeros((0, rank)), {})
-    x = np.zeros((n, len(chosen)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, [slot_of[s] for s in r.tolist() if s in slot_of]] = 1
-    y = labels.astype(np.float32)
-    share = np.where(y == 1, 0.5 / n1, 0.5 / (n - n1)).astype(np.float32)
+    x = evidence(rows, labels, slots) if x is None else x
     rng = np.random.default_rng(7)
-    p = [np.zeros(1, np.float32), np.zeros(len(chosen), np.float32), rng.normal(0, 0.02, (len(chosen), rank)).astype(np.float32)]
-    m, u = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    for t in range(1, steps + 1):
-        on = (rng.random(len(chosen)) < keep).astype(np.float32)
-        w, v = p[1] * on, p[2] * on[:, None]
-        xv = x @ v
-        z = p[0][0] + x @ w + 0.5 * ((xv * xv).sum(1) - x @ (v * v).sum(1))
-        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gx = g @ x
-        grads = [np.array([g.sum()], np.float32), on * gx + 2e-5 * p[1], on[:, None] * (x.T @ (g[:, None] * xv) - gx[:, None] * v) + 2e-4 * p[2]]
-        for i, d in enumerate(grads):
-            m[i] = 0.9 * m[i] + 0.1 * d
-            u[i] = 0.999 * u[i] + 0.001 * d * d
-            p[i] -= 0.05 * (m[i] / (1 - 0.9**t)) / (np.sqrt(u[i] / (1 - 0.999**t)) + 1e-8)
-    return FactorizationMachine(float(p[0][0]), p[1].astype(np.float64), p[2].astype(np.float64), slot_of)
-
-
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:
-    """Learns from labelled rows outside fold 0: at most `sample` toxic and `sample` other documents."""
-    rows = labels.select(F.col("doc_id").alias("k"), F.col("toxic").cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("k")) != 0))
-    rows = rows.groupBy("k").agg(F.max("y").alias("y"))
-    picked = [rows.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample) for y in (0, 1)]
-    # 2 * sample rows of two numbers: a fixed bound, so the broadcast can't grow with the data
-    picked = F.broadcast(picked[0].union(picked[1]))
-
-    def slots(batches):
+    b, gb = 0.0, 1e-3
+    w, gw = np.zeros(slots, np.float32), np.full(slots, 1e-3, np.float32)
+    v, gv = rng.normal(0, 0.02, (slots, rank)).astype(np.float32), np.full((slots, rank), 1e-3, np.float32)
+    v[x == 0] = 0
+    if not 0 < n1 < n:
+        share = n1 / n if n else 0.0
+        return FactorizationMachine(float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros_like(x), w, v)
+    weigh = np.where(labels == 1, 0.5 * n / n1, 0.5 * n / (n - n1)).astype(np.float32)
+    order, batches = rng.permutation(n), []
+    for at in range(0, n, batch):
+        pick = order[at : at + batch]
+        use, inverse = np.unique(np.concatenate([rows[i] for i in pick]), return_inverse=True)
+        batches.append((pick, use, inverse, np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick])))
+    epochs = max(epochs, -(-STEPS // len(batches)))
+    for step in rng.permuted(np.tile(np.arange(len(batches)), (epochs, 1)), axis=1).ravel():
+        pick, use, inverse, owner = batches[step]
+        by_row = lambda e: np.bincount(owner, e, len(pick))  # noqa: B023, E731
+        by_slot = lambda e: np.bincount(inverse, e, len(use))  # noqa: B023, E731
+        xs = (x[use] * (rng.random(len(use)) < keep))[inverse]
+        ws, vs = w[use], v[use]
+        each = [xs * vs[inverse, f] for f in range(rank)]
+        sums = [by_row(e) for e in each]
+        z = b + by_row(xs * ws[inverse]) + 0.5 * sum(s * s - by_row(e * e) for s, e in zip(sums, each, strict=True))
+        g = weigh[pick] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]) / len(pick)
+        gx = g[owner] * xs
+        steps = [by_slot(gx) + 1e-5 * ws, np.stack([by_slot(gx * (s[owner] - e)) for s, e in zip(sums, each, strict=True)], 1) + 1e-4 * vs]
+        gb += float(g.sum()) ** 2
+        b -= rate * float(g.sum()) / gb**0.5
+        for p, sizes, d in ((w, gw, steps[0]), (v, gv, steps[1])):
+            sizes[use] += d * d
+            p[use] -= rate * d / np.sqrt(sizes[use])
+    return FactorizationMachine(b, x, w, v)
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_terms: int = FIT_TERMS) -> FactorizationMachine:
+    """Learns from labelled rows outside fold 0: at most `sample` toxic and `sample` other documents, and `fit_terms` distinct
+    terms of each. A document with several labels is toxic if one is 1; of one with several texts one text is taken.
+
+    Ids, of any type, are compared as text. A table of the sample's terms is written; the driver reads what is within bounds.
+    """
+    rows = labels.select(F.col("doc_id").cast("string").alias("k"), F.col("toxic").cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & (fold(F.col("k")) != 0))
+    rows = rows.groupBy("k").agg(F.max("y").alias("y")).withColumn("u", F.xxhash64("k") / float(1 << 64) + 0.5)  # uniform in [0, 1)
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # about twice the sample of each class by hash, however many rows there are; only those are ordered
+    near = F.lit(0.0)
+    for y, n in counts.items():
+        near = F.when(F.col("y") == y, min(1.0, (2.0 * sample + 100) / n)).otherwise(near)
+    picked = rows.where(F.col("u") <= near).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("u", "k"))).where(F.col("r") <= sample).select("k", "y", "r")
+
+    def terms(batches):
+        memo: dict[str, tuple[int, ...]] = {}
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([text_slots(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["k", "y", "s"])
-
-    texts = documents.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).where(F.octet_length("t") <= FIT_BYTES)
-    got = texts.join(picked, "k").select("k", "y", "t").mapInArrow(slots, "k long, y int, s binary").toPandas().sort_values(["k", "s"])
+            found = [text_slots(t, memo) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["k", "y", "r", "n", "s"])
+
+    # 2 * sample rows of three small values: a fixed bound, so the broadcast can't grow with the data
+    texts = documents.select(F.col("doc_id").cast("string").alias("k"), F.col("text").alias("t")).join(F.broadcast(picked), "k").select("k", "y", "r", "t")
+    each = texts.mapInArrow(terms, "k string, y int, r int, n long, s binary")
+    once = written(each.groupBy("k", "y", "r").agg(F.min(F.struct("n", "s")).alias("one")).select("y", "r", "one.n", "one.s"), "toxicity-terms")
+    within = once.select("y", "r", "n").withColumn("total", F.sum("n").over(Window.partitionBy("y").orderBy("r"))).where(F.col("total") - F.col("n") < fit_terms).select("y", "r")
+    got = once.join(F.broadcast(within), ["y", "r"]).select("y", "r", "s").toPandas().sort_values(["y", "r"])
     return fitted([np.frombuffer(s, np.int32) for s in got["s"]], got["y"].to_numpy(np.int64))
 
 
@@ -143,24 +172,9 @@ def score(documents: DataFrame, machine: FactorizationMachine) -> DataFrame:
 
     def scored(batches):
         fm, memo = shared.value, {}
-        slot_of = fm.slot_of
-        empty = fm.score([])
         for b in slices(batches):
-            out = []
-            for text in b.column(2).to_pylist():
-                found: set[int] = set()
-                for w in set(WORD.findall(text.lower())) if text else ():
-                    hit = memo.get(w)
-                    if hit is None:
-                        hit = tuple(slot_of[s] for s in word_slots(w) if s in slot_of)
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[w] = hit
-                    if hit:
-                        found.update(hit)
-                out.append(fm.score(sorted(found)) if found else empty)
-            scores = pa.array(out, pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), scores, pa.array([int(s >= 0.5) for s in out], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            out = [fm.score(text_slots(text, memo)) for text in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     id_type = dict(documents.dtypes)["doc_id"]
     return documents.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("text").alias("t")).mapInArrow(scored, f"doc_id {id_type}, held_out boolean, score double, predicted int")
