@@ -9,10 +9,12 @@ training text shows. The code length of a byte after a context is
 and a context that a language has never seen costs nothing to leave. A text's code length under a language is the exact
 sum over all its bytes; the language with the shortest code is the answer. As the statistics are frozen, every
 (context, byte) length is worked out once; the contexts of a language form an automaton, so that a text is scored by
-ORDER + 1 table look-ups per byte and language. Tables grow in proportion to the number of languages.
+ORDER + 1 table look-ups per byte and language. Each language has up to MAX_CONTEXTS contexts of its own, however many
+languages there are, as long as all tables stay within MODEL_BYTES (about 20 languages); beyond that each has fewer.
 
 Fitting learns every labelled language from a bounded sample: at most SAMPLE documents each, lowest hash of doc_id first, of
 each its middle FIT_BYTES bytes; fewer documents each, but one at least, where all samples would exceed FIT_TOTAL bytes.
+Rows that repeat an id and language are one document: one of its texts is taken.
 """
 
 from __future__ import annotations
@@ -31,15 +33,21 @@ ORDER = 3
 SAMPLE = 400
 FIT_BYTES = 65_536
 FIT_TOTAL = 128 << 20
-#: Contexts of each language.
+#: Contexts of each language, and bytes of all languages' tables.
 MAX_CONTEXTS = 16_000
+MODEL_BYTES = 256 << 20
 UNKNOWN = "und"
 #: Bits a byte above which no learned language explains a text (a byte costs 8 if nothing is known of it).
 REJECT_BITS = 7.0
 #: Texts of fewer bytes than this are too short to be rejected by their rate.
 REJECT_BYTES = 64
 BLOCK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether some character is a letter by its Unicode category; signs such as ½ are not."""
+    return bool(text) and any(m[0].isalpha() for m in LETTER_OR_NUMBER.finditer(text))
 
 
 @dataclass
@@ -90,9 +98,9 @@ def grams(symbols: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarr
     return code[at], at
 
 
-def trained(texts: dict[str, list[bytes]], order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> ContextTrees:
+def trained(texts: dict[str, list[bytes]], order: int = ORDER, max_contexts: int = MAX_CONTEXTS, model_bytes: int = MODEL_BYTES) -> ContextTrees:
     """Context trees from each language's texts; contexts seen once in all are left out, and a language's rarer ones beyond
-    max_contexts."""
+    max_contexts or its share of model_bytes (8 bytes for each symbol after each context)."""
     languages = sorted(texts)
     counted = []
     for lang in languages:
@@ -106,8 +114,9 @@ def trained(texts: dict[str, list[bytes]], order: int = ORDER, max_contexts: int
     trees = []
     for lang, own in zip(languages, counted, strict=True):
         kept = [(codes[use], c[use]) for (codes, plain, c), shown in zip(own, often, strict=True) for use in [np.isin(plain, shown)]]
-        least = 1
-        while sum(int((c >= least).sum()) for _, c in kept) > max_contexts:
+        width = int((np.bincount(np.frombuffer(b"\x00".join(texts[lang]), np.uint8), minlength=256)[1:] > 0).sum()) + 1
+        least, most = 1, max(1, min(max_contexts, model_bytes // len(languages) // (8 * width)))
+        while sum(int((c >= least).sum()) for _, c in kept) > most:
             least *= 2
         trees.append(_tree(texts[lang], order, [np.zeros(1, np.int64), *(codes[c >= least] for codes, c in kept)]))
     return ContextTrees(languages, trees, order)
@@ -184,24 +193,25 @@ def prepared(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE, max_contexts: int = MAX_CONTEXTS) -> ContextTrees:
+def fit(documents: DataFrame, sample: int = SAMPLE, max_contexts: int = MAX_CONTEXTS, model_bytes: int = MODEL_BYTES) -> ContextTrees:
     """Learns from text and non-null lang of documents outside fold 0; of a long document, from a slice in its middle."""
     rows = documents.select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), F.octet_length("text").alias("n")).where(F.col("k").isNotNull() & F.col("g").isNotNull() & (fold(F.col("k")) != 0) & (F.col("n") > 0))
     rows = rows.withColumn("u", F.xxhash64("k") / float(1 << 64) + 0.5)  # uniform in [0, 1)
-    counts = rows.groupBy("g").agg(F.count("*").alias("c"), F.avg(F.least("n", F.lit(FIT_BYTES))).alias("mean"))
+    counts = rows.groupBy("g").agg(F.approx_count_distinct("k").alias("c"), F.avg(F.least("n", F.lit(FIT_BYTES))).alias("mean"))
     # s: documents of each language, of which all languages together hold about FIT_TOTAL bytes at most
     counts = counts.select("g", "c", F.greatest(F.lit(1), F.least(F.lit(sample), F.floor(FIT_TOTAL / max(1, counts.count()) / F.col("mean")))).alias("s"))
-    # about twice s rows of each language by hash, however many it has; only those are ordered
-    few = rows.join(F.broadcast(counts), "g").where(F.col("u") < 2.0 * F.col("s") / F.col("c") + 100.0 / F.col("c"))
+    # about twice s ids of each language by hash, however many it has; only those are ordered, each once
+    few = rows.join(F.broadcast(counts), "g").where(F.col("u") < 2.0 * F.col("s") / F.col("c") + 100.0 / F.col("c")).groupBy("g", "k").agg(F.min("u").alias("u"), F.first("s").alias("s"))
     order = Window.partitionBy("g").orderBy("u", "k")
     picked = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("s")).select("k", "g")
     size = F.octet_length("text")
     piece = F.substring(F.col("text").cast("binary"), F.when(size > FIT_BYTES, F.floor((size - FIT_BYTES) / 2) + 1).otherwise(1).cast("int"), F.lit(FIT_BYTES))
-    got = documents.where(size > 0).select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), piece.alias("t")).join(F.broadcast(picked), ["k", "g"]).select("k", "g", "t").toPandas().sort_values(["k", "t"])
+    each = documents.where(size > 0).select(F.col("doc_id").alias("k"), F.col("lang").alias("g"), piece.alias("t")).join(F.broadcast(picked), ["k", "g"])
+    got = each.groupBy("k", "g").agg(F.min("t").alias("t")).toPandas().sort_values(["k", "t"])
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(got["g"], got["t"], strict=True):
         texts.setdefault(lang, []).append(prepared(bytes(text).decode("utf-8", "ignore")))  # a character that the slice cuts is left out
-    return trained(texts, max_contexts=max_contexts)
+    return trained(texts, max_contexts=max_contexts, model_bytes=model_bytes)
 
 
 def predict(documents: DataFrame, trees: ContextTrees) -> DataFrame:
@@ -218,7 +228,7 @@ def predict(documents: DataFrame, trees: ContextTrees) -> DataFrame:
         for b in slices(batches):
             langs, scores, rates = [], [], []
             for text in b.column(2).to_pylist():
-                if not text or not model.languages or not LETTER.search(text):
+                if not model.languages or not has_letter(text):
                     langs.append(UNKNOWN), scores.append(0.0), rates.append(8.0)
                     continue
                 data = prepared(text)
@@ -247,7 +257,7 @@ def kept(documents: DataFrame, trees: ContextTrees, reject_bits: float = REJECT_
         for b in slices(batches):
             keep = []
             for text in b.column(at).to_pylist():
-                good = bool(text) and LETTER.search(text) is not None
+                good = has_letter(text)
                 if good and model.languages:
                     data = prepared(text)
                     good = len(data) < REJECT_BYTES or model.code_lengths(data).min() <= reject_bits * len(data)
