@@ -120,21 +120,67 @@ def test_machine_learns_a_pair_that_weights_cannot():
         a, b = rng.integers(0, 2, 2)
         rows.append(np.array([s for s, on in ((1, a), (2, b), (3, 1)) if on], np.int32))
         labels.append(int(a == b))
-    chosen = toxicity_fm.chosen_slots
-    toxicity_fm.chosen_slots = lambda *_: np.array([1, 2, 3])
-    try:
-        fm = toxicity_fm.fitted(rows, np.array(labels), steps=800)
-    finally:
-        toxicity_fm.chosen_slots = chosen
-    right = sum(int(fm.logit([fm.slot_of[s] for s in r.tolist()]) > 0) == y for r, y in zip(rows, labels, strict=True))
+    fm = toxicity_fm.fitted(rows, np.array(labels), slots=4, epochs=300, batch=100, x=np.ones(4, np.float32))
+    right = sum(int(fm.logit(r) > 0) == y for r, y in zip(rows, labels, strict=True))
     assert right / 400 > 0.95
 
 
 def test_pairwise_term_is_the_sum_over_pairs():
     rng = np.random.default_rng(1)
-    fm = toxicity_fm.FactorizationMachine(0.3, rng.normal(size=5), rng.normal(size=(5, 3)), {})
-    want = 0.3 + fm.weights[[0, 2, 4]].sum() + sum(fm.factors[i] @ fm.factors[j] for i, j in ((0, 2), (0, 4), (2, 4)))
-    assert fm.logit([0, 2, 4]) == pytest.approx(want)
+    x, w, v = rng.random(5), rng.normal(size=5), rng.normal(size=(5, 3))
+    fm = toxicity_fm.FactorizationMachine(0.3, x, w, v)
+    want = 0.3 + sum(w[i] * x[i] for i in (0, 2, 4)) + sum(x[i] * x[j] * (v[i] @ v[j]) for i, j in ((0, 2), (0, 4), (2, 4)))
+    assert fm.logit(np.array([0, 2, 4])) == pytest.approx(want)
+
+
+def test_evidence_is_the_shrunk_chi_square():
+    rng = np.random.default_rng(3)
+    labels = np.array([1] * 40 + [0] * 60)
+    rows = [np.array(sorted({int(s) for s in rng.integers(0, 30, 6)} | ({30} if y and rng.random() < 0.8 else set()) | ({31} if i == 3 else set())), np.int32) for i, y in enumerate(labels)]
+    got = toxicity_fm.evidence(rows, labels, 33)
+    for s in range(33):
+        a, b = sum(s in r for r, y in zip(rows, labels, strict=True) if y), sum(s in r for r, y in zip(rows, labels, strict=True) if not y)
+        p = (a + b) / 100
+        chi = (a / 40 - b / 60) ** 2 / (p * (1 - p)) * 24 if a + b else 0
+        assert got[s] == pytest.approx(chi / (chi + toxicity_fm.SHRINK), abs=1e-6)
+    assert got[31] > 0 and got[32] == 0 and got.argmax() == 30
+
+
+def test_scores_equal_a_plain_sum_in_sql(spark):
+    """The machine's weights as a table, the logit as joins and sums: another way to the same scores."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["foul", "Group", "plain", "word", "longerword"]) for _ in range(rng.randint(0, 6)))) for i in range(1500)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(lower(text) like '%foul%' and lower(text) like '%group%' as int) as toxic")
+    fm = toxicity_fm.fit(docs, labels)
+    slots = np.flatnonzero(fm.evidence)
+    weights = spark.createDataFrame([(int(s), float(fm.evidence[s]), float(fm.weights[s]), [float(f) for f in fm.factors[s]]) for s in slots], "s int, x double, w double, v array<double>")
+    terms = spark.createDataFrame([(r["doc_id"], int(s)) for r in docs.collect() for s in toxicity_fm.text_slots(r["text"])], "doc_id long, s int")
+    weights.createOrReplaceTempView("weights"), terms.createOrReplaceTempView("terms")
+    want = spark.sql(f"""
+        with used as (select doc_id, x, w, v from terms join weights using (s)),
+        pairs as (select doc_id, sum(t * t - q) / 2 as p from (select doc_id, f, sum(x * v[f]) as t, sum(x * x * v[f] * v[f]) as q from used lateral view explode(sequence(0, {toxicity_fm.RANK - 1})) e as f group by doc_id, f) group by doc_id)
+        select doc_id, 1 / (1 + exp(-({fm.bias} + sum(w * x) + max(p)))) as score from used join pairs using (doc_id) group by doc_id""")
+    want = {r["doc_id"]: r["score"] for r in want.collect()}
+    got = {r["doc_id"]: r["score"] for r in toxicity_fm.score(docs, fm).collect()}
+    assert len(got) == 1500 and all(abs(got[i] - want.get(i, 1 / (1 + np.exp(-fm.bias)))) < 1e-5 for i in got)
+    assert sum((got[r["doc_id"]] >= 0.5) == bool(r["toxic"]) for r in labels.collect()) > 1400
+
+
+def test_toxicity_fit_of_repeated_rows_and_any_ids(spark):
+    """Ids that are text; 300 rows of one id count once; the bound of terms leaves a document of each class at least."""
+    rows = [("same", "some vile words"), *[("a" + str(i), "vile thing") for i in range(8)], *[("b" + str(i), "kind thing") for i in range(8)]] + [("same", f"some vile words {i}") for i in range(299)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(k, int(k[0] != "b"), 9) for k in sorted({r[0] for r in rows}) for _ in range(3)], "doc_id string, toxic int, y int")
+    fitted, seen = toxicity_fm.fitted, []
+    toxicity_fm.fitted = lambda r, y: seen.append(len(r)) or fitted(r, y)
+    try:
+        fm = toxicity_fm.fit(docs, labels)
+        toxicity_fm.fit(docs, labels, fit_terms=1)
+    finally:
+        toxicity_fm.fitted = fitted
+    assert seen[0] <= 17 and seen[1] == 2
+    got = {r["doc_id"]: r["score"] for r in toxicity_fm.score(docs, fm).collect()}
+    assert min(v for k, v in got.items() if k[0] == "a") > max(v for k, v in got.items() if k[0] == "b")
 
 
 @needs_data
@@ -249,11 +295,29 @@ def test_every_labelled_language_is_learned(spark):
     trees = langid_ppm.fit(docs, max_contexts=60)
     assert trees.languages == [*(f"l{i:03}" for i in range(299)), "rare"]
     only = langid_ppm.fit(docs.where("lang = 'rare'"), max_contexts=60)
+    assert sum(t.step.nbytes + t.bits.nbytes for t in langid_ppm.fit(docs, model_bytes=1 << 20).trees) <= 2 << 20
     assert trees.code_lengths("жзий жж".encode())[-1] == only.code_lengths("жзий жж".encode())[0]
     rare = docs.where("lang = 'rare'")
     assert [r["lang_pred"] for r in langid_ppm.predict(rare, trees).collect()] == ["rare"] * 3 and langid_ppm.kept(rare, trees).count() == 3
 
 
+def test_language_fit_takes_repeated_rows_once(spark, monkeypatch):
+    """300 rows of one id and language, of one text or many, reach the driver as one."""
+    rows = [(1, "abc abd", "en")] * 300 + [(2, f"abc {i}", "en") for i in range(300)] + [(i, "xyz", "fr") for i in range(3, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(langid_ppm, "trained", lambda texts, **_: seen.update(texts))
+    langid_ppm.fit(docs)
+    assert len(seen["en"]) <= 2 and set(seen) <= {"en", "fr"}
+
+
+def test_signs_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ② 12", 5, 6.0), (2, "ª", 5, 6.0), (3, "1 é", 5, 6.0)], "doc_id long, text string, score long, lang_pred double")
+    trees = langid_ppm.trained({"aa": [b"abc abc"]})
+    assert [r["lang_pred"] for r in langid_ppm.predict(docs, trees).collect()] == ["und", "aa", "aa"]
+    assert [r["doc_id"] for r in langid_ppm.kept(docs, trees).collect()] == [2, 3]
+
+
 def test_unlabelled_documents_are_kept(spark):
     docs = spark.createDataFrame([(1, "some words " * 20, None), (2, "漢字", None), (3, "12 34 " * 30, None), (4, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in langid_ppm.kept(docs, langid_ppm.fit(docs)).collect()] == [1, 2]
@@ -320,12 +384,39 @@ def test_recall(spark, norms):
 
 def test_probing_retrieves_every_code_within_the_radius():
     rng = np.random.default_rng(6)
-    codes = rng.integers(0, 1 << 63, 2000, dtype=np.int64).astype(np.uint64)
-    codes[:50] = codes[0] ^ (np.uint64(1) << rng.integers(0, 64, 50).astype(np.uint64))
-    index = ann_mih.BlockIndex(np.arange(2000), np.zeros((2000, 2)), codes)
-    for radius in (0, 1, 3, 7, 8, 15, 24, 29, 40, 64):
-        want = np.flatnonzero(np.bitwise_count(codes ^ codes[3]) <= radius)
-        assert index.within(codes[3], radius).tolist() == want.tolist(), radius
+    n, m = 800, ann_mih.PARTS
+    parts = np.repeat(rng.integers(0, 1 << ann_mih.WIDTH, (m, 1)).astype(np.uint16), n, 1)
+    for i in range(n):  # codes at all distances from the first
+        flips = rng.choice(m * ann_mih.WIDTH, int(rng.integers(0, 500)) if i else 0, replace=False)
+        np.bitwise_xor.at(parts[:, i], flips // ann_mih.WIDTH, (1 << flips % ann_mih.WIDTH).astype(np.uint16))
+    far = np.bitwise_count(parts ^ parts[:, :1]).sum(0)
+    index = ann_mih.BlockIndex(np.arange(n), np.zeros((n, 2)), ann_mih.Codes(parts, np.zeros((n, ann_mih._WORDS), np.uint64)))
+    for radius in (0, 1, 3, 60, 127, 128, 190, 255, 256, 300, 384):
+        found = index.retrieved(parts[:, :1], radius)[0]
+        assert found[far <= radius].all() and found[0], radius
+        # and just the rows that a plain look at every substring gives
+        near = [(np.bitwise_count(parts[j] ^ parts[j, 0]) <= ann_mih.reach(radius, j)) for j in range(m)]
+        assert (found == np.any(near, 0)).all()
+    assert index.retrieved(parts[:, :1], m * ann_mih.WIDTH).all()
+
+
+@pytest.mark.parametrize("folder", ["sf0.1", "check_l"])
+def test_recall_of_the_query_over_all_its_rows(spark, folder):
+    from inflecta.llm import queries
+
+    if not os.path.exists(f"/root/testdata/{folder}/embeddings.parquet"):
+        pytest.skip("needs the test tables")
+    rows = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(float)
+    got = {(r["query_id"], r["vec_id"]) for r in queries.op4_nearest(spark, f"/root/testdata/{folder}").collect()}
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[ids == ids[i]] = -np.inf
+        near = np.argpartition(-score, 20)[:20]
+        hits += sum((ids[i], ids[j]) in got for j in near)
+        total += 20
+    assert len(got) == total and hits / total >= 0.9
 
 
 def test_vectors_that_take_no_part_and_few_candidates(spark):
@@ -416,7 +507,7 @@ def test_batches_are_cut_and_the_session_stays(spark):
 
     big = pa.RecordBatch.from_arrays([pa.array(["x" * (3 << 20)] * 7 + [None, ""])], ["t"])
     cut = list(_common.slices([big, big.slice(0, 0)]))
-    assert [t for b in cut for t in b.column(0).to_pylist()] == big.column(0).to_pylist() and all(b.nbytes <= 9 << 20 for b in cut)
+    assert [t for b in cut for t in b.column(0).to_pylist()] == big.column(0).to_pylist() and all(b.nbytes <= 10 << 20 for b in cut)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     was = spark.conf.get(name)
     try:
