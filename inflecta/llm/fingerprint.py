@@ -10,12 +10,11 @@ overlap with another set measures containment; likeness is the smaller of the co
 from __future__ import annotations
 
 import hashlib
-import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inflecta.llm._common import GEAR, prefix_sums, slices, span_hash
@@ -24,7 +23,9 @@ MIN, NORMAL, MAX = 16, 64, 512
 HARD, EASY = np.uint32(0x7F << 25), np.uint32(0x1F << 25)
 _GEAR32 = (GEAR >> np.uint64(20)).astype(np.uint32)
 BLOCK = 1 << 22
-MOST_RANGES = 100_000
+#: Bytes of text in a range of documents, and keys that are drawn for each to find its bounds.
+RANGE_BYTES = 32 << 20
+DRAWN = 24
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -97,41 +98,65 @@ def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "replace")
 
 
-def range_of(value: Column, cuts: list[int]) -> Column:
-    """Number of sorted cuts up to a value, by steps of the square root of their number."""
-    if not cuts:
-        return F.lit(0)
-    step = math.isqrt(len(cuts) - 1) + 1
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    coarse = F.size(F.filter(longs(cuts[::step]), lambda x: x <= value))
-    fine = F.size(F.filter(F.slice(longs(cuts), (coarse - 1) * step + 1, step), lambda x: x <= value))
-    return F.when(value < F.lit(cuts[0]).cast("long"), 0).otherwise((coarse - 1) * step + fine)
+def range_bounds(rows: DataFrame, parts: int, n: int, whole: int) -> list[tuple[int, int, int]]:
+    """Ascending keys that part rows (f, i, h, t) into at most `parts` ranges of about equal bytes; the first is the least key.
 
-
-def in_order(documents: DataFrame) -> DataFrame:
-    """doc_id, text t, bucket b and role: rows dealt into ranges of doc_id, each range sorted in its partition.
-
-    The first rows of a range come once more, with role 1, behind the range before it (behind the last range: the first
-    of all), so that every row has its successor in its own partition. Ranges, as many as shuffles have partitions, come
-    from quantiles of doc_id; only their bounds and least ids, two numbers a range, reach the driver. Nulls come first;
-    equal ids go by text.
+    Every bound is the key of a row. About DRAWN keys a range, by a hash and each with the bytes of its rows, reach the driver.
+    """
+    drawn = F.xxhash64("h", "i", F.lit(7)) / float(1 << 64) + 0.5 <= DRAWN * parts / max(n, 1)
+    keys = rows.where(drawn).groupBy("f", "i", "h").agg(F.sum(F.octet_length("t") + 64).alias("w")).collect()
+    total, at, bounds = sum(r["w"] for r in keys), 0, []
+    for key, weight in sorted(((r["f"], r["i"], r["h"]), r["w"]) for r in keys):
+        if at * parts >= len(bounds) * total:
+            bounds.append(key)
+        at += weight
+    return bounds
+
+
+def in_order(documents: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """doc_id, text t, copies n, range b and role: rows dealt into ranges of (doc_id, hash of the text), each range sorted in
+    its partition.
+
+    The first row of a range comes once more, with role 1, behind the range before it (behind the last range: the first row
+    of all), so that every row has its successor in its own partition. Ranges hold about range_bytes, but there are as many
+    as shuffles have partitions at least. An id may have any number of rows: they go by the text's hash, and rows that repeat
+    each other in a batch are one row with a number of copies before anything is shuffled. Nulls come first.
     """
     spark = documents.sparkSession
-    parts = max(1, min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = sorted({int(x) for x in documents.select("doc_id").dropna().approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(range_of(F.col("doc_id"), cuts)).cast("int")
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), bucket.alias("b"))
-    least = {r["b"]: r["m"][0] for r in documents.select("doc_id").groupBy(bucket.alias("b")).agg(F.min(F.struct("doc_id")).alias("m")).collect()}
-    if not least:
-        return rows.withColumn("role", F.lit(0))
-    used = sorted(least)
-    before = {b: used[i - 1] for i, b in enumerate(used)}
-    by_range = lambda of, kind: F.array(*[F.lit(of.get(b)).cast(kind) for b in range(used[-1] + 1)])[F.col("b")]
-    # a row that opens its range is also wanted behind the range before
-    opens = F.col("doc_id").eqNullSafe(by_range(least, "long"))
-    once, again = F.struct(F.col("b").alias("b"), F.lit(0).alias("role")), F.struct(by_range(before, "int").alias("b"), F.lit(1).alias("role"))
-    dealt = rows.withColumn("to", F.when(opens, F.array(once, again)).otherwise(F.array(once))).select("doc_id", "t", F.inline("to"))
-    return dealt.repartition(parts, "b").sortWithinPartitions("b", "role", "doc_id", "t")
+    rows = documents.select(F.col("doc_id").isNotNull().cast("int").alias("f"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    n, whole, least = rows.agg(F.count("*"), F.sum(F.octet_length("t").cast("long")), F.min(F.struct("f", "i", "h"))).first()
+    parts = max(-(-(whole or 0) // range_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted({tuple(least), *range_bounds(rows, parts, n, whole)}) if n else [(0, 0, 0)]
+    shared = spark.sparkContext.broadcast(bounds)
+
+    def dealt(batches):
+        bounds = shared.value
+        for batch in slices(batches):
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("f", "i", "h")), strict=True))
+            text = batch.column("t")
+            first: dict[tuple, list[int]] = {}  # rows of a key, one for each text
+            copies: dict[int, int] = {}
+            for at, key in enumerate(keys):
+                for other in (had := first.setdefault(key, [])):
+                    if text[at].as_py() == text[other].as_py():
+                        copies[other] += 1
+                        break
+                else:
+                    had.append(at)
+                    copies[at] = 1
+            at, b, role = list(copies), [], []
+            for i in copies:
+                b.append(bisect_right(bounds, keys[i]) - 1)
+                role.append(0)
+            for i, of in zip(list(copies), list(b), strict=True):
+                if keys[i] == bounds[of]:
+                    at.append(i), b.append((of - 1) % len(bounds)), role.append(1)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("f", "i", "h", "t")), pa.array([copies[i] for i in at], pa.int64()), pa.array(b, pa.int32()), pa.array(role, pa.int32())], ["f", "i", "h", "t", "n", "b", "role"])
+
+    moved = rows.select("f", "i", "h", "t").mapInArrow(dealt, "f int, i long, h long, t string, n long, b int, role int")
+    sorted_rows = moved.repartitionById(len(bounds), F.col("b")).sortWithinPartitions("role", "f", "i", "h", "t")
+    return sorted_rows.select(F.when(F.col("f") == 1, F.col("i")).alias("doc_id"), "t", "n", "b", "role")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -139,29 +164,36 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     The edited text is the row's text with its last quarter (floor of n_chars / 4) of code points replaced by as many (or
     all) first code points of the next row by doc_id; the last row is followed by the first, a single row by itself.
-    Null texts count as empty; rows with equal ids go by text and repeated rows follow each other; an empty table gives
-    an empty one; other columns are ignored. One shuffle of the texts, no group, no state but one row.
+    Ids are numbers or text of numbers. Null texts count as empty; rows with equal ids go by a hash of the text and repeated
+    rows follow each other; an empty table gives an empty one; other columns are ignored. One shuffle of the texts, no group,
+    no state but one row.
     """
 
     def marked(batches):
-        held = None  # (bucket, doc_id, text, data, chunks) of the row that waits for its successor
+        held = None  # (doc_id, text, chunks) of the row that waits for its successor
+
+        def compared(row: tuple, text: str, chunks: np.ndarray) -> tuple:
+            doc_id, was, was_chunks = row
+            quarter = len(was) // 4
+            edited = _bytes(was[: len(was) - quarter] + text[:quarter])
+            edited_chunks = chunk_set(np.frombuffer(edited, np.uint8))
+            return doc_id, len(was), hashlib.sha256(edited).hexdigest(), as_text(was_chunks), as_text(edited_chunks), likeness(was_chunks, edited_chunks), likeness(was_chunks, chunks)
+
         for batch in slices(batches):
             out: list[tuple] = []
-            for doc_id, text, b, role in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, copies, role in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if role and held is None:
                     continue
-                data = _bytes(text)
-                chunks = chunk_set(np.frombuffer(data, np.uint8))
+                chunks = chunk_set(np.frombuffer(_bytes(text), np.uint8))
                 if held is not None:
-                    _, was_id, was, was_chunks = held
-                    quarter = len(was) // 4
-                    edited = _bytes(was[: len(was) - quarter] + text[:quarter])
-                    edited_chunks = chunk_set(np.frombuffer(edited, np.uint8))
-                    out.append((was_id, len(was), hashlib.sha256(edited).hexdigest(), as_text(was_chunks), as_text(edited_chunks), likeness(was_chunks, edited_chunks), likeness(was_chunks, chunks)))
-                held = None if role else (b, doc_id, text, chunks)
+                    out.append(compared(held, text, chunks))
+                held = None if role else (doc_id, text, chunks)
+                if held and copies > 1:
+                    out += [compared(held, text, chunks)] * (copies - 1)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return in_order(documents.withColumn("doc_id", F.col("doc_id").cast("long"))).select("doc_id", "t", "b", "role").mapInArrow(marked, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = in_order(documents.withColumn("doc_id", F.col("doc_id").cast("long")))
+    return rows.select("doc_id", "t", "n", "role").mapInArrow(marked, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

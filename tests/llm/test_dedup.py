@@ -1,6 +1,7 @@
 """Suffix dedup, SimHash, fingerprints and line dedup against brute force."""
 
 import collections
+import functools
 import hashlib
 import random
 
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from inflecta.llm import fingerprint, line_dedup, simhash, suffix_dedup
+from inflecta.llm import _common, fingerprint, line_dedup, simhash, suffix_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -187,22 +188,72 @@ def chunks(text):
     return fingerprint.chunk_set(np.frombuffer(text.encode(), np.uint8))
 
 
-def test_fingerprints(spark, docs):
-    order = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+def plain_chunks(text):
+    """The chunks of a text byte by byte: a rolling gear hash, boundaries as they come, digests as sums of powers."""
+    data, gear, word = text.encode(), [int(g) for g in _common.GEAR], (1 << 64) - 1
+    found, start, h = set(), 0, 0
+
+    def digest(part):
+        x = sum(gear[c] * pow(_common._BASE, j, 1 << 64) for j, c in enumerate(part)) + len(part) * 0xA24BAED4963EE407 & word
+        for _ in range(2):
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & word
+        return (x ^ x >> 32) >> 12 << 12 | len(part)
+
+    for i, c in enumerate(data):
+        h = (h << 1) + (gear[c] >> 20) & 0xFFFFFFFF
+        n = i + 1 - start
+        zeros = 7 if n < fingerprint.NORMAL else 5
+        if n >= fingerprint.MAX or n >= fingerprint.MIN and not h >> 25 & (1 << zeros) - 1:
+            found.add(digest(data[start : i + 1]))
+            start = i + 1
+    if start < len(data):
+        found.add(digest(data[start:]))
+    return np.array(sorted(found), np.uint64)
+
+
+def plain_likeness(a, b):
+    a, b = ({int(x): int(x) & 0xFFF for x in y} for y in (a, b))
+    whole = max(sum(a.values()), sum(b.values()))
+    return sum(n for x, n in a.items() if x in b) / whole if whole else 1.0
+
+
+def test_chunks_equal_a_plain_chunker():
+    rng = random.Random(12)
+    for n in [0, 1, 15, 16, 17, 63, 64, 65, 300, 600, 5_000]:
+        t = "".join(rng.choice("abcdefgh é\n") for _ in range(n))
+        assert chunks(t).tolist() == plain_chunks(t).tolist(), n
+    assert chunks("a" * 3_000).tolist() == plain_chunks("a" * 3_000).tolist()
+
+
+def wanted_fingerprints(spark, rows):
+    hashed = [r[0] for r in spark.createDataFrame([(i, t or "") for i, (_, t) in enumerate(rows)], "i int, t string").orderBy("i").select(F.xxhash64("t")).collect()]
+    order = [r for _, r in sorted(zip(hashed, rows, strict=True), key=lambda x: (x[1][0] is not None, x[1][0] or 0, x[0]))]
     want = []
     for i, (doc_id, t) in enumerate(order):
         t, following = t or "", order[(i + 1) % len(order)][1] or ""
         n = len(t) // 4
         edited = t[: len(t) - n] + following[:n]
-        want.append((doc_id, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprint.as_text(chunks(t)), fingerprint.as_text(chunks(edited)), fingerprint.likeness(chunks(t), chunks(edited)), fingerprint.likeness(chunks(t), chunks(following))))
-    assert rows_of(fingerprint.fingerprints(spark.createDataFrame(docs, SCHEMA))) == sorted(want, key=str)
-
-
-@pytest.mark.parametrize("cuts", [[], [5], [1, 5], [0, 2, 4, 6, 8, 10, 12], list(range(3, 103, 2))])
-def test_ranges(spark, cuts):
-    values = [-(10**12), -1, 0, 1, 2, 3, 4, 5, 6, 50, 101, 102, 10**12]
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(fingerprint.range_of(F.col("v"), cuts)).collect()]
-    assert got == [sum(c <= v for c in cuts) for v in values]
+        c, e, f = (plain_chunks(x) for x in (t, edited, following))
+        want.append((doc_id, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprint.as_text(c), fingerprint.as_text(e), plain_likeness(c, e), plain_likeness(c, f)))
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 25, 200])
+def test_fingerprints(spark, docs, range_bytes, monkeypatch):
+    """Ids with several texts and with repeated ones; ranges smaller than what one id holds."""
+    monkeypatch.setattr(fingerprint, "in_order", functools.partial(fingerprint.in_order, range_bytes=range_bytes))
+    rows = docs + [(30, f"text {i} " * 9) for i in range(12)] + [(31, "same " * 30)] * 9 + [(None, f"x{i} " * 20) for i in range(6)]
+    assert rows_of(fingerprint.fingerprints(spark.createDataFrame(rows, SCHEMA).repartition(3))) == wanted_fingerprints(spark, rows)
+
+
+def test_one_id_goes_to_many_partitions(spark):
+    """200,000 rows of one id, and as many of one id and text."""
+    rows = spark.range(200_000).selectExpr("7 as doc_id", "concat('text ', id) as text")
+    sizes = [r[0] for r in fingerprint.in_order(rows, 1 << 18).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 40_000 and sum(sizes) < 200_000 + 1_000
+    same = fingerprint.in_order(rows.select("doc_id", F.lit("one").alias("text")))
+    assert same.count() < 100 and same.where("role = 0").agg(F.sum("n")).first()[0] == 200_000
+    assert fingerprint.fingerprints(rows.select("doc_id", F.lit("one").alias("text"))).groupBy("near_next", "edited_sha256").count().first()["count"] == 200_000
 
 
 def test_fingerprint_of_a_single_row(spark):
