@@ -18,8 +18,10 @@ corpus would move LENGTH times its size, so suffixes are sorted only where they
    repeat isn't maximal and the interval is covered by that of a longer one. A member whose common prefix and left
    extension together reach LENGTH is covered from the one end to the other.
 
-A hash with more than HOT distinct surroundings is not put into one task: every window around its anchors is hashed, and
-windows counted with map-side combine (`window_cover`), which gives the same answer.
+However frequent a hash is, no group of suffixes that goes into a tree has more than GROUP rows. Windows that begin a to z
+bytes before an anchor all hold what lies from a bytes before it to LENGTH - z behind, so a larger group falls apart by the
+hash of just that, once for the near half of the windows and once for the far half: two suffixes that share a window meet
+again in one of the halves. Halves are cut again until they are small; those of one window only share it whole.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ from inflecta.llm._common import prefix_sums, row_key, slices, span_hash, utf8,
 
 LENGTH = 200
 GRAM = 40
-HOT = 100_000
+#: Rows of a group that is put into one tree.
+GROUP = 5_000
 #: What a worker holds at once: bytes of a text, surroundings cut out, suffixes of the tree, and members of intervals.
 BLOCK = 1 << 18
 CUT_ROWS = 16_384
@@ -200,10 +203,14 @@ def snippets(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["h", "d", "k", "p", "l", "r"])
 
     def cut(batches):
+        seen = set()  # of rows that repeat each other one will do
         for b in slices(batches):
             data, ends = utf8(b.column(2))
             out: list[list] = [[] for _ in kinds]
             for i, (d, k, places) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if (d, k) in seen:
+                    continue
+                seen.add((d, k))
                 x = data[ends[i] : ends[i + 1]].tobytes()
                 for place in places:
                     p = place["p"]
@@ -221,14 +228,14 @@ def snippets(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
 
 
 def tree_cover(parts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(d, k, s, e): spans covered according to the interval tree of each hash's suffixes."""
+    """(d, k, s, e): spans covered according to the interval tree of the suffixes of each group g."""
 
     def scan(batches):
         held: list[pa.RecordBatch] = []
 
         def run(table: pa.Table):
-            h = table.column("h").to_numpy()
-            a, z = covers(h, table.column("l").to_pylist(), table.column("r").to_pylist(), length, gram)
+            g = table.column("g").to_numpy()
+            a, z = covers(g, table.column("l").to_pylist(), table.column("r").to_pylist(), length, gram)
             on = np.flatnonzero(z)
             p = table.column("p").to_numpy()[on]
             take = pa.array(on)
@@ -241,8 +248,8 @@ def tree_cover(parts: DataFrame, length: int, gram: int) -> DataFrame:
             size += b.num_rows
             if size >= CHUNK_ROWS:
                 table = pa.Table.from_batches(held)
-                h = table.column("h").to_numpy()
-                end = int(np.searchsorted(h, h[-1]))  # the last hash may go on in the next batch
+                g = table.column("g").to_numpy()
+                end = int(np.searchsorted(g, g[-1]))  # the last group may go on in the next batch
                 if end:
                     yield run(table.slice(0, end))
                     held = table.slice(end).combine_chunks().to_batches()
@@ -250,26 +257,35 @@ def tree_cover(parts: DataFrame, length: int, gram: int) -> DataFrame:
         if size:
             yield run(pa.Table.from_batches(held))
 
-    return parts.repartition("h").sortWithinPartitions("h", "r").select("h", "d", "k", "p", "l", "r").mapInArrow(scan, "d long, k long, s long, e long")
-
-
-def window_cover(parts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same spans by counting the hashes of all windows around the anchors: for hashes too frequent for one task."""
-
-    def spread(batches):
-        for b in slices(batches):
-            for d, k, p, left, right in zip(*(b.column(c).to_pylist() for c in ("d", "k", "p", "l", "r")), strict=True):
-                x = np.frombuffer(left + right, np.uint8)
-                if len(x) >= length:
-                    starts = np.arange(len(x) - length + 1)
-                    w = span_hash(prefix_sums(x), starts, starts + length)
-                    n = len(w)
-                    yield pa.RecordBatch.from_arrays([_signed(w), pa.array([d] * n, pa.int64()), pa.array([k] * n, pa.int64()), pa.array(starts + (p - len(left)), pa.int64())], ["w", "d", "k", "s"])
-
-    windows = parts.mapInArrow(spread, "w long, d long, k long, s long")
-    place = F.struct("d", "k", "s")
-    repeated = windows.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("w")
-    return windows.join(repeated, "w").select("d", "k", "s", (F.col("s") + length).alias("e")).distinct()
+    return parts.repartition("g").sortWithinPartitions("g", "r").select("g", "d", "k", "p", "l", "r").mapInArrow(scan, "d long, k long, s long, e long")
+
+
+def halved(parts: DataFrame, length: int) -> DataFrame:
+    """parts (g, a, z, d, k, p, l, r), of groups of windows that begin a to z bytes before the anchor, in two groups each."""
+    middle = F.floor((F.col("a") + F.col("z")) / 2).cast("int")
+    half = F.explode(F.array(F.struct(F.col("a").alias("a"), middle.alias("z")), F.struct((middle + 1).alias("a"), F.col("z").alias("z"))))
+    each = parts.withColumn("half", half).select("g", "half.a", "half.z", "d", "k", "p", "l", "r")
+    each = each.where((F.octet_length("l") >= F.col("a")) & (F.octet_length("r") >= length - F.col("z")))
+    shared = F.concat(F.expr("substring(l, octet_length(l) - a + 1, a)"), F.expr(f"substring(r, 1, {length} - z)"))
+    return each.withColumn("g", F.xxhash64("g", "a", "z", shared))
+
+
+def split_cover(parts: DataFrame, length: int, gram: int, group: int) -> DataFrame:
+    """The spans of parts (h, d, k, p, l, r) whose hashes are too frequent for one tree: groups are halved till they are small."""
+    level = parts.select(F.col("h").alias("g"), F.lit(0).alias("a"), F.lit(length - gram).alias("z"), "d", "k", "p", "l", "r")
+    spans = None
+    while True:
+        # written down, so that the join is one of plain tables, whose hot groups Spark can split
+        halves = written(halved(level, length), "suffix-halves")
+        sizes = written(halves.groupBy("g", "a", "z").agg(F.count("*").alias("n")).where("n > 1").select("g", "n", "a", "z"), "suffix-sizes")
+        sized = halves.join(sizes.select("g", "n"), "g")
+        found = tree_cover(sized.where((F.col("n") <= group) & (F.col("a") < F.col("z"))), length, gram)
+        found = found.union(sized.where("a = z").select("d", "k", F.col("p") - F.col("a"), F.col("p") - F.col("a") + length))
+        spans = found if spans is None else spans.union(found)
+        large = (F.col("n") > group) & (F.col("a") < F.col("z"))
+        if not sizes.where(large).limit(1).count():
+            return spans
+        level = sized.where(large).drop("n")
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -277,7 +293,7 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("d"), row_key(F.col("doc_id"), F.col("text")).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
 
 
-def lost_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def lost_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(d2, k2, spans) of the rows (d, k, t) that lose anything: the spans (s, e), unordered, to be clipped to the text."""
     reach = length - gram
     found = anchor_table(rows, length, gram)
@@ -288,9 +304,10 @@ def lost_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
     identical = repeated.join(classes.where("n > 1").select("h", "s"), ["h", "s"]).select("d", "k", (F.col("p") - reach).alias("s"), (F.col("p") + length).alias("e"))
     many = written(classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "suffix-many")
     wanted = classes.join(many, "h").select("h", "m", "one.d", "one.k", "one.p")
-    spans = identical.union(tree_cover(snippets(rows, wanted.where(F.col("m") <= hot), length, gram), length, gram))
-    if many.where(F.col("m") > hot).limit(1).count():
-        spans = spans.union(window_cover(snippets(rows, wanted.where(F.col("m") > hot), length, gram), length, gram))
+    small = snippets(rows, wanted.where(F.col("m") <= group), length, gram)
+    spans = identical.union(tree_cover(small.withColumnRenamed("h", "g"), length, gram))
+    if many.where(F.col("m") > group).limit(1).count():
+        spans = spans.union(split_cover(snippets(rows, wanted.where(F.col("m") > group), length, gram), length, gram, group))
     return spans.groupBy("d", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select(F.col("d").alias("d2"), F.col("k").alias("k2"), "spans")
 
 
@@ -313,7 +330,7 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def removed(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def removed(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     Null texts are empty; texts under `length` bytes lose nothing; repeated rows (same id and text) repeat each other and
@@ -331,17 +348,17 @@ def removed(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, runs_n)), pa.array(digest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = keyed(documents)
-    lost = lost_spans(rows, length, gram, hot)
+    lost = lost_spans(rows, length, gram, group)
     joined = rows.join(lost, F.col("d").eqNullSafe(F.col("d2")) & (F.col("k") == F.col("k2")), "left")
     return joined.select("d", "t", "spans").mapInArrow(measured, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """The rows, all columns, with the repeated bytes gone from text (null stays null) and n_chars, if there, anew.
 
     Where a run begins or ends inside a character, the bytes that are left of it are dropped too.
     """
-    lost = lost_spans(keyed(documents), length, gram, hot)
+    lost = lost_spans(keyed(documents), length, gram, group)
     names = documents.columns
     own = documents.toDF(*[f"c{i}" for i in range(len(names))])
     doc_id, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")

@@ -51,15 +51,15 @@ def covered(docs, n):
     return out
 
 
-@pytest.mark.parametrize("length, gram, hot", [(200, 40, 100_000), (60, 12, 100_000), (60, 12, 3), (40, 20, 100_000)])
-def test_suffix_dedup(spark, docs, length, gram, hot):
-    """hot=3 sends all but the smallest groups through the counting of windows."""
+@pytest.mark.parametrize("length, gram, group", [(200, 40, 5_000), (60, 12, 5_000), (60, 12, 3), (60, 12, 1), (40, 20, 5_000), (40, 20, 2)])
+def test_suffix_dedup(spark, docs, length, gram, group):
+    """group=3 halves all but the smallest groups, group=1 all of them, down to single windows."""
     want = []
     for (doc_id, _), (d, mask) in zip(docs, covered(docs, length), strict=True):
         runs = sum(1 for i in range(len(mask)) if mask[i] and (not i or not mask[i - 1]))
         want.append((doc_id, len(d), sum(mask), runs, hashlib.sha256(bytes(b for b, m in zip(d, mask, strict=True) if not m)).hexdigest()))
     assert sum(r[2] for r in want)
-    got = suffix_dedup.removed(spark.createDataFrame(docs, SCHEMA), length, gram, hot)
+    got = suffix_dedup.removed(spark.createDataFrame(docs, SCHEMA), length, gram, group)
     assert rows_of(got) == sorted(want, key=str)
 
 
@@ -188,6 +188,20 @@ def chunks(text):
     return fingerprint.chunk_set(np.frombuffer(text.encode(), np.uint8))
 
 
+def test_repeated_rows_are_cut_once_a_task(spark):
+    """500 rows of one id and text and one that shares a part: a few snippets, and the same bytes go."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(260)
+    rows = [(1, text(100) + shared + text(200))] * 500 + [(2, text(90) + shared + text(50))]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    keyed = suffix_dedup.keyed(docs)
+    wanted = suffix_dedup.anchor_table(keyed, 200, 40).select("h", "d", "k", "p").distinct()
+    assert suffix_dedup.snippets(keyed, wanted, 200, 40).count() <= 4 * wanted.count()
+    got = {(r["doc_id"], r["n_removed"]) for r in suffix_dedup.removed(docs).collect()}
+    assert got == {(1, 560), (2, 260)}
+
+
 def plain_chunks(text):
     """The chunks of a text byte by byte: a rolling gear hash, boundaries as they come, digests as sums of powers."""
     data, gear, word = text.encode(), [int(g) for g in _common.GEAR], (1 << 64) - 1
