@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,29 +36,31 @@ KEEP = 0.8
 STEPS = 300
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose slots a worker remembers; further words are hashed anew.
-MEMO = 200_000
+MEMO = 400_000
 
 
 def word_slots(word: str) -> tuple[int, ...]:
     """The hashed terms that one lower-cased word adds."""
-    terms = [word, f"^{word[:4]}", f"{word[-4:]}$"] if len(word) > 4 else [word]
-    return tuple([zlib.crc32(t.encode("utf-8", "replace")) & (SLOTS - 1) for t in terms])
+    if len(word) < 5:
+        return (zlib.crc32(word.encode("utf-8", "replace")) % SLOTS,)
+    return zlib.crc32(word.encode("utf-8", "replace")) % SLOTS, zlib.crc32(word[:4].encode("utf-8", "replace"), 1) % SLOTS, zlib.crc32(word[-4:].encode("utf-8", "replace"), 2) % SLOTS
 
 
-def text_slots(text: str | None, memo: dict[str, tuple[int, ...]] | None = None) -> np.ndarray:
+class Remembered(dict):
+    """word_slots of the words met so far, up to MEMO of them; of further words anew each time."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        hit = word_slots(word)
+        if len(self) < MEMO:
+            self[word] = hit
+        return hit
+
+
+def text_slots(text: str | None, memo: Remembered | None = None) -> np.ndarray:
     """Sorted distinct slots of a text."""
-    memo = {} if memo is None else memo
-    found: set[int] = set()
-    for w in set(WORD.findall(text.lower())) if text else ():
-        hit = memo.get(w)
-        if hit is None:
-            hit = word_slots(w)
-            if len(memo) < MEMO:
-                memo[w] = hit
-        found.update(hit)
-    out = np.fromiter(found, np.int32, len(found))
-    out.sort()
-    return out
+    memo = Remembered() if memo is None else memo
+    words = set(WORD.findall(text.lower())) if text else ()
+    return np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int32))
 
 
 @dataclass
@@ -71,9 +74,10 @@ class FactorizationMachine:
 
     def logit(self, slots: np.ndarray) -> float:
         x = self.evidence[slots]
-        v = x[:, None] * self.factors[slots]
+        v = self.factors[slots] * x[:, None]
         total = v.sum(0, dtype=np.float64)
-        return float(self.bias + (x * self.weights[slots]).sum(dtype=np.float64) + 0.5 * (total @ total - (v * v).sum(dtype=np.float64)))
+        flat = v.ravel()
+        return float(self.bias + x @ self.weights[slots] + 0.5 * (total @ total - flat @ flat))
 
     def score(self, slots: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(slots), -35, 35))))
@@ -149,7 +153,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_terms
     picked = rows.where(F.col("u") <= near).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("u", "k"))).where(F.col("r") <= sample).select("k", "y", "r")
 
     def terms(batches):
-        memo: dict[str, tuple[int, ...]] = {}
+        memo = Remembered()
         for b in slices(batches):
             found = [text_slots(t, memo) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["k", "y", "r", "n", "s"])
@@ -171,7 +175,7 @@ def score(documents: DataFrame, machine: FactorizationMachine) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(machine)
 
     def scored(batches):
-        fm, memo = shared.value, {}
+        fm, memo = shared.value, Remembered()
         for b in slices(batches):
             out = [fm.score(text_slots(text, memo)) for text in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
