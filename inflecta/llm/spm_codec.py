@@ -2,15 +2,23 @@
 
 A model whose pieces hold the whitespace marker only at their start can't form a piece across the start of a marked
 word. So a text falls apart into chunks (markers, then what follows up to the next marker), each chunk's ids don't depend
-on its neighbours, and a text's ids are its chunks' ids in order. Each distinct chunk is segmented once per worker by the
-sentencepiece library and kept in a bounded table; texts are then put together by look-ups. A model with a piece that
-crosses a marker, or that changes texts before segmenting, is refused.
+on its neighbours, and a text's ids are its chunks' ids in order. A model with a piece that crosses a marker, or that
+changes texts before segmenting, is refused.
+
+1. Texts, compressed, are dealt by a hash into blocks of about BLOCK_BYTES, and each block gives its distinct chunks.
+2. Dealt by chunk, each distinct chunk of the corpus is segmented once by the sentencepiece library, for all blocks that
+   hold it: the table of distinct chunks (block, chunk, ids).
+3. Each block meets its part of the table, and its texts are put together from it, chunk by chunk in order of position.
+
+What moves is the compressed text once, and each block's distinct chunks twice; a frequent chunk is one row a block.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,8 +29,9 @@ from inflecta.llm._common import slices
 
 MARK = "▁"
 CHUNK = re.compile(" +[^ ]*")
-TABLE = 600_000
-LONGEST = 64
+#: Bytes of text in a block; fewer where that leaves cores without one, but not under the least.
+BLOCK_BYTES, LEAST_BLOCK_BYTES = 64 << 20, 4 << 20
+ROWS = 20_000
 
 
 @lru_cache(maxsize=2)
@@ -42,60 +51,107 @@ def processor(path: str):
     return sp
 
 
-class ChunkTable:
-    """Chunk to (ids, number of ids, ids as text, decoded text), filled on demand, at most `size` entries."""
+def chunks_of(text: str | None) -> list[str]:
+    """The chunks of a text with markers as spaces; the first starts with the marker that encoding puts in front."""
+    return CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
-    def __init__(self, path: str, size: int = TABLE):
-        self.sp, self.size, self.rows = processor(path), size, {}
-        self.mark = self.sp.piece_to_id(MARK)
 
-    def _segment(self, chunk: str) -> list[int]:
-        # the library puts one marker before what it encodes, which is the chunk's first; alone it is a piece by itself
-        return self.sp.encode(chunk[1:]) if len(chunk) > 1 else [self.mark]
+def segmented(chunks: list[str], path: str) -> tuple[list[str], list[str | None]]:
+    """Of each chunk the ids, joined by commas, and what they decode to if that is another text than the chunk."""
+    sp = processor(path)
+    # the library puts one marker before what it encodes, which is the chunk's first; alone it is a piece by itself
+    ids = [x if len(c) > 1 else [sp.piece_to_id(MARK)] for c, x in zip(chunks, sp.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
+    # behind another chunk the first marker is a space; decode() drops it only at the start of a text
+    plain = [" " + t if c != " " else " " for c, t in zip(chunks, sp.decode(ids), strict=True)] if chunks else []
+    return [",".join(map(str, x)) for x in ids], [t if t != c else None for c, t in zip(chunks, plain, strict=True)]
 
-    def _row(self, chunk: str, ids: list[int]) -> tuple[int, str, str]:
-        # behind another chunk the first marker is a space; decode() drops it only at the start of a text
-        return len(ids), ",".join(map(str, ids)), " " + self.sp.decode(ids) if chunk != " " else " "
 
-    def look_up(self, chunks: list[str]) -> list[tuple[int, str, str]]:
-        rows = self.rows
-        missing = [c for c in {c for c in chunks if c not in rows} if len(c) <= LONGEST]
-        if missing:
-            if len(rows) + len(missing) > self.size:
-                rows.clear()
-                missing = list({c for c in chunks if len(c) <= LONGEST})
-            for c, ids in zip(missing, self.sp.encode([c[1:] for c in missing], num_threads=1), strict=True):
-                rows[c] = self._row(c, ids if len(c) > 1 else [self.mark])
-        return [rows[c] if c in rows else self._row(c, self._segment(c)) for c in chunks]
+Entry = tuple[str, str]
 
-    def ids(self, text: str | None) -> list[int]:
-        """All ids of a text, as the library's encode gives them."""
-        return [int(i) for _, joined, _ in self.look_up(chunks_of(text)) for i in joined.split(",") if i]
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas, and the decoded text."""
-        rows = self.look_up(chunks_of(text))
-        return sum(r[0] for r in rows), ",".join([r[1] for r in rows]), "".join([r[2] for r in rows])[1:]
+def put_together(text: str | None, table: dict[str, Entry]) -> tuple[str, str]:
+    """The ids of a text, joined by commas, and the decoded text, from the entries (ids, decoded) of its chunks."""
+    rows = [table[c] for c in chunks_of(text)]
+    return ",".join([r[0] for r in rows]), "".join([r[1] for r in rows])[1:]
 
 
-def chunks_of(text: str | None) -> list[str]:
-    """The chunks of a text with markers as spaces; the first starts with the marker that encoding puts in front."""
-    return CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
+def number(joined: str) -> int:
+    return joined.count(",") + 1 if joined else 0
 
 
-def encode(documents: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """All columns, and `out`: the ids of each whole text. Null: no ids."""
-    at = documents.columns.index(text)
+def coded(rows: DataFrame, path: str, out: str, kinds: list[tuple[str, pa.DataType]], finish: Callable[[list[tuple[str, str]]], list[pa.Array]]) -> DataFrame:
+    """rows (t, and other columns) with t replaced by the columns `out` that finish makes of each (ids, decoded)."""
+    spark = rows.sparkSession
+    whole = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    size = min(BLOCK_BYTES, max(LEAST_BLOCK_BYTES, whole // (2 * spark.sparkContext.defaultParallelism)))
+    blocks = max(1, -(-whole // size))
+    rest = [c for c in rows.columns if c != "t"]
+    # rows that repeat each other go to the blocks of their partitions
+    dealt = rows.select(*rest, F.pmod(F.xxhash64("t") + F.spark_partition_id(), F.lit(blocks)).cast("int").alias("__b"), "t")
+
+    def compressed(batches):
+        for b in slices(batches):
+            z = pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) if t else None for t in b.column(len(rest) + 1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], z], [*b.schema.names[:-1], "__z"])
 
-    def encoded(batches):
-        t = ChunkTable(path)
+    def text(z: bytes | None) -> str:
+        return zlib.decompress(z).decode("utf-8", "surrogatepass") if z else ""
+
+    def distinct(batches):
+        found: dict[int, set[str]] = {}  # a partition holds one block, or a few
+        for b in slices(batches):
+            for block, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found.setdefault(block, set()).update(chunks_of(text(z)))
+        for block, chunks in found.items():
+            chunks = list(chunks)
+            for at in range(0, len(chunks), ROWS):
+                part = chunks[at : at + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], ["__b", "c"])
+
+    def table(batches):
+        last: tuple[str, str, str | None] | None = None
         for b in slices(batches):
-            ids = pa.array([t.ids(x) for x in b.column(at).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
+            chunks = b.column(1).to_pylist()
+            # rows come in order of the chunk, so each is new or the one before
+            new = [c for i, c in enumerate(chunks) if c != (chunks[i - 1] if i else last and last[0])]
+            ids, plain = segmented(new, path)
+            at = -1
+            got = []
+            for i, c in enumerate(chunks):
+                if c != (chunks[i - 1] if i else last and last[0]):
+                    at += 1
+                got.append((ids[at], plain[at]) if at >= 0 else last[1:])
+            last = (chunks[-1], *got[-1]) if chunks else last
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], ["__b", "c", "i", "p"])
+
+    def rebuilt(texts: pa.Table, entries: pa.Table) -> pa.Table:
+        known = {c: (i, c if p is None else p) for c, i, p in zip(*(entries.column(n).to_pylist() for n in ("c", "i", "p")), strict=True)}
+        made: list[list[pa.Array]] = []
+        for b in slices(texts.to_batches()):
+            made.append(finish([put_together(text(z), known) for z in b.column("__z").to_pylist()]))
+        columns = [pa.chunked_array([m[i] for m in made], kind) for i, (_, kind) in enumerate(kinds)]
+        return pa.table([*(texts.column(c) for c in rest), *columns], names=[*rest, *(n for n, _ in kinds)])
+
+    schema = "".join(f"`{n}` {k}, " for n, k in rows.select(*rest).dtypes)
+    packed = dealt.mapInArrow(compressed, f"{schema}`__b` int, `__z` binary").repartition(blocks, "__b")
+    asked = packed.select("__b", "__z").mapInArrow(distinct, "`__b` int, c string")
+    entries = asked.repartition("c").sortWithinPartitions("c").mapInArrow(table, "`__b` int, c string, i string, p string")
+    return packed.groupBy("__b").cogroup(entries.groupBy("__b")).applyInArrow(rebuilt, schema + out)
+
 
-    rest = documents.drop(out) if out in documents.columns else documents
-    at = rest.columns.index(text)
-    return rest.mapInArrow(encoded, ", ".join(f"`{n}` {k}" for n, k in rest.dtypes) + f", `{out}` array<int>")
+def encode(documents: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """All columns, and `out`, replaced if there: the ids of each whole text. Null and empty texts: no ids.
+
+    Columns may have any name. Repeated rows repeat, an empty table gives an empty one; the order of rows is not kept.
+    """
+    names = [c for c in documents.columns if c != out]
+    rows = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+
+    def finish(made: list[tuple[str, str]]) -> list[pa.Array]:
+        return [pa.array([[int(i) for i in ids.split(",") if i] for ids, _ in made], pa.list_(pa.int32()))]
+
+    done = coded(rows, path, "ids array<int>", [("ids", pa.list_(pa.int32()))], finish)
+    return done.toDF(*names, out)
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
@@ -104,16 +160,12 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
     Rows are coded one by one: repeated rows repeat, an empty table gives an empty one, other columns are ignored.
     """
 
-    def coded(batches):
-        t = ChunkTable(path)
-        for b in slices(batches):
-            n, ids, decoded = [], [], []
-            for text in b.column(1).to_pylist():
-                count, joined, plain = t.digest(text)
-                n.append(count)
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(plain.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    id_type = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", F.col("text").alias("t")).mapInArrow(coded, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(text: str) -> str:
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def finish(made: list[tuple[str, str]]) -> list[pa.Array]:
+        return [pa.array([number(ids) for ids, _ in made], pa.int64()), pa.array([digest(ids) for ids, _ in made], pa.string()), pa.array([digest(plain) for _, plain in made], pa.string())]
+
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    return coded(rows, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", kinds, finish)
