@@ -22,7 +22,6 @@ from inflecta.llm._common import row_key, slices, written
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
-_LOW = np.uint64(0x1111111111111111)
 CHUNK_ROWS = 200_000
 #: Bits of the three blocks of which one is equal where at most two bits differ.
 _BLOCKS = [np.uint64((1 << 22) - 1), np.uint64(((1 << 21) - 1) << 22), np.uint64(((1 << 21) - 1) << 43)]

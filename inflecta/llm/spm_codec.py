@@ -5,12 +5,13 @@ word. So a text falls apart into chunks (markers, then what follows up to the ne
 on its neighbours, and a text's ids are its chunks' ids in order. A model with a piece that crosses a marker, or that
 changes texts before segmenting, is refused.
 
-1. Texts, compressed, are dealt by a hash into blocks of about BLOCK_BYTES, and each block gives its distinct chunks.
-2. Dealt by chunk, each distinct chunk of the corpus is segmented once by the sentencepiece library, for all blocks that
-   hold it: the table of distinct chunks (block, chunk, ids).
+1. Texts are dealt by a hash into blocks of about BLOCK_BYTES, and each block gives its distinct chunks.
+2. Dealt by a hash of the chunk, each distinct chunk of the corpus is segmented once by the sentencepiece library, for all
+   blocks that hold it: the table of distinct chunks (block, chunk, ids).
 3. Each block meets its part of the table, and its texts are put together from it, chunk by chunk in order of position.
 
-What moves is the compressed text once, and each block's distinct chunks twice; a frequent chunk is one row a block.
+What moves is the text once, and each block's distinct chunks twice, in compressed batches; a frequent chunk moves once a
+block, whatever its number of places.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import zlib
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,6 @@ MARK = "▁"
 CHUNK = re.compile(" +[^ ]*")
 #: Bytes of text in a block; fewer where that leaves cores without one, but not under the least.
 BLOCK_BYTES, LEAST_BLOCK_BYTES = 64 << 20, 4 << 20
-ROWS = 20_000
 
 
 @lru_cache(maxsize=2)
@@ -79,64 +80,85 @@ def number(joined: str) -> int:
     return joined.count(",") + 1 if joined else 0
 
 
-def coded(rows: DataFrame, path: str, out: str, kinds: list[tuple[str, pa.DataType]], finish: Callable[[list[tuple[str, str]]], list[pa.Array]]) -> DataFrame:
-    """rows (t, and other columns) with t replaced by the columns `out` that finish makes of each (ids, decoded)."""
+def blob(batch: pa.RecordBatch) -> bytes:
+    """A batch, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unblob(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def coded(rows: DataFrame, path: str, out: str, names: list[str], finish: Callable[[list[tuple[str, str]]], list[pa.Array]]) -> DataFrame:
+    """rows (t, and other columns) with t replaced by the columns `out`, of these names, that finish makes of each (ids, decoded)."""
     spark = rows.sparkSession
     whole = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     size = min(BLOCK_BYTES, max(LEAST_BLOCK_BYTES, whole // (2 * spark.sparkContext.defaultParallelism)))
     blocks = max(1, -(-whole // size))
     rest = [c for c in rows.columns if c != "t"]
     # rows that repeat each other go to the blocks of their partitions
-    dealt = rows.select(*rest, F.pmod(F.xxhash64("t") + F.spark_partition_id(), F.lit(blocks)).cast("int").alias("__b"), "t")
-
-    def compressed(batches):
-        for b in slices(batches):
-            z = pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) if t else None for t in b.column(len(rest) + 1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], z], [*b.schema.names[:-1], "__z"])
+    dealt = rows.select(*rest, "t", F.pmod(F.xxhash64("t") + F.spark_partition_id(), F.lit(blocks)).cast("int").alias("__b"))
 
-    def text(z: bytes | None) -> str:
-        return zlib.decompress(z).decode("utf-8", "surrogatepass") if z else ""
+    def packed(batches):
+        for batch in slices(batches):
+            block, batch = batch.column(batch.num_columns - 1).to_numpy(), batch.select(batch.schema.names[:-1])
+            for b in np.unique(block).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob(batch.take(pa.array(np.flatnonzero(block == b))))], pa.binary())], ["b", "z"])
 
     def distinct(batches):
         found: dict[int, set[str]] = {}  # a partition holds one block, or a few
-        for b in slices(batches):
-            for block, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found.setdefault(block, set()).update(chunks_of(text(z)))
-        for block, chunks in found.items():
-            chunks = list(chunks)
-            for at in range(0, len(chunks), ROWS):
-                part = chunks[at : at + ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], ["__b", "c"])
+        for batch in batches:
+            for b, z in zip(batch.column("b").to_pylist(), batch.column("z").to_pylist(), strict=True):
+                for t in unblob(z).column("t").to_pylist():
+                    found.setdefault(b, set()).update(chunks_of(t))
+        for b, chunks in found.items():
+            parts: dict[int, list[str]] = {}
+            for c in sorted(chunks):
+                parts.setdefault(zlib.crc32(c.encode("utf-8", "surrogatepass")) % blocks, []).append(c)
+            for h, part in parts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([b], pa.int32()), pa.array([blob(pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["c"]))], pa.binary())], ["h", "b", "z"])
 
     def table(batches):
-        last: tuple[str, str, str | None] | None = None
-        for b in slices(batches):
-            chunks = b.column(1).to_pylist()
-            # rows come in order of the chunk, so each is new or the one before
-            new = [c for i, c in enumerate(chunks) if c != (chunks[i - 1] if i else last and last[0])]
-            ids, plain = segmented(new, path)
-            at = -1
-            got = []
-            for i, c in enumerate(chunks):
-                if c != (chunks[i - 1] if i else last and last[0]):
-                    at += 1
-                got.append((ids[at], plain[at]) if at >= 0 else last[1:])
-            last = (chunks[-1], *got[-1]) if chunks else last
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], ["__b", "c", "i", "p"])
+        now, held = None, []
+
+        def rows_of():
+            lists = [unblob(z).column("c").to_pylist() for _, z in held]
+            new = list(set().union(*lists))
+            known = dict(zip(new, zip(*segmented(new, path), strict=True), strict=True))
+            for (b, _), chunks in zip(held, lists, strict=True):
+                entries = pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), pa.array([known[c][0] for c in chunks], pa.string()), pa.array([known[c][1] for c in chunks], pa.string())], ["c", "i", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob(entries)], pa.binary())], ["b", "z"])
+
+        for batch in batches:
+            for h, b, z in zip(*(batch.column(c).to_pylist() for c in ("h", "b", "z")), strict=True):
+                if h != now and held:
+                    yield from rows_of()
+                    held = []
+                now = h
+                held.append((b, z))
+        if held:
+            yield from rows_of()
 
     def rebuilt(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        known = {c: (i, c if p is None else p) for c, i, p in zip(*(entries.column(n).to_pylist() for n in ("c", "i", "p")), strict=True)}
-        made: list[list[pa.Array]] = []
-        for b in slices(texts.to_batches()):
-            made.append(finish([put_together(text(z), known) for z in b.column("__z").to_pylist()]))
-        columns = [pa.chunked_array([m[i] for m in made], kind) for i, (_, kind) in enumerate(kinds)]
-        return pa.table([*(texts.column(c) for c in rest), *columns], names=[*rest, *(n for n, _ in kinds)])
+        known: dict[str, Entry] = {}
+        for z in entries.column("z").to_pylist():
+            part = unblob(z)
+            known.update((c, (i, c if p is None else p)) for c, i, p in zip(*(part.column(n).to_pylist() for n in ("c", "i", "p")), strict=True))
+        done = []
+        for z in texts.column("z").to_pylist():
+            part = unblob(z)
+            made = finish([put_together(t, known) for t in part.column("t").to_pylist()])
+            done.append(pa.table([*(part.column(c) for c in rest), *made], names=[*rest, *names]))
+        return pa.concat_tables(done)
 
     schema = "".join(f"`{n}` {k}, " for n, k in rows.select(*rest).dtypes)
-    packed = dealt.mapInArrow(compressed, f"{schema}`__b` int, `__z` binary").repartition(blocks, "__b")
-    asked = packed.select("__b", "__z").mapInArrow(distinct, "`__b` int, c string")
-    entries = asked.repartition("c").sortWithinPartitions("c").mapInArrow(table, "`__b` int, c string, i string, p string")
-    return packed.groupBy("__b").cogroup(entries.groupBy("__b")).applyInArrow(rebuilt, schema + out)
+    texts = dealt.mapInArrow(packed, "b int, z binary").repartition(blocks, "b")
+    asked = texts.mapInArrow(distinct, "h int, b int, z binary")
+    entries = asked.repartition(blocks, "h").sortWithinPartitions("h", "b").mapInArrow(table, "b int, z binary")
+    return texts.groupBy("b").cogroup(entries.groupBy("b")).applyInArrow(rebuilt, schema + out)
 
 
 def encode(documents: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -150,7 +172,7 @@ def encode(documents: DataFrame, path: str, text: str = "text", out: str = "ids"
     def finish(made: list[tuple[str, str]]) -> list[pa.Array]:
         return [pa.array([[int(i) for i in ids.split(",") if i] for ids, _ in made], pa.list_(pa.int32()))]
 
-    done = coded(rows, path, "ids array<int>", [("ids", pa.list_(pa.int32()))], finish)
+    done = coded(rows, path, "ids array<int>", ["ids"], finish)
     return done.toDF(*names, out)
 
 
@@ -167,5 +189,4 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
         return [pa.array([number(ids) for ids, _ in made], pa.int64()), pa.array([digest(ids) for ids, _ in made], pa.string()), pa.array([digest(plain) for _, plain in made], pa.string())]
 
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    return coded(rows, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", kinds, finish)
+    return coded(rows, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], finish)
