@@ -1,4 +1,5 @@
-"""SQL functions: normalize_phrase, str_intersect_str, str_intersect_str2, str_case_str, phrase_search, and tokens (a table)."""
+"""SQL functions: normalize_phrase, str_intersect_str, str_intersect_str2, str_case_str, phrase_search, detect_language, lemmas and
+word_forms (of a word in a language), and the tables tokens and search (the matches of a phrase)."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from inflecta.functions.kernel import Kernel, tokens
+from inflecta.functions.kernel import Kernel, is_garbage, tokens
 
 
 def register(spark: SparkSession, kernel: Kernel) -> None:
@@ -33,9 +34,33 @@ def register(spark: SparkSession, kernel: Kernel) -> None:
 
     spark.udf.register("normalize_phrase", normalize_phrase)
 
+    @F.pandas_udf("string")
+    def detect_language(words: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.detect_language(w or "") for w in words], dtype=object)
+
+    spark.udf.register("detect_language", detect_language)
+
+    def of_a_word(name: str, lemmas_only: bool) -> None:
+        @F.pandas_udf("array<string>")
+        def f(words: pd.Series, langs: pd.Series) -> pd.Series:
+            known = shared.value.languages
+            return pd.Series([known[g].words(w, lemmas_only) if g in known and w and not is_garbage(w) else [] for w, g in zip(words, langs, strict=True)], dtype=object)
+
+        spark.udf.register(name, f)
+
+    of_a_word("lemmas", True)
+    of_a_word("word_forms", False)
+
+    @F.udtf(returnType="match string")
+    class Search:
+        def eval(self, doc: str, phrase: str):
+            yield from ((m,) for m in shared.value.search(doc or "", phrase or "").splitlines())
+
+    spark.udtf.register("search", Search.asDeterministic())
+
     @F.udtf(returnType="pos int, token string")
     class Tokens:
         def eval(self, text: str):
             yield from enumerate(tokens((text or "").lower()))
 
-    spark.udtf.register("tokens", Tokens)
+    spark.udtf.register("tokens", Tokens.asDeterministic())

@@ -10,17 +10,25 @@ from pyspark.sql import functions as F
 #: A word: letters and digits, with single joiners between them.
 TOKEN = r"[\p{IsAlphabetic}\p{Nd}]+(?:[-'`_][\p{IsAlphabetic}\p{Nd}]+)*"
 GARBAGE = r"[^\p{IsAlphabetic}'`-]"
+#: Code points whose lower case depends on what follows, or has two code points.
+SPECIAL_UPPER, SPECIAL_LOWER = "\u03a3\u0130", "\u03c3i"
 LANGUAGE_MARK, EXACT_MARK = "|", "!"
 
 
 def normalize(text: Column | str) -> Column:
-    """Lower case by code point."""
-    return F.lower(text)
+    """Lower case by code point: each gives one, whatever stands beside it."""
+    return F.lower(F.translate(text, SPECIAL_UPPER, SPECIAL_LOWER))
 
 
 def tokens(text: Column | str, lower: bool = True) -> Column:
     """The words of a text in order; null gives null."""
-    return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(normalize(text) if lower else text, F.lit(TOKEN), F.lit(0))
+
+
+def valid_text(data: Column | str) -> Column:
+    """Bytes as text; the empty text if they aren't UTF-8. Null stays null."""
+    data = F.col(data) if isinstance(data, str) else data
+    return F.when(data.isNotNull(), F.coalesce(F.try_validate_utf8(data.cast("string")), F.lit("")))
 
 
 def is_garbage(word: Column | str) -> Column:

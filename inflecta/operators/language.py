@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,28 +42,49 @@ def route(words: list, facts: dict, main: str | None, state: str | None) -> list
     return out
 
 
-def routed(texts: DataFrame, main: str | None) -> DataFrame:
-    """texts (id, tokens, state, facts) to (id, words): the fold over each text, in Arrow batches.
+def routed(texts: DataFrame, facts: DataFrame, languages: list[str]) -> DataFrame:
+    """texts (id, tokens, state) to (id, words): the fold of `route` over each text, in the JVM.
 
-    facts: array of (token, detected, array of (lang, lemmas)).
+    facts (token, detected, array of (lang, lemmas)) of words that aren't garbage. A word brings the letter of its language
+    and the letters of those that have a lemma for it; the fold only carries letters, and keys are looked up behind it.
     """
-    fields = [("pos", pa.int32()), ("surface", pa.string()), ("lang", pa.string()), ("keys", pa.list_(pa.string()))]
-
-    def fold(batches):
-        for b in batches:
-            ends, surfaces, langs, key_ends, keys = [0], [], [], [0], []
-            for words, state, known in zip(*(b.column(c).to_pylist() for c in ("tokens", "state", "facts")), strict=True):
-                table = {f["token"]: (f["detected"], {x["lang"]: x["lemmas"] for x in f["langs"]}) for f in known or ()}
-                for surface, lang, own in route(words or [], table, main, state):
-                    surfaces.append(surface)
-                    langs.append(lang)
-                    keys += own
-                    key_ends.append(len(keys))
-                ends.append(len(surfaces))
-            places = np.arange(len(surfaces)) - np.repeat(ends[:-1], np.diff(ends))
-            flat = [pa.array(places, pa.int32()), pa.array(surfaces, pa.string()), pa.array(langs, pa.string()), pa.ListArray.from_arrays(pa.array(key_ends, pa.int32()), pa.array(keys, pa.string()))]
-            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, fields=[pa.field(n, k) for n, k in fields]))
-            yield pa.RecordBatch.from_arrays([b.column("id"), words], ["id", "words"])
-
-    id_type = dict(texts.dtypes)["id"]
-    return texts.select("id", "tokens", "state", "facts").mapInArrow(fold, f"id {id_type}, words array<struct<pos:int,surface:string,lang:string,keys:array<string>>>")
+    letters = [chr(65 + i) for i in range(len(languages))]
+    letter = lambda lang: F.coalesce(*[F.when(lang == g, x) for g, x in zip(languages, letters, strict=True)], F.lit("-"))
+    known = F.array_join(F.transform(F.filter("langs", lambda x: F.size(x["lemmas"]) > 0), lambda x: letter(x["lang"])), "")
+    each = texts.select("id", F.posexplode("tokens").alias("pos", "surface"))
+    told = facts.select(F.col("token").alias("surface"), letter(F.col("detected")).alias("d"), known.alias("m"), "langs")
+    listed = each.join(told, "surface", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "surface", "d", "m", "langs"))).alias("w"))
+
+    def step(at, w):
+        own = w["m"].contains(at["s"])  # no word has the letter of no state
+        lang = F.when(own, at["s"]).when(w["d"] != "-", w["d"]).otherwise(letters[0])
+        state = F.when(own | (w["d"] == "-"), at["s"]).otherwise(w["d"])
+        # garbage has no letters at all, and changes nothing
+        return F.struct(F.when(w["d"].isNull(), at["s"]).otherwise(state).alias("s"), F.concat(at["out"], F.when(w["d"].isNull(), "-").otherwise(lang)).alias("out"))
+
+    def word(w, x):
+        lang = F.coalesce(*[F.when(x == y, g) for g, y in zip(languages, letters, strict=True)])
+        lemmas = F.flatten(F.transform(F.filter(w["langs"], lambda y: y["lang"] == lang), lambda y: y["lemmas"]))
+        keys = F.concat(F.filter(F.coalesce(lemmas, F.array().cast("array<string>")), lambda k: k != w["surface"]), F.array(w["surface"]))
+        return F.struct(w["pos"].alias("pos"), w["surface"].alias("surface"), lang.alias("lang"), keys.alias("keys"))
+
+    first = F.struct(letter(F.col("state")).alias("s"), F.lit("").alias("out"))
+    path = F.aggregate(F.coalesce("w", F.array().cast(listed.schema["w"].dataType)), first, step, lambda at: F.split(at["out"], ""))
+    folded = texts.select("id", "state").join(listed, "id", "left").withColumn("path", path)
+    words = F.transform(F.coalesce("w", F.array().cast(listed.schema["w"].dataType)), lambda w, i: word(w, F.col("path")[i]))
+    return folded.select("id", words.alias("words"))
+
+
+def word_forms(asked: DataFrame, forms: DataFrame, detected: DataFrame, main: str | None) -> DataFrame:
+    """asked (token, suggested) to (token, suggested, detected, word, frequency, ancode, rank).
+
+    The forms are those in the suggested language if it gives any, else those in the language that the word is detected in or
+    else the main one; detected is the language that gave them, the one that the word was detected in if that is asked, and
+    null if there are no forms, which is one row without a word.
+    """
+    has = forms.select("token", "lang").distinct()
+    own = asked.join(has.select("token", F.col("lang").alias("suggested"), F.lit(True).alias("own")), ["token", "suggested"], "left")
+    own = own.join(detected, "token", "left").withColumn("lang", F.when(F.col("own"), F.col("suggested")).otherwise(F.coalesce("detected", F.lit(main))))
+    found = own.join(forms, ["token", "lang"], "left")
+    answer = F.when(F.col("word").isNull(), F.lit(None)).when(F.col("own"), F.col("suggested")).otherwise(F.col("detected"))
+    return found.select("token", "suggested", answer.alias("detected"), "word", "frequency", "ancode", "rank")

@@ -122,6 +122,11 @@ class MorphEngine:
         """All forms of the words that each may be: (token, lang, word, frequency, ancode, rank)."""
         return analyze.ranked_words(self.candidates(words), self.lexicon.flex, False, distinct_ancodes)
 
+    def contextual_forms(self, asked: DataFrame) -> DataFrame:
+        """asked (token, suggested language or null) to (token, suggested, detected, word, frequency, ancode, rank)."""
+        vocabulary = written(asked.select("token").distinct(), "vocabulary")
+        return language.word_forms(asked, written(self.word_forms(vocabulary), "word-forms"), self.detect_language(vocabulary), self.main_language)
+
     def detect_language(self, words: DataFrame) -> DataFrame:
         return language.detect(words, self.known_suffix(words), self.lexicon.languages)
 
@@ -147,16 +152,16 @@ class MorphEngine:
             words = F.transform("tokens", lambda w, i: F.struct(i.cast("int").alias("pos"), w.alias("surface"), F.lit(None).cast("string").alias("lang"), F.array(w).alias("keys")))
             return texts.select("id", F.coalesce(words, F.expr(f"cast(array() as {_WORDS})")).alias("words"))
         if len(self.languages) > 1:
-            vocabulary = texts.select("id", F.explode(F.array_distinct("tokens")).alias("token"))
-            facts = written(self.analysis(written(vocabulary.select("token").distinct(), "vocabulary")), "facts")
-            per_text = vocabulary.join(facts, "token").groupBy("id").agg(F.collect_list(F.struct("token", "detected", "langs")).alias("facts"))
-            return language.routed(texts.join(per_text, "id", "left"), self.main_language)
+            vocabulary = texts.select(F.explode(F.array_distinct("tokens")).alias("token"))
+            facts = written(self.analysis(written(vocabulary.distinct(), "vocabulary")), "facts")
+            return language.routed(texts, facts, self.languages)
         return self._joined_words(texts, self.lemma_keys(texts.select(F.explode("tokens").alias("token"))))
 
     def _joined_words(self, texts: DataFrame, keys: DataFrame) -> DataFrame:
         """With one language every word is analysed in it, and no order matters: words meet their keys in a join."""
         each = texts.select("id", F.posexplode("tokens").alias("pos", "token"))
         listed = keys.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("more"))
+        listed = written(listed, "listed-keys")  # so that the join below is one of plain tables
         lang = F.when(~T.is_garbage("token"), F.lit(self.main_language))
         word = F.struct("pos", F.col("token").alias("surface"), lang.alias("lang"), F.concat(F.coalesce("more", F.expr("cast(array() as array<string>)")), F.array("token")).alias("keys"))
         words = each.join(listed, "token", "left").groupBy("id").agg(F.array_sort(F.collect_list(word)).alias("words"))

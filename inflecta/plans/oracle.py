@@ -76,16 +76,16 @@ KEYS = """dsc AS (SELECT token, list_append(coalesce(k, []), token) AS keys FROM
 
 
 def analysis(select: str, languages: tuple[str, ...] = ("en",)) -> str:
-    return f"WITH {TOKENS}, src AS (SELECT token FROM tok), {lexicon(languages)}, {ANALYSIS} {select}"
+    return f"WITH {TOKENS}, src AS (SELECT token FROM tok), {lexicon(languages)}, {ANALYSIS}{'' if select.startswith(',') else ' '}{select}"
 
 
-def described(docs: str, probes: str, select: str) -> str:
-    """docs: SQL of (id, text); probes: SQL of (phrase_id, piece_no, line_no, exact, n, token_no, token).
+def described(docs: str, probes: str, select: str, text: str = "lower(text)") -> str:
+    """docs: SQL of (id, text), whose words are those of `text`; probes: SQL of (phrase_id, piece_no, line_no, exact, n, token_no, token).
 
     mat holds the distinct (id, phrase_id, piece_no, surface) that match.
     """
     return f"""WITH dcs AS ({docs}),
-tok AS (SELECT id, unnest(range(len(w))) AS pos, unnest(w) AS token FROM (SELECT id, {words_of("lower(text)")} AS w FROM dcs)),
+tok AS (SELECT id, unnest(range(len(w))) AS pos, unnest(w) AS token FROM (SELECT id, {words_of(text)} AS w FROM dcs)),
 ask AS ({probes}),
 src AS (SELECT token FROM tok UNION SELECT token FROM ask), {lexicon()}, {ANALYSIS}, {KEYS},
 pst AS (SELECT id, pos, t.token AS surface, unnest(keys) AS key FROM tok t JOIN dsc USING (token)),
@@ -103,17 +103,17 @@ def phrase_probes(phrases: list[tuple[int, list[tuple[bool, list[str]]]]]) -> st
     return f"SELECT * FROM ({values(rows)}) AS v(phrase_id, piece_no, line_no, exact, n, token_no, token)"
 
 
-def text_probes(searches: str) -> str:
+def text_probes(searches: str, text: str = "lower(text)") -> str:
     """Probes of search texts (SQL of phrase_id, text): their blank-separated pieces, whose lines are `[lang|][!]words`."""
     return f"""SELECT phrase_id, piece_no, line_no, exact, len(w) AS n, unnest(range(len(w))) AS token_no, unnest(w) AS token FROM
   (SELECT phrase_id, piece_no, line_no, starts_with(p, '!') AS exact, {words_of("CASE WHEN starts_with(p, '!') THEN substr(p, 2) ELSE p END")} AS w FROM
     (SELECT phrase_id, piece_no, line_no, CASE WHEN contains(line, '|') THEN substr(line, instr(line, '|') + 1) ELSE line END AS p FROM
       (SELECT phrase_id, piece_no, unnest(range(len(ls))) AS line_no, trim(unnest(ls), ' ' || chr(9) || chr(10) || chr(13)) AS line FROM
         (SELECT phrase_id, piece_no, string_split(piece, chr(10)) AS ls FROM
-          (SELECT phrase_id, unnest(range(len(ps))) AS piece_no, unnest(ps) AS piece FROM (SELECT phrase_id, string_split(lower(text), ' ') AS ps FROM ({searches})))))))"""
+          (SELECT phrase_id, unnest(range(len(ps))) AS piece_no, unnest(ps) AS piece FROM (SELECT phrase_id, string_split({text}, ' ') AS ps FROM ({searches})))))))"""
 
 
-def scored(docs: str, searches: str, guard: bool, select: str) -> str:
+def scored(docs: str, searches: str, guard: bool, select: str, text: str = "lower(text)") -> str:
     """scr holds (id, phrase_id, score) of the pairs with a match."""
     share = "CASE WHEN covered >= d.b THEN 1.0 ELSE covered / d.b END"
     if guard:
@@ -121,4 +121,4 @@ def scored(docs: str, searches: str, guard: bool, select: str) -> str:
     scr = f""", scr AS (SELECT id, phrase_id, CAST({share} AS DOUBLE) AS score FROM
   (SELECT id, phrase_id, sum(strlen(surface) + 1)::DOUBLE AS covered FROM mat GROUP BY id, phrase_id)
   JOIN (SELECT id, strlen(text) AS b FROM dcs) d USING (id) JOIN (SELECT phrase_id, strlen(text) AS b FROM ({searches})) s USING (phrase_id))"""
-    return described(docs, text_probes(searches), "").rstrip() + scr + "\n" + select
+    return described(docs, text_probes(searches, text), "", text).rstrip() + scr + "\n" + select

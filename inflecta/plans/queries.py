@@ -42,13 +42,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+_engines: dict[tuple, MorphEngine] = {}
+
+
 def engine(spark: SparkSession, *languages: str) -> MorphEngine:
-    return MorphEngine(spark, X.lexicon(spark, languages or ("en",)))
+    """The engine of the fixture lexicon, one for each session and languages."""
+    key = (spark.sparkContext.applicationId, id(spark), languages)
+    if key not in _engines:
+        _engines[key] = MorphEngine(spark, X.lexicon(spark, languages or ("en",)))
+    return _engines[key]
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct words of the corpus."""
-    return spread(documents(spark, sf_dir)).select(F.explode(T.tokens("text")).alias("token")).distinct()
+    return spread(documents(spark, sf_dir)).select(F.explode_outer(T.tokens("text")).alias("token")).where("token is not null").distinct()
 
 
 def as_long(df: DataFrame, *columns: str) -> DataFrame:
@@ -65,7 +72,7 @@ def q01_normalize_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {O.TOKENS} SELECT doc_id, pos, token FROM tok")
 def q02_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_long(documents(spark, sf_dir).select("doc_id", F.posexplode(T.tokens("text")).alias("pos", "token")), "pos")
+    return as_long(documents(spark, sf_dir).select("doc_id", F.posexplode_outer(T.tokens("text")).alias("pos", "token")).where("token is not null"), "pos")
 
 
 @query(f"WITH {O.TOKENS} SELECT lang, count(*) AS n_tokens, count(*) FILTER (regexp_matches(token, '{O.GARBAGE}')) AS n_garbage FROM tok JOIN documents USING (doc_id) GROUP BY lang")
@@ -84,7 +91,7 @@ def q05_byte_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.byte_length("text").alias("n_bytes"))
 
 
-PHRASES = ["cat", "!cat", "en|walks", "en|!walks", "ru|cat", "|x", "!", "a|b|c", "e|!a!b", "", "!en|x", "президент"]
+PHRASES = ["cat", "!cat", "en|walks", "en|!walks", "ru|cat", "|x", "!", "a|b|c", "e|!a!b", "", "!en|x", "мастер"]
 _parsed = "CASE WHEN contains(p, '|') THEN substr(p, instr(p, '|') + 1) ELSE p END"
 
 
@@ -170,11 +177,29 @@ def q17_detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, "en", "de").detect_language(words(spark, sf_dir))
 
 
-@query()
+# a word's letters: its language (- for none, nothing for garbage) and the languages that have a lemma for it; the fold
+# appends two letters a word, the language of analysis and the state
+_letter = "CASE {} WHEN 'en' THEN 'e' WHEN 'de' THEN 'd' ELSE '-' END"
+
+
+@query(O.analysis(f"""
+, lml AS (SELECT token, lang, list(word ORDER BY rank) AS ls FROM lmm GROUP BY token, lang),
+det AS (SELECT token, arg_max(lang, known_len * 10 - lang_ord) AS d FROM knw JOIN lng USING (lang) GROUP BY token),
+cod AS (SELECT token, {_letter.format("d")} || coalesce(m, '') AS x FROM wrd LEFT JOIN det USING (token)
+  LEFT JOIN (SELECT token, string_agg({_letter.format("lang")}, '') AS m FROM lml GROUP BY token) USING (token)),
+dcs AS (SELECT doc_id, list(coalesce(x, '') ORDER BY pos) AS xs FROM tok LEFT JOIN cod USING (token) GROUP BY doc_id),
+fld AS (SELECT doc_id, list_reduce(list_prepend('-', xs), lambda a, x: a || CASE
+  WHEN x = '' THEN '-' || right(a, 1)
+  WHEN right(a, 1) <> '-' AND contains(substr(x, 2), right(a, 1)) THEN right(a, 1) || right(a, 1)
+  WHEN x[1] = '-' THEN 'e' || right(a, 1)
+  ELSE x[1] || x[1] END) AS path FROM dcs),
+wds AS (SELECT doc_id, pos, token, CASE substr(path, 2 + 2 * CAST(pos AS INT), 1) WHEN 'e' THEN 'en' WHEN 'd' THEN 'de' END AS lang FROM tok JOIN fld USING (doc_id))
+SELECT doc_id, pos, w.token AS surface, w.lang AS lang, array_to_string(list_append(list_filter(coalesce(ls, []), lambda k: k <> w.token), w.token), '.') AS keys
+FROM wds w LEFT JOIN lml USING (token, lang)""".lstrip(), ("en", "de")))
 def q18_context_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language carried from word to word; order-dependent, so tests hold it against a plain loop instead of SQL."""
+    """The language carried from word to word."""
     index = engine(spark, "en", "de").index(documents(spark, sf_dir))
-    return index.words.select(F.col("id").alias("doc_id"), F.explode("words").alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.surface").alias("surface"), F.col("w.lang").alias("lang"), F.array_join("w.keys", ".").alias("keys"))
+    return index.words.select(F.col("id").alias("doc_id"), F.explode("words").alias("w")).select("doc_id", F.col("w.pos").cast("long").alias("pos"), F.col("w.surface").alias("surface"), F.col("w.lang").alias("lang"), F.array_join("w.keys", ".").alias("keys"))
 
 
 # --- documents ---
@@ -297,3 +322,81 @@ FROM cov JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)""")
 def q31_intersect_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores without a lexicon; the SQL takes every line of a search's pieces as one word, which holds for `benchmark`."""
     return _scored(spark, sf_dir, MorphEngine.identity(spark), True)
+
+
+# --- more of the surface ---
+
+
+@query(O.analysis(f"""
+, det AS (SELECT token, arg_max(lang, known_len * 10 - lang_ord) AS d FROM knw JOIN lng USING (lang) GROUP BY token),
+asg AS (SELECT token, unnest([NULL, 'en', 'de']) AS suggested FROM wrd),
+own AS (SELECT a.token, suggested, d, suggested IS NOT NULL AND EXISTS (SELECT 1 FROM fms f WHERE f.token = a.token AND f.lang = suggested) AS own FROM asg a LEFT JOIN det USING (token)),
+lgd AS (SELECT *, CASE WHEN own THEN suggested ELSE coalesce(d, 'en') END AS lang FROM own)
+SELECT l.token AS token, suggested, CASE WHEN word IS NULL THEN NULL WHEN own THEN suggested ELSE d END AS detected, word, frequency, rank FROM lgd l LEFT JOIN fms f ON l.token = f.token AND l.lang = f.lang""".lstrip(), ("en", "de")))
+def q32_context_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All forms of every word that isn't garbage, without a suggested language and with each."""
+    suggested = F.explode(F.array(F.lit(None).cast("string"), F.lit("en"), F.lit("de")))
+    asked = words(spark, sf_dir).where(~T.is_garbage("token")).select("token", suggested.alias("suggested"))
+    return as_long(engine(spark, "en", "de").contextual_forms(asked).select("token", "suggested", "detected", "word", "frequency", "rank"), "rank")
+
+
+@query(O.scored(_docs, _searches, False, _scores, "text"))
+def q33_raw_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and searches as they are written, neither lower-cased."""
+    e = engine(spark)
+    found = e.intersect(e.index(documents(spark, sf_dir), normalize=False), table(spark, sf_dir, "benchmark"), "item_id", "text", False, False)
+    return found.select(F.col("id").alias("doc_id"), F.col("phrase_id").alias("item_id"), "score")
+
+
+_odd_docs = "SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1, '' UNION ALL SELECT -2, NULL"
+_asked_pairs = "SELECT id, item_id FROM dcs, (SELECT DISTINCT item_id FROM benchmark) b WHERE item_id IN (id % 7 + 1, (id * 3) % 11 + 12, 1)"
+
+
+@query(O.scored(_odd_docs, _searches, True, f"""SELECT p.id AS doc_id, p.item_id AS item_id, coalesce(score, CASE WHEN strlen(b.text) > coalesce(strlen(d.text), 0) THEN 0.0 WHEN coalesce(strlen(d.text), 0) = 0 THEN 1.0 ELSE 0.0 END) AS score
+FROM ({_asked_pairs}) p JOIN dcs d USING (id) JOIN benchmark b USING (item_id) LEFT JOIN scr s ON s.id = p.id AND s.phrase_id = p.item_id"""))
+def q34_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of given pairs, those without a match and those of empty and null documents included."""
+    docs = documents(spark, sf_dir).union(spark.createDataFrame([(-1, ""), (-2, None)], "doc_id long, text string"))
+    searches, e = table(spark, sf_dir, "benchmark"), engine(spark)
+    asked = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.array(F.col("doc_id") % 7 + 1, (F.col("doc_id") * 3) % 11 + 12, F.lit(1).cast("long")))).alias("phrase_id"))
+    pairs = asked.join(searches.select(F.col("item_id").alias("phrase_id")).distinct(), "phrase_id", "left_semi").select("id", "phrase_id")
+    found = e.intersect(e.index(docs), searches, "item_id", "text", True, True, pairs)
+    return found.select(F.col("id").alias("doc_id"), F.col("phrase_id").alias("item_id"), "score")
+
+
+_mrd_rows = X.rows("en", 0, X.EN_MODELS, X.EN_LEMMAS + X.EN_CORPUS_LEMMAS)
+_mrd = [("flex", str(m), f, a, p) for _, m, _, f, a, p in _mrd_rows[0]] + [("lemma", str(m), b, a, str(s)) for _, _, b, m, _, a, s in _mrd_rows[1]] + [("prefix", "0", p, None, None) for p in X.EN_PREFIXES]
+
+
+@query(f"SELECT * FROM ({O.values(_mrd)}) AS v(section, model, word, ancode, more)")
+def q35_mrd_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of a dictionary file."""
+    text = L.write_mrd(*_mrd_rows[:1], [("en", 0, p) for p in X.EN_PREFIXES], _mrd_rows[1])
+    got = L.parse_mrd(spark.createDataFrame([(text,)], "value string"), "en", 0)
+    flex = got["flex"].selectExpr("'flex' as section", "string(model_no) as model", "flexion as word", "ancode", "prefix as more")
+    lemmas = got["lemmas"].selectExpr("'lemma'", "string(model_no)", "base", "ancode", "string(prefix_set)")
+    return flex.union(lemmas).union(got["prefixes"].selectExpr("'prefix'", "string(set_no)", "prefix", "null", "null"))
+
+
+@query(O.described(_docs, O.phrase_probes([(1, [(False, ["the", "that"])])]), f"""SELECT d.id AS doc_id, CAST(m.id IS NOT NULL AS INT) AS contained, coalesce(result, '') AS result,
+  CASE WHEN NOT regexp_matches(w, '{O.GARBAGE}') THEN w END AS first_word, array_to_string(coalesce(k, []), ',') AS lemmas
+FROM dcs d LEFT JOIN (SELECT id, string_agg(surface, chr(10) ORDER BY surface) || chr(10) AS result FROM mat GROUP BY id) m ON m.id = d.id
+LEFT JOIN (SELECT id, token AS w FROM tok WHERE pos = 0) f ON f.id = d.id LEFT JOIN (SELECT token, list(word ORDER BY rank) AS k FROM lmm GROUP BY token) l ON l.token = w"""))
+def q36_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions that SQL texts call."""
+    from inflecta.functions import sql
+    from inflecta.functions.kernel import Kernel
+
+    sql.register(spark, Kernel.from_lexicon(engine(spark).lexicon))
+    spread(documents(spark, sf_dir)).createOrReplaceTempView("inflecta_documents")
+    rows = spark.sql("""
+        select doc_id, str_case_str(text, 'the that') as contained, phrase_search(text, 'the that') as result, t.token as word, array_join(lemmas(t.token, 'en'), ',') as lemmas
+        from inflecta_documents left join lateral (select * from tokens(text) where pos = 0) t""")
+    return rows.select("doc_id", "contained", "result", F.when(~T.is_garbage("word"), F.col("word")).alias("first_word"), "lemmas")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS text FROM documents")
+def q37_text_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes as text; a third of the documents get a byte that UTF-8 doesn't have, which leaves them empty."""
+    data = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text").cast("binary"), F.lit(b"\xff"))).otherwise(F.col("text").cast("binary"))
+    return documents(spark, sf_dir).select("doc_id", T.valid_text(data).alias("text"))

@@ -14,7 +14,7 @@ EN_CORPUS_LEMMAS = [("that", 0), ("that", 3), ("orre", 1), ("tion", 1), ("ther",
 EN_PREFIXES = ["re", "un"]
 EN_CORPUS_PREFIXES = ["in", "on"]
 RU_MODELS = [["я", "и", "ю"], ["", "а", "у"], ["йти", "шел", "шла"], ["а", "и", "ой"]]
-RU_LEMMAS = [("росси", 0), ("президент", 1), ("путин", 1), ("вы", 2), ("палк", 3)]
+RU_LEMMAS = [("земл", 0), ("мастер", 1), ("сосед", 1), ("за", 2), ("книг", 3)]
 #: A second language of the test corpus.
 DE_MODELS = [["", "en", "t"], ["ung", "ungen"], ["", "e", "er", "es"]]
 DE_LEMMAS = [("mach", 0), ("schau", 0), ("einh", 1), ("erz", 1), ("lich", 2), ("keit", 0), ("isch", 2), ("schön", 2)]

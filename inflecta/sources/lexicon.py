@@ -50,11 +50,6 @@ def folder_language(name: str) -> str | None:
     return m[1] if m else "" if name.isdigit() else None
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    """A dictionary file as a whole."""
-    return spark.read.text(path, wholetext=True).first()[0]
-
-
 def parse_grammar(text: DataFrame, lang: str) -> DataFrame:
     """Rows of grammar from a file as one value: lines `ancode code POS [grammemes]`; the first line of an ancode counts.
 
@@ -70,32 +65,33 @@ def parse_grammar(text: DataFrame, lang: str) -> DataFrame:
     return first.select(F.lit(lang).alias("lang"), "ancode", "pos", "grammemes")
 
 
-def parse_mrd(text: str, lang: str, lang_ord: int) -> dict[str, list[tuple]]:
-    """Rows of flex, prefixes and lemmas of a `morphs.mrd` file."""
-    lines = iter(x.strip(" \t\r\n") for x in text.split("\n"))
-
-    def section() -> list[str]:
-        """The lines behind a count; a file that ends early has empty sections."""
-        count = next(lines, "")
-        return [next(lines, "") for _ in range(int(count) if count.isdigit() else 0)]
-
-    flex, prefixes, lemmas = [], [], []
-    for model_no, line in enumerate(section()):
-        line = line.split("q//q")[0].strip()
-        for form_no, form in enumerate(x for x in line.split("%") if x):
-            part = form.split("*")
-            flex.append((lang, model_no, form_no, part[0].lower(), part[1] if len(part) > 1 else None, part[2].lower() if len(part) > 2 else ""))
-    section()  # accents
-    section()  # sessions
-    for set_no, line in enumerate(section()):
-        prefixes += [(lang, set_no, p.lower()) for p in re.split("[, ]+", line) if p]
-    for line in section():
-        part = line.split()
-        if len(part) >= 2:
-            part += ["-"] * (6 - len(part))
-            number = lambda x: int(x) if x.lstrip("-").isdigit() else None
-            lemmas.append((lang, lang_ord, "" if part[0] == "#" else part[0].lower(), int(part[1]), number(part[2]), None if part[4] == "-" else part[4], -1 if part[5] == "-" else int(part[5])))
-    return {"flex": flex, "prefixes": prefixes, "lemmas": lemmas}
+def parse_mrd(text: DataFrame, lang: str, lang_ord: int) -> dict[str, DataFrame]:
+    """Rows of flex, prefixes and lemmas of a `morphs.mrd` file as one value.
+
+    Five sections stand behind lines with their counts; a file that ends early has empty sections. A lemma line without a
+    number of its model, or of fewer than two fields, is left out, as is a prefix set that isn't a number.
+    """
+    whole = text.select(F.transform(F.split("value", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\n"))).alias("lines"), F.lit(0).alias("s0"))
+    for i in range(5):
+        count = F.coalesce(F.try_element_at("lines", F.col(f"s{i}") + 1).try_cast("int"), F.lit(0))
+        whole = whole.withColumn(f"s{i + 1}", F.col(f"s{i}") + 1 + F.greatest(count, F.lit(0)))
+
+    def section(i: int) -> DataFrame:
+        each = whole.select(F.posexplode(F.slice("lines", F.col(f"s{i}") + 2, F.col(f"s{i + 1}") - F.col(f"s{i}") - 1)).alias("no", "line"))
+        return each.repartition("no")  # a file is one row
+
+    filled = lambda part: F.filter(part, lambda x: x != "")
+    names = lambda table: [x.split()[0] for x in SCHEMAS[table].split(", ")]
+    forms = section(0).select("no", F.posexplode(filled(F.split(F.btrim(F.substring_index("line", "q//q", 1)), "%"))).alias("form_no", "form")).withColumn("part", F.split("form", "\\*"))
+    flex = forms.select(F.lit(lang), "no", "form_no", F.lower(F.col("part")[0]), F.try_element_at("part", F.lit(2)), F.lower(F.coalesce(F.try_element_at("part", F.lit(3)), F.lit("")))).toDF(*names("flex"))
+    prefixes = section(3).select(F.lit(lang), "no", F.explode(filled(F.split(F.lower("line"), "[, ]+")))).toDF(*names("prefixes"))
+    part = section(4).select(filled(F.split("line", "[ \t]+")).alias("part"))
+    at = lambda i: F.try_element_at("part", F.lit(i + 1))
+    number = lambda i: at(i).try_cast("int")
+    told = lambda i: F.when(at(i) != "-", at(i))
+    base = F.when(at(0) == "#", "").otherwise(F.lower(at(0)))
+    lemmas = part.select(F.lit(lang), F.lit(lang_ord), base, number(1), number(2), told(4), F.when(told(5).isNull(), -1).otherwise(number(5))).toDF(*names("lemmas"))
+    return {"flex": flex, "prefixes": prefixes, "lemmas": lemmas.where("model_no is not null and prefix_set is not null")}
 
 
 def from_rows(spark: SparkSession, languages: list[tuple], flex: list[tuple], lemmas: list[tuple], prefixes: list[tuple] = (), grammar: list[tuple] = ()) -> Lexicon:
@@ -104,37 +100,43 @@ def from_rows(spark: SparkSession, languages: list[tuple], flex: list[tuple], le
     return Lexicon(**{name: spark.createDataFrame(list(rows[name]), schema) for name, schema in SCHEMAS.items()})
 
 
-def list_folders(spark: SparkSession, root: str) -> list[str]:
-    """Names of the folders in root, sorted: their order is the languages' precedence."""
+def _listed(spark: SparkSession, root: str, folders: bool) -> list[str]:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
+    return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory() == folders)
+
+
+def list_folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders in root, sorted: their order is the languages' precedence."""
+    return _listed(spark, root, True)
+
+
+def list_files(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files in a folder, sorted."""
+    return _listed(spark, folder, False)
 
 
 def load_dictionaries(spark: SparkSession, root: str, skipped: list[str] | None = None) -> Lexicon:
     """All dictionaries of a root. One that lacks a file is skipped (and named in `skipped`); a missing root raises."""
-    languages, grammar, rows = [], [], {"flex": [], "prefixes": [], "lemmas": []}
+    languages, found = [], {"grammar": [], "flex": [], "prefixes": [], "lemmas": []}
     for name in list_folders(spark, root):
         lang = folder_language(name)
         if lang is None:
             continue
-        try:
-            found = parse_mrd(read_text(spark, f"{root}/{name}/morphs.mrd"), lang, len(languages))
-            tab = parse_grammar(spark.read.text(f"{root}/{name}/gramtab.tab", wholetext=True), lang)
-        except Exception as e:  # a missing file shows as an analysis error of Spark
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if not {"morphs.mrd", "gramtab.tab"} <= set(list_files(spark, f"{root}/{name}")):
             if skipped is not None:
                 skipped.append(name)
             continue
+        tables = parse_mrd(spark.read.text(f"{root}/{name}/morphs.mrd", wholetext=True), lang, len(languages))
+        tables["grammar"] = parse_grammar(spark.read.text(f"{root}/{name}/gramtab.tab", wholetext=True), lang)
         languages.append((lang, len(languages)))
-        grammar.append(tab)
-        for table, more in found.items():
-            rows[table] += more
-    out = from_rows(spark, languages, rows["flex"], rows["lemmas"], rows["prefixes"])
-    for tab in grammar:
-        out.grammar = out.grammar.union(tab)
+        for table, more in tables.items():
+            found[table].append(more)
+    out = from_rows(spark, languages, [], [])
+    for table, parts in found.items():
+        for more in parts:
+            setattr(out, table, getattr(out, table).union(more))
     return out
 
 

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset and all is one machine.
+
+    On a cluster without such a folder it raises: executors would each write to a disk of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='inflecta-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

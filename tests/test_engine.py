@@ -87,9 +87,9 @@ def test_search(spark, which, request):
 
 
 PAIRS = [
-    ("россии президенту путину ", "россии президент путин ", 1.0, 1.0),
-    ("России ", "Россия ", 1.0, 1.0),
-    ("палка, палка огуречик вот и вышел человечек", "точка, точка запятая - вышла рожица кривая", 11 / 79, 11 / 79),
+    ("земли мастеру соседу ", "земли мастер сосед ", 1.0, 1.0),
+    ("Земли ", "Земля ", 1.0, 1.0),
+    ("книга на столе, и вечером зашел гость", "утром дождь - зашла соседка", 11 / 67, 11 / 67),
     (DOC, "cat city", 16 / 45, 16 / 45),
     ("cat", "cats saw cities", 0.0, 1.0),
     ("", "", 1.0, 1.0),
@@ -107,7 +107,7 @@ def test_scores(spark, engine, model):
 
 def test_scores_without_a_lexicon(spark):
     rows = spark.createDataFrame([(0, *PAIRS[0][:2])], "id long, d string, s string")
-    assert MorphEngine.identity(spark).intersect_pairs(rows, "id", "d", "s").first()["score"] == pytest.approx(13 / 47)
+    assert MorphEngine.identity(spark).intersect_pairs(rows, "id", "d", "s").first()["score"] == pytest.approx(11 / 39)
 
 
 def test_raw_search_is_not_lower_cased(spark, english):
@@ -123,10 +123,10 @@ def test_documents_as_they_are_written(spark, english):
 
 
 def test_normalize_phrase(spark, engine, english):
-    cases = {"палка, палкой огуречик вот и вышел человечек": "палка палка огуречик вот и выйти человечек ", DOC: "the cat see two city a cat walk talk ", "Cats walked 42 x_1": "cat walk 42 x_1 ", "a": "", "": "", "cities": "city "}
+    cases = {"книга, книгой столик вот и зашел сосед": "книга книга столик вот и зайти сосед ", DOC: "the cat see two city a cat walk talk ", "Cats walked 42 x_1": "cat walk 42 x_1 ", "a": "", "": "", "cities": "city "}
     rows = spark.createDataFrame([(k, k) for k in cases], "id string, t string")
     assert {r["id"]: r["normalized"] for r in engine.normalize_phrase(rows, "id", "t").collect()} == cases
-    latin = {k: v for k, v in cases.items() if "п" not in k}
+    latin = {k: v for k, v in cases.items() if k.isascii()}
     got = {r["id"]: r["normalized"] for r in english.normalize_phrase(rows, "id", "t").collect()}
     assert {k: got[k] for k in latin} == latin
 
@@ -152,7 +152,7 @@ def test_empty_tables(spark, engine):
 
 
 def random_text(rng, n):
-    stems = ["cat", "walk", "saw", "cit", "cold", "s", "росси", "путин", "вы", "палк", "xyz", "talk", "stalk", "rewalk", "unre", "42", "x_1"]
+    stems = ["cat", "walk", "saw", "cit", "cold", "s", "земл", "сосед", "за", "книг", "xyz", "talk", "stalk", "rewalk", "unre", "42", "x_1"]
     ends = ["", "s", "ed", "ing", "y", "ies", "er", "est", "ee", "aw", "я", "и", "а", "у", "йти", "шла", "ой", "ly"]
     return rng.choice([" ", ", ", "\n"]).join(rng.choice(stems) + rng.choice(ends) for _ in range(n))
 

@@ -28,7 +28,7 @@ def test_fixed_cases(kernel):
     assert {p: kernel.search(DOC, p) for p in SEARCHES} == SEARCHES
     for d, s, one, two in PAIRS:
         assert kernel.str_intersect_str(d, s) == pytest.approx(one) and kernel.str_intersect_str2(d, s) == pytest.approx(two)
-    assert kernel.normalize_phrase("палка, палкой огуречик вот и вышел человечек") == "палка палка огуречик вот и выйти человечек "
+    assert kernel.normalize_phrase("книга, книгой столик вот и зашел сосед") == "книга книга столик вот и зайти сосед "
     assert kernel.normalize_phrase("a") == "" and tokens("Don't a--b x_1 v2.0 ½ ²".lower()) == ["don't", "a", "b", "x_1", "v2", "0"]
 
 
@@ -54,6 +54,9 @@ def test_sql_functions(spark):
     assert {r["id"]: r["normalized"] for r in e.normalize_phrase(rows, "id", "d").collect()} == {i: r["n"] for i, r in got.items()}
     assert {r["id"]: r["contained"] for r in e.contains_pairs(rows, "id", "d", "s").collect()} == {i: r["c"] for i, r in got.items()}
     assert [tuple(r) for r in spark.sql("SELECT pos, token FROM tokens('A b_1')").collect()] == [(0, "a"), (1, "b_1")]
+    some = spark.sql("SELECT detect_language('cats') AS a, detect_language('x_1') AS b, lemmas('saw', 'en') AS c, word_forms('colder', 'en') AS d, lemmas('saw', 'xx') AS e, lemmas(null, 'en') AS f").first()
+    assert tuple(some) == ("en", None, ["saw", "see"], ["cold", "colder", "coldest"], [], [])
+    assert [r[0] for r in spark.sql("SELECT match FROM search('The cats saw a cat', 'cat')").collect()] == ["cat", "cats"]
     with pytest.raises(ValueError):
         Kernel.from_lexicon(lexicon, limit=3)
 

@@ -55,7 +55,7 @@ def test_forms_are_capped_only_on_request(spark):
 
 def test_auto_keys(spark):
     keys = {r["auto_key"] for r in forms.distinct_forms(forms.generate_forms(X.lexicon(spark, ("ru", "en"), corpus=False))).select("auto_key").collect()}
-    assert {"tac|3", "stac|77", "seitic|2TQB", "deklaw|1EYS", "was|3", "was|5MO1", "лешыв|2TQA"} <= keys
+    assert {"tac|3", "stac|77", "seitic|2TQB", "deklaw|1EYS", "was|3", "was|5MO1", "лешаз|2TQA"} <= keys
 
 
 def test_dictionary_files(spark, tmp_path):
@@ -79,11 +79,36 @@ def test_dictionary_files(spark, tmp_path):
         L.load_dictionaries(spark, str(tmp_path / "absent"))
 
 
-def test_mrd_comments_and_empty_bases():
-    got = L.parse_mrd("1\r\n%S*NA*UN%*nbq//q note\r\n0\r\n0\r\n1\r\nRE,UN X\r\n2\r\n# 0 1 0 - 0\r\nCAT 0 - 0 Aa -\r\n", "en", 0)
+def mrd(spark, text):
+    return {name: sorted((tuple(r) for r in rows.collect()), key=str) for name, rows in L.parse_mrd(spark.createDataFrame([(text,)], "value string"), "en", 0).items()}
+
+
+def test_mrd_comments_and_empty_bases(spark):
+    got = mrd(spark, "1\r\n%S*NA*UN%*nbq//q note\r\n0\r\n0\r\n1\r\nRE,UN X\r\n4\r\n# 0 1 0 - 0\r\nCAT 0 - 0 Aa -\r\nBAD x 0 0 - -\r\nSHORT\r\n")
     assert got["flex"] == [("en", 0, 0, "s", "NA", "un"), ("en", 0, 1, "", "nb", "")]
     assert got["prefixes"] == [("en", 0, p) for p in ("re", "un", "x")]
     assert got["lemmas"] == [("en", 0, "", 0, 1, None, 0), ("en", 0, "cat", 0, None, "Aa", -1)]
+    assert mrd(spark, "") == mrd(spark, "no number\n") == {"flex": [], "prefixes": [], "lemmas": []}
+
+
+def test_lower_case_is_by_code_point(spark):
+    got = spark.createDataFrame([("\u03a3\u0391\u03a3 \u0130X \u1e9e",)], "t string").select(T.normalize("t")).first()[0]
+    assert got == "\u03c3\u03b1\u03c3 ix \u00df"
+
+
+def test_bytes_that_are_not_text(spark):
+    rows = [(bytearray(b"caf\xc3\xa9"),), (bytearray(b"caf\xc3"),), (bytearray(b""),), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "b binary").select(T.valid_text("b")).collect()] == ["caf\u00e9", "", "", None]
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from inflecta.sources import shared
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        shared.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
 
 
 @pytest.mark.parametrize("name, lang", [("01ru", "ru"), ("en", "en"), ("12", ""), ("1-x", None), ("a1", None)])
