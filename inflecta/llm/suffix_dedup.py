@@ -14,10 +14,12 @@ corpus would move LENGTH times its size, so suffixes are sorted only where they
    neighbours enhance it; a stack scan over them yields the interval tree, each interval being all suffixes that share a
    prefix of that many bytes.
 4. Left extension. In each interval the members are ordered by what precedes them (backwards), and neighbours in that order
-   give the longest common left extension that a member has with any other: if all members extend alike to the left the
-   repeat isn't maximal and the interval is covered by that of a longer one. A member whose common prefix and left
+   give the longest common left extension that a member has with any other. A member whose common prefix and left
    extension together reach LENGTH is covered from the one end to the other.
 
+`maximal_repeats` gives the repeats themselves, as groups with all their occurrences: a second stack scan in each interval,
+over the left extensions, finds the sets of members that extend alike, up to where they differ (`repeats`).
+
 However frequent a hash is, no group of suffixes that goes into a tree has more than GROUP rows. Windows that begin a to z
 bytes before an anchor all hold what lies from a bytes before it to LENGTH - z behind, so a larger group falls apart by the
 hash of just that, once for the near half of the windows and once for the far half: two suffixes that share a window meet
@@ -27,6 +29,8 @@ again in one of the halves. Halves are cut again until they are small; those of
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +84,18 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def own_anchor(text: bytes, at: int, length: int, gram: int) -> bool:
+    """Whether a string makes the gram at a place an anchor by itself, wherever it stands: by a window inside it."""
+    data = np.frombuffer(text, np.uint8)
+    width = length - gram + 1
+    starts = np.arange(len(data) - gram + 1)
+    rank = (span_hash(prefix_sums(data), starts, starts + gram) >> np.uint64(32)).astype(np.uint32)
+    if len(rank) < width:
+        return False
+    least = _slide(rank, width, np.minimum)
+    return bool((least[max(0, at - width + 1) : at + 1] == rank[at]).any())
+
+
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64), pa.int64())
 
@@ -135,65 +151,107 @@ def intervals(common: list[int]) -> tuple[list[int], list[int], list[int]]:
     return depth, low, high
 
 
-def covers(groups: np.ndarray, left: list[bytes], right: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes in order of (group, right): how far each is covered to the left and right of its anchor; 0, 0 if not.
+@dataclass
+class Tree:
+    """The interval tree of suffixes in order of (group, right), and their order by what stands before them.
 
-    left holds the bytes before an anchor, right those from it on.
+    Interval i holds suffixes low[i] to high[i], which share a prefix of depth[i] bytes (and no more). rank: place of each
+    suffix in the order of the left sides, read backwards.
     """
+
+    depth: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    rank: np.ndarray
+    least: list[np.ndarray]  # common left extension of neighbours by rank: its least over runs of 1, 2, 4 ... of them
+
+    def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common left extension of the suffixes at ranks a < b."""
+        level = np.log2(b - a).astype(np.int64)
+        out = np.empty(len(a), np.int64)
+        for k in np.unique(level):
+            on = level == k
+            out[on] = np.minimum(self.least[k][a[on] + 1], self.least[k][b[on] - 2**k + 1])
+        return out
+
+    def members(self, most: int = MEMBERS):
+        """(interval, suffix) of the members of some intervals at a time, each interval's in order of rank; about `most`."""
+        counts = self.high - self.low + 1
+        ends = np.cumsum(counts)
+        at = 0
+        while at < len(counts):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            size = counts[at:upto]
+            node = np.repeat(np.arange(at, upto), size)
+            member = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.low[at:upto], size)
+            by = np.lexsort((self.rank[member], node))
+            yield node[by], member[by]
+            at = upto
+
+
+def tree(groups: np.ndarray, left: list[bytes], right: list[bytes], length: int, gram: int) -> Tree:
+    """left holds the bytes before an anchor, right those from it on; intervals of less than `gram` bytes are left out."""
     n, reach = len(groups), length - gram
-    to_left, to_right = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     rows, sizes = padded(right, length)
     common = neighbours_common(rows, sizes)
     common[1:][groups[1:] != groups[:-1]] = -1
     depth, low, high = (np.array(x, np.int64) for x in intervals(common.tolist()))
     use = depth >= gram
-    depth, low, high = depth[use], low[use], high[use]
-    if not len(depth):
-        return np.zeros(n, np.int64), to_right
     back, back_sizes = padded([x[::-1] for x in left], reach)
     keys = np.concatenate([back, back_sizes.astype(">u2").view(np.uint8).reshape(n, 2)], 1)
     order = np.argsort(np.ascontiguousarray(keys).view(f"V{keys.shape[1]}").ravel(), kind="stable")
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    table = [neighbours_common(back[order], back_sizes[order])]  # least over runs of 1, 2, 4 ... neighbours
-    while 2 ** len(table) <= n:
-        half = 2 ** (len(table) - 1)
-        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+    least = [neighbours_common(back[order], back_sizes[order])]
+    while 2 ** len(least) <= n:
+        half = 2 ** (len(least) - 1)
+        least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+    return Tree(depth[use], low[use], high[use], rank, least)
 
-    def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common left extension of the rows at ranks a < b."""
-        level = np.log2(b - a).astype(np.int64)
-        out = np.empty(len(a), np.int64)
-        for k in np.unique(level):
-            on = level == k
-            out[on] = np.minimum(table[k][a[on] + 1], table[k][b[on] - 2**k + 1])
-        return out
 
-    counts = high - low + 1
-    ends = np.cumsum(counts)
-    at = 0
-    while at < len(counts):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MEMBERS, "right")))
-        size = counts[at:upto]
-        node = np.repeat(np.arange(at, upto), size)
-        member = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[at:upto], size)
-        by = np.lexsort((rank[member], node))
-        node, member = node[by], member[by]
+def covers(groups: np.ndarray, left: list[bytes], right: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes in order of (group, right): how far each is covered to the left and right of its anchor; 0, 0 if not."""
+    t = tree(groups, left, right, length, gram)
+    to_left, to_right = np.full(len(groups), -1, np.int64), np.zeros(len(groups), np.int64)
+    for node, member in t.members():
         same = np.flatnonzero(node[1:] == node[:-1])
-        ext = shared(rank[member[same]], rank[member[same + 1]])
-        # left-extension diversity: all alike up to the reach would be no maximal repeat here (surroundings are distinct,
-        # so it can't be the deepest interval either); its bytes are covered from an anchor further left
+        ext = t.extension(t.rank[member[same]], t.rank[member[same + 1]])
+        # neighbours by what stands before them give the longest left extension that a member has with any other
         best = np.full(len(member), -1, np.int64)
         np.maximum.at(best, same, ext)
         np.maximum.at(best, same + 1, ext)
-        hit = np.flatnonzero(best + depth[node] >= length)
+        hit = np.flatnonzero(best + t.depth[node] >= length)
         np.maximum.at(to_left, member[hit], best[hit])
-        np.maximum.at(to_right, member[hit], depth[node[hit]])
-        at = upto
+        np.maximum.at(to_right, member[hit], t.depth[node[hit]])
     to_left[to_right == 0] = 0
     return to_left, to_right
 
 
+def repeats(groups: np.ndarray, left: list[bytes], right: list[bytes], length: int, gram: int) -> list[tuple[int, int, list[int]]]:
+    """Maximal repeats of at least `length` bytes: (bytes before the anchor, bytes from it on, all suffixes that have them).
+
+    The members of an interval share just its depth to the right; a second stack scan, over their left extensions, gives the
+    sets that share one. Such a set can't be extended to the left: its members differ there, or one ends. It is reported
+    where it can't be extended to the right either, that is, unless all of it lies in one deeper interval.
+    """
+    t = tree(groups, left, right, length, gram)
+    rows, sizes = padded(right, length)
+    common = neighbours_common(rows, sizes)
+    found = []
+    for node, member in t.members():
+        cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            own, depth = member[begin:end], int(t.depth[node[begin]])
+            ext = t.extension(t.rank[own[:-1]], t.rank[own[1:]])
+            if ext.max() + depth < length:
+                continue
+            for e, low, high in zip(*intervals([0, *ext.tolist()]), strict=True):
+                some = np.sort(own[low : high + 1])
+                if e + depth >= length and common[some[0] + 1 : some[-1] + 1].min() == depth:
+                    found.append((e, depth, some.tolist()))
+    return found
+
+
 def snippets(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, d, k, p, l, r): the bytes before and from the wanted anchors (h, d, k, p)."""
 
@@ -227,21 +285,12 @@ def snippets(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
     return joined.select("d", "k", "t", "places").mapInArrow(cut, "h long, d long, k long, p long, l binary, r binary")
 
 
-def tree_cover(parts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(d, k, s, e): spans covered according to the interval tree of the suffixes of each group g."""
+def by_group(parts: DataFrame, run: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """run over whole groups g of parts (g, d, k, p, l, r), the suffixes r of each in order; groups meet about CHUNK_ROWS at
+    a time."""
 
     def scan(batches):
         held: list[pa.RecordBatch] = []
-
-        def run(table: pa.Table):
-            g = table.column("g").to_numpy()
-            a, z = covers(g, table.column("l").to_pylist(), table.column("r").to_pylist(), length, gram)
-            on = np.flatnonzero(z)
-            p = table.column("p").to_numpy()[on]
-            take = pa.array(on)
-            flat = lambda c: table.column(c).combine_chunks().take(take)
-            return pa.RecordBatch.from_arrays([flat("d"), flat("k"), pa.array(p - a[on]), pa.array(p + z[on])], ["d", "k", "s", "e"])
-
         size = 0
         for b in slices(batches):
             held.append(b)
@@ -257,7 +306,56 @@ def tree_cover(parts: DataFrame, length: int, gram: int) -> DataFrame:
         if size:
             yield run(pa.Table.from_batches(held))
 
-    return parts.repartition("g").sortWithinPartitions("g", "r").select("g", "d", "k", "p", "l", "r").mapInArrow(scan, "d long, k long, s long, e long")
+    return parts.repartition("g").sortWithinPartitions("g", "r").select("g", "d", "k", "p", "l", "r").mapInArrow(scan, schema)
+
+
+def tree_cover(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(d, k, s, e): spans covered according to the interval tree of the suffixes of each group g."""
+
+    def run(table: pa.Table) -> pa.RecordBatch:
+        a, z = covers(table.column("g").to_numpy(), table.column("l").to_pylist(), table.column("r").to_pylist(), length, gram)
+        on = np.flatnonzero(z)
+        p, take = table.column("p").to_numpy()[on], pa.array(on)
+        flat = lambda c: table.column(c).combine_chunks().take(take)
+        return pa.RecordBatch.from_arrays([flat("d"), flat("k"), pa.array(p - a[on]), pa.array(p + z[on])], ["d", "k", "s", "e"])
+
+    return by_group(parts, run, "d long, k long, s long, e long")
+
+
+def tree_repeats(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(repeat, e, n_bytes, d, k, p): the maximal repeats of each group g, with the anchors whose surroundings hold them.
+
+    Only strings count that have the anchor by themselves: it stands at all their places, so the group has them all.
+    """
+
+    def run(table: pa.Table) -> pa.RecordBatch:
+        left, right = table.column("l").to_pylist(), table.column("r").to_pylist()
+        out, at = [], []
+        for e, depth, some in repeats(table.column("g").to_numpy(), left, right, length, gram):
+            text = left[some[0]][len(left[some[0]]) - e :] + right[some[0]][:depth]
+            if own_anchor(text, e, length, gram):
+                # the string itself names the group, whichever anchor finds it
+                out += [(hashlib.sha256(text).hexdigest(), e, e + depth)] * len(some)
+                at += some
+        columns = [pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))]
+        take = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([*columns, *(table.column(c).combine_chunks().take(take) for c in ("d", "k", "p"))], ["repeat", "e", "n_bytes", "d", "k", "p"])
+
+    return by_group(parts, run, "repeat string, e long, n_bytes long, d long, k long, p long")
+
+
+def whole_repeats(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same of parts (l, r, d, k, p) that are each a repeat as a whole."""
+
+    def scan(batches):
+        for b in slices(batches):
+            rows = [(i, left + right, len(left)) for i, (left, right) in enumerate(zip(b.column("l").to_pylist(), b.column("r").to_pylist(), strict=True))]
+            rows = [r for r in rows if len(r[1]) >= length and own_anchor(r[1], r[2], length, gram)]
+            take = pa.array([r[0] for r in rows], pa.int64())
+            columns = [pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *(b.column(c).take(take) for c in ("d", "k", "p"))], ["repeat", "e", "n_bytes", "d", "k", "p"])
+
+    return parts.mapInArrow(scan, "repeat string, e long, n_bytes long, d long, k long, p long")
 
 
 def halved(parts: DataFrame, length: int) -> DataFrame:
@@ -270,21 +368,21 @@ def halved(parts: DataFrame, length: int) -> DataFrame:
     return each.withColumn("g", F.xxhash64("g", "a", "z", shared))
 
 
-def split_cover(parts: DataFrame, length: int, gram: int, group: int) -> DataFrame:
-    """The spans of parts (h, d, k, p, l, r) whose hashes are too frequent for one tree: groups are halved till they are small."""
+def split(parts: DataFrame, length: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """Parts (h, d, k, p, l, r) of hashes that are too frequent for one tree, in groups that are small enough, and in groups
+    that share the whole window from a bytes before the anchor: both (g, a, z, d, k, p, l, r)."""
     level = parts.select(F.col("h").alias("g"), F.lit(0).alias("a"), F.lit(length - gram).alias("z"), "d", "k", "p", "l", "r")
-    spans = None
+    small = windows = None
     while True:
         # written down, so that the join is one of plain tables, whose hot groups Spark can split
         halves = written(halved(level, length), "suffix-halves")
         sizes = written(halves.groupBy("g", "a", "z").agg(F.count("*").alias("n")).where("n > 1").select("g", "n", "a", "z"), "suffix-sizes")
         sized = halves.join(sizes.select("g", "n"), "g")
-        found = tree_cover(sized.where((F.col("n") <= group) & (F.col("a") < F.col("z"))), length, gram)
-        found = found.union(sized.where("a = z").select("d", "k", F.col("p") - F.col("a"), F.col("p") - F.col("a") + length))
-        spans = found if spans is None else spans.union(found)
+        one, two = (sized.where(c).drop("n") for c in ((F.col("n") <= group) & (F.col("a") < F.col("z")), F.col("a") == F.col("z")))
+        small, windows = (one, two) if small is None else (small.union(one), windows.union(two))
         large = (F.col("n") > group) & (F.col("a") < F.col("z"))
         if not sizes.where(large).limit(1).count():
-            return spans
+            return small, windows
         level = sized.where(large).drop("n")
 
 
@@ -293,21 +391,28 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("d"), row_key(F.col("doc_id"), F.col("text")).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
 
 
-def lost_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(d2, k2, spans) of the rows (d, k, t) that lose anything: the spans (s, e), unordered, to be clipped to the text."""
-    reach = length - gram
+def surroundings(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Anchors (h, s, d, k, p) whose hash occurs again, and their classes (h, s, n, one) of equal surroundings."""
     found = anchor_table(rows, length, gram)
-    # written down, so that the joins below are of plain tables, whose hot keys Spark can split
+    # written down, so that joins are of plain tables, whose hot keys Spark can split
     again = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-again")
     repeated = written(found.join(again, "h").select("h", "s", "d", "k", "p"), "suffix-anchors")
-    classes = written(repeated.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "p")).alias("one")), "suffix-classes")
+    return repeated, written(repeated.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "p")).alias("one")), "suffix-classes")
+
+
+def lost_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """(d2, k2, spans) of the rows (d, k, t) that lose anything: the spans (s, e), unordered, to be clipped to the text."""
+    reach = length - gram
+    repeated, classes = surroundings(rows, length, gram)
     identical = repeated.join(classes.where("n > 1").select("h", "s"), ["h", "s"]).select("d", "k", (F.col("p") - reach).alias("s"), (F.col("p") + length).alias("e"))
     many = written(classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "suffix-many")
     wanted = classes.join(many, "h").select("h", "m", "one.d", "one.k", "one.p")
     small = snippets(rows, wanted.where(F.col("m") <= group), length, gram)
     spans = identical.union(tree_cover(small.withColumnRenamed("h", "g"), length, gram))
     if many.where(F.col("m") > group).limit(1).count():
-        spans = spans.union(split_cover(snippets(rows, wanted.where(F.col("m") > group), length, gram), length, gram, group))
+        more, windows = split(snippets(rows, wanted.where(F.col("m") > group), length, gram), length, gram, group)
+        spans = spans.union(tree_cover(more, length, gram))
+        spans = spans.union(windows.select("d", "k", F.col("p") - F.col("a"), F.col("p") - F.col("a") + length))
     return spans.groupBy("d", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select(F.col("d").alias("d2"), F.col("k").alias("k2"), "spans")
 
 
@@ -330,6 +435,35 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
+def maximal_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """repeat, n_bytes, doc_id, start: the maximal repeats of at least length bytes, as groups with all occurrences.
+
+    A group (repeat: SHA-256 of its string) has a row for each place of the string; its places differ before and behind it,
+    so no longer string has the same ones. Strings are followed up to length - gram bytes before an anchor and length from
+    it: a longer repeat is several groups that overlap, each cut off there, and one in a hash of over `group` distinct
+    surroundings may be cut to length. The groups of a document together cover just the bytes that `removed` removes.
+    Null texts are empty; rows that repeat id and text have places of their own; an empty table gives an empty one; other
+    columns are ignored.
+    """
+    rows = keyed(documents)
+    repeated, classes = surroundings(rows, length, gram)
+    sized = classes.join(classes.groupBy("h").agg(F.count("*").alias("m")), "h").select("h", "n", "m", "one.d", "one.k", "one.p")
+    parts = written(snippets(rows, sized.select("h", "d", "k", "p"), length, gram).dropDuplicates(["h", "d", "k", "p"]).join(sized, ["h", "d", "k", "p"]), "repeat-parts")
+    found = tree_repeats(parts.where((F.col("m") > 1) & (F.col("m") <= group)).withColumnRenamed("h", "g"), length, gram)
+    # surroundings that are equal elsewhere are a group as they are
+    found = found.union(whole_repeats(parts.where((F.col("n") > 1) & (F.col("m") <= group)).select("l", "r", "d", "k", "p"), length, gram))
+    if parts.where(F.col("m") > group).limit(1).count():
+        hot = parts.where(F.col("m") > group)
+        # twice, so that they meet an equal in every half that they come to
+        hot = hot.union(hot.where("n > 1")).select("h", "d", "k", "p", "l", "r")
+        small, windows = split(hot, length, gram, group)
+        window = windows.select(F.expr("substring(l, octet_length(l) - a + 1, a)").alias("l"), F.expr(f"substring(r, 1, {length} - a)").alias("r"), "d", "k", "p")
+        found = found.union(tree_repeats(small, length, gram)).union(whole_repeats(window, length, gram))
+    # from one anchor of a class to all of them
+    named = written(found.join(classes.select("h", "s", "one.d", "one.k", "one.p"), ["d", "k", "p"]).select("h", "s", "repeat", "e", "n_bytes").distinct(), "repeat-found")
+    return repeated.join(named, ["h", "s"]).select("repeat", "n_bytes", F.col("d").alias("doc_id"), "k", (F.col("p") - F.col("e")).alias("start")).dropDuplicates(["repeat", "doc_id", "k", "start"]).drop("k")
+
+
 def removed(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 

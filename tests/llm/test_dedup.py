@@ -188,6 +188,35 @@ def chunks(text):
     return fingerprint.chunk_set(np.frombuffer(text.encode(), np.uint8))
 
 
+@pytest.mark.parametrize("length, gram, group", [(60, 12, 5_000), (40, 20, 5_000), (40, 20, 2)])
+def test_maximal_repeats(spark, docs, length, gram, group):
+    """Groups have all places of their string; together they cover what is removed."""
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    data = {i: (t or "").encode() for i, t in docs}
+    groups = {}
+    for r in suffix_dedup.maximal_repeats(spark.createDataFrame(docs, SCHEMA), length, gram, group).collect():
+        groups.setdefault((r["repeat"], r["n_bytes"]), []).append((r["doc_id"], r["start"]))
+    spans = {i: set() for i in data}
+    for (name, n), places in groups.items():
+        d, at = places[0]
+        text = data[d][at : at + n]
+        assert len(text) == n >= length and hashlib.sha256(text).hexdigest() == name
+        every = [(i, m) for i, x in data.items() for m in range(len(x) - n + 1) if x[m : m + n] == text]
+        assert sorted(places) == sorted(every) and len(every) > 1
+        for i, m in places:
+            spans[i] |= set(range(m, m + n))
+    for (i, _), (_, mask) in zip(docs, covered(docs, length), strict=True):
+        assert spans[i] == {j for j, x in enumerate(mask) if x}
+
+
+def test_repeats_of_a_small_array():
+    """abXcd, zbXcd and abXce around the anchor X: the sets that share a string of four, each as long as it goes."""
+    left, right = [b"ab", b"zb", b"ab"], [b"Xcd", b"Xcd", b"Xce"]
+    got = suffix_dedup.repeats(np.zeros(3, np.int64), left, right, 4, 1)
+    # bXc is three bytes; bXcd has two places, abXc two; all of b and Xcd's other sets go further to a side
+    assert sorted(got) == [(1, 3, [0, 1]), (2, 2, [0, 2])]
+
+
 def test_repeated_rows_are_cut_once_a_task(spark):
     """500 rows of one id and text and one that shares a part: a few snippets, and the same bytes go."""
     rng = random.Random(8)
