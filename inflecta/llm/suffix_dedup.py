@@ -20,10 +20,12 @@ corpus would move LENGTH times its size, so suffixes are sorted only where they
 `maximal_repeats` gives the repeats themselves, as groups with all their occurrences: a second stack scan in each interval,
 over the left extensions, finds the sets of members that extend alike, up to where they differ (`repeats`).
 
-However frequent a hash is, no group of suffixes that goes into a tree has more than GROUP rows. Windows that begin a to z
-bytes before an anchor all hold what lies from a bytes before it to LENGTH - z behind, so a larger group falls apart by the
-hash of just that, once for the near half of the windows and once for the far half: two suffixes that share a window meet
-again in one of the halves. Halves are cut again until they are small; those of one window only share it whole.
+However frequent a hash is, no group of suffixes that goes into a tree has more than GROUP rows: a larger one is the top of
+the tree, and is walked down by Spark. What all its members share around the anchor follows from the least and the greatest
+of them; if that reaches LENGTH, they are covered so far at once. What is left are windows that go further to the left or to
+the right. Windows that begin a to z bytes before an anchor all hold what lies from a bytes before it to LENGTH - z behind,
+so for them the group falls apart by the hash of just that: two suffixes that share a window meet again in its part. Parts
+that are still large are walked down in turn, each time over at most half of the windows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inflecta.llm._common import prefix_sums, row_key, slices, span_hash, utf8, written
@@ -190,14 +192,14 @@ class Tree:
 
 
 def tree(groups: np.ndarray, left: list[bytes], right: list[bytes], length: int, gram: int) -> Tree:
-    """left holds the bytes before an anchor, right those from it on; intervals of less than `gram` bytes are left out."""
+    """left holds the bytes before an anchor, backwards, right those from it on; shorter intervals than `gram` are left out."""
     n, reach = len(groups), length - gram
     rows, sizes = padded(right, length)
     common = neighbours_common(rows, sizes)
     common[1:][groups[1:] != groups[:-1]] = -1
     depth, low, high = (np.array(x, np.int64) for x in intervals(common.tolist()))
     use = depth >= gram
-    back, back_sizes = padded([x[::-1] for x in left], reach)
+    back, back_sizes = padded(left, reach)
     keys = np.concatenate([back, back_sizes.astype(">u2").view(np.uint8).reshape(n, 2)], 1)
     order = np.argsort(np.ascontiguousarray(keys).view(f"V{keys.shape[1]}").ravel(), kind="stable")
     rank = np.empty(n, np.int64)
@@ -253,7 +255,7 @@ def repeats(groups: np.ndarray, left: list[bytes], right: list[bytes], length: i
 
 
 def snippets(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, d, k, p, l, r): the bytes before and from the wanted anchors (h, d, k, p)."""
+    """(h, d, k, p, l, r): the bytes before, backwards, and from the wanted anchors (h, d, k, p)."""
 
     kinds = [*[pa.int64()] * 4, pa.binary(), pa.binary()]
 
@@ -272,7 +274,7 @@ def snippets(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
                 x = data[ends[i] : ends[i + 1]].tobytes()
                 for place in places:
                     p = place["p"]
-                    for column, value in zip(out, (place["h"], d, k, p, x[max(0, p - (length - gram)) : p], x[p : p + length]), strict=True):
+                    for column, value in zip(out, (place["h"], d, k, p, x[max(0, p - (length - gram)) : p][::-1], x[p : p + length]), strict=True):
                         column.append(value)
                     if len(out[0]) >= CUT_ROWS:
                         yield batch(out)
@@ -332,7 +334,7 @@ def tree_repeats(parts: DataFrame, length: int, gram: int) -> DataFrame:
         left, right = table.column("l").to_pylist(), table.column("r").to_pylist()
         out, at = [], []
         for e, depth, some in repeats(table.column("g").to_numpy(), left, right, length, gram):
-            text = left[some[0]][len(left[some[0]]) - e :] + right[some[0]][:depth]
+            text = left[some[0]][:e][::-1] + right[some[0]][:depth]
             if own_anchor(text, e, length, gram):
                 # the string itself names the group, whichever anchor finds it
                 out += [(hashlib.sha256(text).hexdigest(), e, e + depth)] * len(some)
@@ -349,7 +351,7 @@ def whole_repeats(parts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def scan(batches):
         for b in slices(batches):
-            rows = [(i, left + right, len(left)) for i, (left, right) in enumerate(zip(b.column("l").to_pylist(), b.column("r").to_pylist(), strict=True))]
+            rows = [(i, left[::-1] + right, len(left)) for i, (left, right) in enumerate(zip(b.column("l").to_pylist(), b.column("r").to_pylist(), strict=True))]
             rows = [r for r in rows if len(r[1]) >= length and own_anchor(r[1], r[2], length, gram)]
             take = pa.array([r[0] for r in rows], pa.int64())
             columns = [pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64())]
@@ -358,32 +360,58 @@ def whole_repeats(parts: DataFrame, length: int, gram: int) -> DataFrame:
     return parts.mapInArrow(scan, "repeat string, e long, n_bytes long, d long, k long, p long")
 
 
-def halved(parts: DataFrame, length: int) -> DataFrame:
-    """parts (g, a, z, d, k, p, l, r), of groups of windows that begin a to z bytes before the anchor, in two groups each."""
-    middle = F.floor((F.col("a") + F.col("z")) / 2).cast("int")
-    half = F.explode(F.array(F.struct(F.col("a").alias("a"), middle.alias("z")), F.struct((middle + 1).alias("a"), F.col("z").alias("z"))))
-    each = parts.withColumn("half", half).select("g", "half.a", "half.z", "d", "k", "p", "l", "r")
+def parted(parts: DataFrame, ranges: Column, length: int) -> DataFrame:
+    """parts (g, d, k, p, l, r) in groups of the windows of each of its ranges (structs a, z: windows that begin a to z bytes
+    before the anchor): (g, a, z, d, k, p, l, r), without the members that are too short for any such window."""
+    each = parts.withColumn("range", F.explode(ranges)).select("g", "range.a", "range.z", "d", "k", "p", "l", "r")
     each = each.where((F.octet_length("l") >= F.col("a")) & (F.octet_length("r") >= length - F.col("z")))
-    shared = F.concat(F.expr("substring(l, octet_length(l) - a + 1, a)"), F.expr(f"substring(r, 1, {length} - z)"))
+    shared = F.concat(F.expr("substring(l, 1, a)"), F.expr(f"substring(r, 1, {length} - z)"))
     return each.withColumn("g", F.xxhash64("g", "a", "z", shared))
 
 
+def common_to_all(parts: DataFrame) -> DataFrame:
+    """(g, n, e, f) of each group of several of parts (g, l, r): its size, and how many bytes before the anchor and from it
+    on all members share."""
+
+    def shared(batches):
+        def lcp(x: bytes, y: bytes) -> int:
+            n = min(len(x), len(y))
+            differs = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n))
+            return int(differs[0]) if len(differs) else n
+
+        for b in slices(batches):
+            sides = [[lcp(x, y) for x, y in zip(b.column(i).to_pylist(), b.column(i + 1).to_pylist(), strict=True)] for i in (2, 4)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int32()) for x in sides)], ["g", "n", "e", "f"])
+
+    # what the least and the greatest share, all share
+    ends = parts.groupBy("g").agg(F.count("*").alias("n"), F.min("l"), F.max("l"), F.min("r"), F.max("r")).where("n > 1")
+    return ends.mapInArrow(shared, "g long, n long, e int, f int")
+
+
 def split(parts: DataFrame, length: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """Parts (h, d, k, p, l, r) of hashes that are too frequent for one tree, in groups that are small enough, and in groups
-    that share the whole window from a bytes before the anchor: both (g, a, z, d, k, p, l, r)."""
+    """Parts (h, d, k, p, l, r) of hashes that are too frequent for one tree: groups (g, d, k, p, l, r) that are small enough,
+    and (d, k, p, l, r) with l and r cut to what all members of a larger group share, where that is of `length` at least."""
     level = parts.select(F.col("h").alias("g"), F.lit(0).alias("a"), F.lit(length - gram).alias("z"), "d", "k", "p", "l", "r")
-    small = windows = None
+    small = whole = None
     while True:
         # written down, so that the join is one of plain tables, whose hot groups Spark can split
-        halves = written(halved(level, length), "suffix-halves")
-        sizes = written(halves.groupBy("g", "a", "z").agg(F.count("*").alias("n")).where("n > 1").select("g", "n", "a", "z"), "suffix-sizes")
-        sized = halves.join(sizes.select("g", "n"), "g")
-        one, two = (sized.where(c).drop("n") for c in ((F.col("n") <= group) & (F.col("a") < F.col("z")), F.col("a") == F.col("z")))
-        small, windows = (one, two) if small is None else (small.union(one), windows.union(two))
-        large = (F.col("n") > group) & (F.col("a") < F.col("z"))
-        if not sizes.where(large).limit(1).count():
-            return small, windows
-        level = sized.where(large).drop("n")
+        level = written(level, "suffix-level")
+        groups = written(common_to_all(level), "suffix-groups")
+        sized = level.join(groups, "g")
+        one, large = sized.where(F.col("n") <= group).select("g", "d", "k", "p", "l", "r"), sized.where(F.col("n") > group)
+        reaches = F.col("e") + F.col("f") >= length
+        two = large.where(reaches).select("d", "k", "p", F.expr("substring(l, 1, e)").alias("l"), F.expr("substring(r, 1, f)").alias("r"))
+        small, whole = (one, two) if small is None else (small.union(one), whole.union(two))
+        if not groups.where(F.col("n") > group).limit(1).count():
+            return small, whole
+        # windows that go on beyond what is shared: to the right of it, and to the left; else all
+        middle = F.floor((F.col("a") + F.col("z")) / 2).cast("int")
+        span = lambda a, z: F.struct(a.cast("int").alias("a"), z.cast("int").alias("z"))
+        beyond = F.array(span(F.col("a"), F.least("z", length - 1 - F.col("f"))), span(F.greatest("a", F.col("e") + 1), F.col("z")))
+        halves = F.array(span(F.col("a"), middle), span(middle + 1, F.col("z")))
+        cut = lambda x: F.when(x["z"] - x["a"] > 8, F.array(span(x["a"], F.floor((x["a"] + x["z"]) / 2)), span(F.floor((x["a"] + x["z"]) / 2) + 1, x["z"]))).otherwise(F.array(x))
+        ranges = F.when(reaches, F.flatten(F.transform(beyond, cut))).otherwise(halves)
+        level = parted(large, F.filter(ranges, lambda x: x["a"] <= x["z"]), length)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -410,9 +438,9 @@ def lost_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group: i
     small = snippets(rows, wanted.where(F.col("m") <= group), length, gram)
     spans = identical.union(tree_cover(small.withColumnRenamed("h", "g"), length, gram))
     if many.where(F.col("m") > group).limit(1).count():
-        more, windows = split(snippets(rows, wanted.where(F.col("m") > group), length, gram), length, gram, group)
+        more, whole = split(snippets(rows, wanted.where(F.col("m") > group), length, gram), length, gram, group)
         spans = spans.union(tree_cover(more, length, gram))
-        spans = spans.union(windows.select("d", "k", F.col("p") - F.col("a"), F.col("p") - F.col("a") + length))
+        spans = spans.union(whole.select("d", "k", F.col("p") - F.octet_length("l"), F.col("p") + F.octet_length("r")))
     return spans.groupBy("d", "k").agg(F.collect_list(F.struct("s", "e")).alias("spans")).select(F.col("d").alias("d2"), F.col("k").alias("k2"), "spans")
 
 
@@ -440,8 +468,7 @@ def maximal_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
 
     A group (repeat: SHA-256 of its string) has a row for each place of the string; its places differ before and behind it,
     so no longer string has the same ones. Strings are followed up to length - gram bytes before an anchor and length from
-    it: a longer repeat is several groups that overlap, each cut off there, and one in a hash of over `group` distinct
-    surroundings may be cut to length. The groups of a document together cover just the bytes that `removed` removes.
+    it: a longer repeat is several groups that overlap, each cut off there. The groups of a document together cover just the bytes that `removed` removes.
     Null texts are empty; rows that repeat id and text have places of their own; an empty table gives an empty one; other
     columns are ignored.
     """
@@ -456,9 +483,8 @@ def maximal_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
         hot = parts.where(F.col("m") > group)
         # twice, so that they meet an equal in every half that they come to
         hot = hot.union(hot.where("n > 1")).select("h", "d", "k", "p", "l", "r")
-        small, windows = split(hot, length, gram, group)
-        window = windows.select(F.expr("substring(l, octet_length(l) - a + 1, a)").alias("l"), F.expr(f"substring(r, 1, {length} - a)").alias("r"), "d", "k", "p")
-        found = found.union(tree_repeats(small, length, gram)).union(whole_repeats(window, length, gram))
+        small, whole = split(hot, length, gram, group)
+        found = found.union(tree_repeats(small, length, gram)).union(whole_repeats(whole.select("l", "r", "d", "k", "p"), length, gram))
     # from one anchor of a class to all of them
     named = written(found.join(classes.select("h", "s", "one.d", "one.k", "one.p"), ["d", "k", "p"]).select("h", "s", "repeat", "e", "n_bytes").distinct(), "repeat-found")
     return repeated.join(named, ["h", "s"]).select("repeat", "n_bytes", F.col("d").alias("doc_id"), "k", (F.col("p") - F.col("e")).alias("start")).dropDuplicates(["repeat", "doc_id", "k", "start"]).drop("k")

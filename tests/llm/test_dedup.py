@@ -53,7 +53,7 @@ def covered(docs, n):
 
 @pytest.mark.parametrize("length, gram, group", [(200, 40, 5_000), (60, 12, 5_000), (60, 12, 3), (60, 12, 1), (40, 20, 5_000), (40, 20, 2)])
 def test_suffix_dedup(spark, docs, length, gram, group):
-    """group=3 halves all but the smallest groups, group=1 all of them, down to single windows."""
+    """group=3 walks all but the smallest groups down, group=1 all of them."""
     want = []
     for (doc_id, _), (d, mask) in zip(docs, covered(docs, length), strict=True):
         runs = sum(1 for i in range(len(mask)) if mask[i] and (not i or not mask[i - 1]))
@@ -211,7 +211,7 @@ def test_maximal_repeats(spark, docs, length, gram, group):
 
 def test_repeats_of_a_small_array():
     """abXcd, zbXcd and abXce around the anchor X: the sets that share a string of four, each as long as it goes."""
-    left, right = [b"ab", b"zb", b"ab"], [b"Xcd", b"Xcd", b"Xce"]
+    left, right = [b"ba", b"bz", b"ba"], [b"Xcd", b"Xcd", b"Xce"]
     got = suffix_dedup.repeats(np.zeros(3, np.int64), left, right, 4, 1)
     # bXc is three bytes; bXcd has two places, abXc two; all of b and Xcd's other sets go further to a side
     assert sorted(got) == [(1, 3, [0, 1]), (2, 2, [0, 2])]
