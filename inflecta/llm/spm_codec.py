@@ -57,19 +57,36 @@ def chunks_of(text: str | None) -> list[str]:
     return CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
 
-def segmented(chunks: list[str], path: str) -> tuple[list[str], list[str | None]]:
-    """Of each chunk the ids, joined by commas, and what they decode to if that is another text than the chunk."""
+def segmented(chunks: list[str], path: str) -> tuple[list[list[int]], list[str | None]]:
+    """Of each chunk the ids, and what they decode to if that is another text than the chunk."""
     sp = processor(path)
     # the library puts one marker before what it encodes, which is the chunk's first; alone it is a piece by itself
     ids = [x if len(c) > 1 else [sp.piece_to_id(MARK)] for c, x in zip(chunks, sp.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
     # behind another chunk the first marker is a space; decode() drops it only at the start of a text
     plain = [" " + t if c != " " else " " for c, t in zip(chunks, sp.decode(ids), strict=True)] if chunks else []
-    return [",".join(map(str, x)) for x in ids], [t if t != c else None for c, t in zip(chunks, plain, strict=True)]
+    return ids, [t if t != c else None for c, t in zip(chunks, plain, strict=True)]
 
 
 Entry = tuple[str, str]
 
 
+def entries(chunks: list[str], ids: list[list[int]], plain: list[str | None]) -> dict[str, Entry]:
+    """Of each chunk the ids, joined by commas, and the decoded text."""
+    return {c: (",".join(map(str, x)), c if p is None else p) for c, x, p in zip(chunks, ids, plain, strict=True)}
+
+
+def by_hash(chunks: set[str], parts: int) -> dict[int, list[str]]:
+    """The chunks in order, dealt into parts by their hash."""
+    out: dict[int, list[str]] = {}
+    for c in sorted(chunks):
+        out.setdefault(zlib.crc32(c.encode("utf-8", "surrogatepass")) % parts, []).append(c)
+    return out
+
+
+def checksum(chunks: list[str]) -> int:
+    return zlib.crc32("\n".join(chunks).encode("utf-8", "surrogatepass"))
+
+
 def put_together(text: str | None, table: dict[str, Entry]) -> tuple[str, str]:
     """The ids of a text, joined by commas, and the decoded text, from the entries (ids, decoded) of its chunks."""
     rows = [table[c] for c in chunks_of(text)]
@@ -115,10 +132,7 @@ def coded(rows: DataFrame, path: str, out: str, names: list[str], finish: Callab
                 for t in unblob(z).column("t").to_pylist():
                     found.setdefault(b, set()).update(chunks_of(t))
         for b, chunks in found.items():
-            parts: dict[int, list[str]] = {}
-            for c in sorted(chunks):
-                parts.setdefault(zlib.crc32(c.encode("utf-8", "surrogatepass")) % blocks, []).append(c)
-            for h, part in parts.items():
+            for h, part in by_hash(chunks, blocks).items():
                 yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32()), pa.array([b], pa.int32()), pa.array([blob(pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["c"]))], pa.binary())], ["h", "b", "z"])
 
     def table(batches):
@@ -129,8 +143,9 @@ def coded(rows: DataFrame, path: str, out: str, names: list[str], finish: Callab
             new = list(set().union(*lists))
             known = dict(zip(new, zip(*segmented(new, path), strict=True), strict=True))
             for (b, _), chunks in zip(held, lists, strict=True):
-                entries = pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), pa.array([known[c][0] for c in chunks], pa.string()), pa.array([known[c][1] for c in chunks], pa.string())], ["c", "i", "p"])
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob(entries)], pa.binary())], ["b", "z"])
+                # the block has its chunks in the same order, so the ids alone go back, with a checksum of what they belong to
+                rows = pa.RecordBatch.from_arrays([pa.array([known[c][0] for c in chunks], pa.list_(pa.int32())), pa.array([known[c][1] for c in chunks], pa.string())], ["i", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([now], pa.int32()), pa.array([checksum(chunks)], pa.int64()), pa.array([blob(rows)], pa.binary())], ["b", "h", "s", "z"])
 
         for batch in batches:
             for h, b, z in zip(*(batch.column(c).to_pylist() for c in ("h", "b", "z")), strict=True):
@@ -142,11 +157,17 @@ def coded(rows: DataFrame, path: str, out: str, names: list[str], finish: Callab
         if held:
             yield from rows_of()
 
-    def rebuilt(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        known: dict[str, Entry] = {}
-        for z in entries.column("z").to_pylist():
-            part = unblob(z)
-            known.update((c, (i, c if p is None else p)) for c, i, p in zip(*(part.column(n).to_pylist() for n in ("c", "i", "p")), strict=True))
+    def rebuilt(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        chunks: set[str] = set()
+        for z in texts.column("z").to_pylist():
+            for t in unblob(z).column("t").to_pylist():
+                chunks.update(chunks_of(t))
+        own, known = by_hash(chunks, blocks), {}
+        for h, s, z in zip(*(answers.column(c).to_pylist() for c in ("h", "s", "z")), strict=True):
+            part, rows = own.pop(h), unblob(z)
+            if checksum(part) != s:
+                raise ValueError("a block's texts have changed between two readings of them")
+            known.update(entries(part, rows.column("i").to_pylist(), rows.column("p").to_pylist()))
         done = []
         for z in texts.column("z").to_pylist():
             part = unblob(z)
@@ -157,8 +178,8 @@ def coded(rows: DataFrame, path: str, out: str, names: list[str], finish: Callab
     schema = "".join(f"`{n}` {k}, " for n, k in rows.select(*rest).dtypes)
     texts = dealt.mapInArrow(packed, "b int, z binary").repartition(blocks, "b")
     asked = texts.mapInArrow(distinct, "h int, b int, z binary")
-    entries = asked.repartition(blocks, "h").sortWithinPartitions("h", "b").mapInArrow(table, "b int, z binary")
-    return texts.groupBy("b").cogroup(entries.groupBy("b")).applyInArrow(rebuilt, schema + out)
+    answers = asked.repartition(blocks, "h").sortWithinPartitions("h", "b").mapInArrow(table, "b int, h int, s long, z binary")
+    return texts.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(rebuilt, schema + out)
 
 
 def encode(documents: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:

@@ -344,7 +344,7 @@ def test_sentencepiece_equals_the_library(spark, piece_model):
     for t in texts:
         ids = sp.encode(t)
         chunks = spm_codec.chunks_of(t)
-        table = {c: (i, c if p is None else p) for c, i, p in zip(chunks, *spm_codec.segmented(chunks, piece_model), strict=True)}
+        table = spm_codec.entries(chunks, *spm_codec.segmented(chunks, piece_model))
         assert spm_codec.put_together(t, table) == (",".join(map(str, ids)), sp.decode(ids)), t
     rows = spark.createDataFrame([*enumerate(texts), (None, None), (5, texts[5])], "doc_id long, text string").repartition(3)
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
