@@ -352,3 +352,15 @@ def test_clashing_columns_and_nulls(spark, apply):
     rows = [(None, None, *names), (1, None, *[None] * len(names)), (2, "a\nb\nc " * 80, *names), (3, "a\nb\nc " * 80, *names)]
     got = apply(spark.createDataFrame(rows, f"{SCHEMA}, " + ", ".join(f"{n} string" for n in names)))
     assert len(got.select("doc_id").collect()) == 4
+
+
+def test_very_long_texts(spark):
+    """A text of a million words, and one of 300,000 lines, most of them the lines of another."""
+    words = " ".join(f"w{i % 9973}x{i}" for i in range(1_000_000))
+    rows = spark.createDataFrame([(1, words), (2, words + " more")], SCHEMA)
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(rows).collect()}
+    assert got[1]["component_id"] == got[2]["component_id"] == 1 and got[1]["fingerprint"] == f"{simhash.fingerprint(words):016x}"
+    lines = [f"line {i}" for i in range(300_000)]
+    rows = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["first", *lines[:200_000], "last"]))], SCHEMA)
+    got = {r["doc_id"]: r for r in line_dedup.deduplicated(rows).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["text"] == "first\nlast" and got[2]["n_removed"] == 200_000
