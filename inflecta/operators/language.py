@@ -51,7 +51,7 @@ def routed(texts: DataFrame, facts: DataFrame, languages: list[str]) -> DataFram
     letters = [chr(65 + i) for i in range(len(languages))]
     letter = lambda lang: F.coalesce(*[F.when(lang == g, x) for g, x in zip(languages, letters, strict=True)], F.lit("-"))
     known = F.array_join(F.transform(F.filter("langs", lambda x: F.size(x["lemmas"]) > 0), lambda x: letter(x["lang"])), "")
-    each = texts.select("id", F.posexplode("tokens").alias("pos", "surface"))
+    each = texts.select("id", F.posexplode_outer("tokens").alias("pos", "surface")).where("surface is not null")
     told = facts.select(F.col("token").alias("surface"), letter(F.col("detected")).alias("d"), known.alias("m"), "langs")
     listed = each.join(told, "surface", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "surface", "d", "m", "langs"))).alias("w"))
 

@@ -138,13 +138,14 @@ class MorphEngine:
         return out.select("token", "detected", F.coalesce("langs", F.expr("cast(array() as array<struct<lang:string,lemmas:array<string>>>)")).alias("langs"))
 
     def lemma_keys(self, each: DataFrame) -> DataFrame:
-        """(token, rank, key): the keys that words (column `token`, in any number) have besides themselves, in one language.
+        """(token, more): the keys that words (column `token`, in any number) have besides themselves, in one language.
 
         Distinct words are written down before they are analysed, so that texts are read once for them; and the keys are,
         so that the join of texts to them is one of plain tables, which Spark can broadcast by size or split at hot words.
         """
         vocabulary = written(each.select("token").distinct(), "vocabulary")
-        return written(self.lemmas(vocabulary).where("word <> token").select("token", "rank", F.col("word").alias("key")), "lemma-keys")
+        listed = self.lemmas(vocabulary).where("word <> token").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("w"))
+        return written(listed.select("token", F.transform("w", lambda x: x["word"]).alias("more")), "lemma-keys")
 
     def describe(self, texts: DataFrame) -> DataFrame:
         """texts (id, tokens, state) to (id, words): surface and keys of every word, in order; state: the first language."""
@@ -152,16 +153,14 @@ class MorphEngine:
             words = F.transform("tokens", lambda w, i: F.struct(i.cast("int").alias("pos"), w.alias("surface"), F.lit(None).cast("string").alias("lang"), F.array(w).alias("keys")))
             return texts.select("id", F.coalesce(words, F.expr(f"cast(array() as {_WORDS})")).alias("words"))
         if len(self.languages) > 1:
-            vocabulary = texts.select(F.explode(F.array_distinct("tokens")).alias("token"))
+            vocabulary = texts.select(F.explode_outer(F.array_distinct("tokens")).alias("token")).where("token is not null")
             facts = written(self.analysis(written(vocabulary.distinct(), "vocabulary")), "facts")
             return language.routed(texts, facts, self.languages)
-        return self._joined_words(texts, self.lemma_keys(texts.select(F.explode("tokens").alias("token"))))
+        return self._joined_words(texts, self.lemma_keys(texts.select(F.explode_outer("tokens").alias("token")).where("token is not null")))
 
-    def _joined_words(self, texts: DataFrame, keys: DataFrame) -> DataFrame:
+    def _joined_words(self, texts: DataFrame, listed: DataFrame) -> DataFrame:
         """With one language every word is analysed in it, and no order matters: words meet their keys in a join."""
-        each = texts.select("id", F.posexplode("tokens").alias("pos", "token"))
-        listed = keys.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("more"))
-        listed = written(listed, "listed-keys")  # so that the join below is one of plain tables
+        each = texts.select("id", F.posexplode_outer("tokens").alias("pos", "token")).where("token is not null")
         lang = F.when(~T.is_garbage("token"), F.lit(self.main_language))
         word = F.struct("pos", F.col("token").alias("surface"), lang.alias("lang"), F.concat(F.coalesce("more", F.expr("cast(array() as array<string>)")), F.array("token")).alias("keys"))
         words = each.join(listed, "token", "left").groupBy("id").agg(F.array_sort(F.collect_list(word)).alias("words"))
@@ -177,14 +176,15 @@ class MorphEngine:
         if len(self.languages) > 1:
             words = self.describe(texts)
             return DocIndex(sizes, words, search.postings(words), search.lexemes(words))
-        each = texts.select("id", F.posexplode("tokens").alias("pos", "surface"))
-        once = texts.select("id", F.explode(F.array_distinct("tokens")).alias("surface"))
+        # outer, as Spark would else find the words of each text a second time, to see whether there are any
+        each = texts.select("id", F.posexplode_outer("tokens").alias("pos", "surface")).where("surface is not null")
+        once = texts.select("id", F.explode_outer(F.array_distinct("tokens")).alias("surface")).where("surface is not null")
         if not self.languages:
             return DocIndex(sizes, self.describe(texts), each.withColumn("key", F.col("surface")), once.withColumn("key", F.col("surface")))
-        keys = self.lemma_keys(once.select(F.col("surface").alias("token")))
-        more = keys.select(F.col("token").alias("surface"), "key")
-        keyed = lambda rows: rows.withColumn("key", F.col("surface")).union(rows.join(more, "surface").select(*rows.columns, "key"))
-        return DocIndex(sizes, self._joined_words(texts, keys), keyed(each), keyed(once))
+        listed = self.lemma_keys(once.select(F.col("surface").alias("token")))
+        every = F.concat(F.array("surface"), F.coalesce("more", F.array().cast("array<string>")))
+        keyed = lambda rows: rows.join(listed.withColumnRenamed("token", "surface"), "surface", "left").select(*rows.columns, F.explode(every).alias("key"))
+        return DocIndex(sizes, self._joined_words(texts, listed), keyed(each), keyed(once))
 
     def phrase_lines(self, pieces: DataFrame) -> DataFrame:
         """pieces (phrase_id, piece_no, text) to described lines (phrase_id, piece_no, line_no, exact, words).

@@ -148,3 +148,23 @@ def test_query(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_missing_module_of_others_is_not_taken_for_a_missing_subpackage(monkeypatch):
+    import builtins
+
+    real = builtins.__import__
+
+    def without(name):
+        def load(wanted, *args, **kwargs):
+            if wanted == "corpus_pipeline":
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+            return real(wanted, *args, **kwargs)
+
+        return load
+
+    monkeypatch.setattr(builtins, "__import__", without("some_hash_library"))
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__.queries()
+    monkeypatch.setattr(builtins, "__import__", without("corpus_pipeline"))
+    assert set(__spark_entry__.queries()) == set(QUERIES)
