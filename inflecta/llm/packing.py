@@ -65,7 +65,7 @@ def pieces(length: int, greatest: int) -> list[tuple[int, int]]:
 def pack(documents: DataFrame, length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
     """doc_id, piece, start, length, bin_id, bin_offset and bin_capacity: one row per piece of every document.
 
-    length defaults to the bytes of text (the tokens of a byte-level model). Documents of no length (null and empty texts)
+    Ids are numbers, or text of numbers. length defaults to the bytes of text (the tokens of a byte-level model). Documents of no length (null and empty texts)
     have one row of piece 0 and length 0 without a bin. Ties in length go by doc_id (nulls first) and a hash of the text;
     repeated rows are packed one by one. An empty table gives an empty one; other columns are ignored.
     """

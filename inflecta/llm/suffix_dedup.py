@@ -493,7 +493,7 @@ def maximal_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
 def removed(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
-    Null texts are empty; texts under `length` bytes lose nothing; repeated rows (same id and text) repeat each other and
+    Ids are numbers, or text of numbers. Null texts are empty; texts under `length` bytes lose nothing; repeated rows (same id and text) repeat each other and
     lose what they share; an empty table gives an empty one; other columns are ignored.
     """
 
@@ -516,7 +516,7 @@ def removed(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
 def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """The rows, all columns, with the repeated bytes gone from text (null stays null) and n_chars, if there, anew.
 
-    Where a run begins or ends inside a character, the bytes that are left of it are dropped too.
+    Ids are numbers, or text of numbers; rows that repeat id and text lose the same bytes. An empty table gives an empty one. Where a run begins or ends inside a character, the bytes that are left of it are dropped too.
     """
     lost = lost_spans(keyed(documents), length, gram, group)
     names = documents.columns
