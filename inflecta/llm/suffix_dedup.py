@@ -43,12 +43,12 @@ from inflecta.llm._common import prefix_sums, row_key, slices, span_hash, utf8,
 
 LENGTH = 200
 GRAM = 40
-#: Rows of a group that is put into one tree: as many as a worker holds anyway.
-GROUP = 20_000
+#: Rows of a group that is put into one tree: about 160 MB in a worker.
+GROUP = 100_000
 #: What a worker holds at once: bytes of a text, surroundings cut out, suffixes of the tree, and members of intervals.
 BLOCK = 1 << 18
 CUT_ROWS = 16_384
-CHUNK_ROWS = GROUP
+CHUNK_ROWS = 20_000
 MEMBERS = 500_000
 
 
