@@ -50,6 +50,8 @@ BLOCK = 1 << 18
 CUT_ROWS = 16_384
 CHUNK_ROWS = 20_000
 MEMBERS = 500_000
+#: Rows that are laid out or compared at once, where that takes a few times their bytes.
+STRIP = 4_096
 
 
 def _slide(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -125,19 +127,29 @@ def anchor_table(rows: DataFrame, length: int, gram: int) -> DataFrame:
 # --- the enhanced suffix array of a run of groups ---
 
 
-def padded(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of `width` bytes, zero behind each part, and the parts' lengths."""
-    out = np.zeros((len(parts), width), np.uint8)
-    for i, x in enumerate(parts):
-        out[i, : len(x)] = np.frombuffer(x, np.uint8)
-    return out, np.array([len(x) for x in parts], np.int64)
+def padded(parts: list[bytes] | pa.Array | pa.ChunkedArray, width: int, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of `width` bytes, zero behind each part, and `more` zeros at their ends; and the parts' lengths."""
+    data, ends = utf8(pa.array(parts, pa.binary()) if isinstance(parts, list) else parts)
+    sizes = np.diff(ends)
+    out = np.zeros((len(sizes), width + more), np.uint8)
+    for at in range(0, len(sizes), STRIP):
+        some = sizes[at : at + STRIP]
+        out[at : at + STRIP, :width][np.arange(width) < some[:, None]] = data[ends[at] : ends[at + len(some)]]
+    return out, sizes
 
 
-def neighbours_common(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """c[i]: common prefix of rows i-1 and i; c[0] = 0."""
-    differs = rows[1:] != rows[:-1]
-    first = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
-    return np.concatenate([[0], np.minimum(first, np.minimum(lengths[1:], lengths[:-1]))]).astype(np.int64)
+def neighbours_common(rows: np.ndarray, lengths: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """c[i]: common prefix of rows i-1 and i, taken in this order; c[0] = 0."""
+    n, width = rows.shape
+    order = np.arange(n) if order is None else order
+    common = np.zeros(n, np.int64)
+    for at in range(1, n, STRIP):
+        upto = min(n, at + STRIP)
+        some, sizes = rows[order[at - 1 : upto]], lengths[order[at - 1 : upto]]
+        differs = some[1:] != some[:-1]
+        first = np.where(differs.any(1), differs.argmax(1), width)
+        common[at:upto] = np.minimum(first, np.minimum(sizes[1:], sizes[:-1]))
+    return common
 
 
 def intervals(common: list[int]) -> tuple[list[int], list[int], list[int]]:
@@ -191,27 +203,26 @@ class Tree:
             at = upto
 
 
-def tree(groups: np.ndarray, left: list[bytes], right: list[bytes], length: int, gram: int) -> Tree:
+def tree(groups: np.ndarray, left: list[bytes] | pa.ChunkedArray, right: list[bytes] | pa.ChunkedArray, length: int, gram: int) -> Tree:
     """left holds the bytes before an anchor, backwards, right those from it on; shorter intervals than `gram` are left out."""
     n, reach = len(groups), length - gram
-    rows, sizes = padded(right, length)
-    common = neighbours_common(rows, sizes)
+    common = neighbours_common(*padded(right, length))
     common[1:][groups[1:] != groups[:-1]] = -1
     depth, low, high = (np.array(x, np.int64) for x in intervals(common.tolist()))
     use = depth >= gram
-    back, back_sizes = padded(left, reach)
-    keys = np.concatenate([back, back_sizes.astype(">u2").view(np.uint8).reshape(n, 2)], 1)
-    order = np.argsort(np.ascontiguousarray(keys).view(f"V{keys.shape[1]}").ravel(), kind="stable")
+    back, back_sizes = padded(left, reach, 2)
+    back[:, reach:] = back_sizes.astype(">u2").view(np.uint8).reshape(n, 2)
+    order = np.argsort(back.view(f"V{reach + 2}").ravel(), kind="stable")
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    least = [neighbours_common(back[order], back_sizes[order])]
+    least = [neighbours_common(back[:, :reach], back_sizes, order)]
     while 2 ** len(least) <= n:
         half = 2 ** (len(least) - 1)
         least.append(np.minimum(least[-1][:-half], least[-1][half:]))
     return Tree(depth[use], low[use], high[use], rank, least)
 
 
-def covers(groups: np.ndarray, left: list[bytes], right: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def covers(groups: np.ndarray, left: list[bytes] | pa.ChunkedArray, right: list[bytes] | pa.ChunkedArray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For suffixes in order of (group, right): how far each is covered to the left and right of its anchor; 0, 0 if not."""
     t = tree(groups, left, right, length, gram)
     to_left, to_right = np.full(len(groups), -1, np.int64), np.zeros(len(groups), np.int64)
@@ -315,7 +326,7 @@ def tree_cover(parts: DataFrame, length: int, gram: int) -> DataFrame:
     """(d, k, s, e): spans covered according to the interval tree of the suffixes of each group g."""
 
     def run(table: pa.Table) -> pa.RecordBatch:
-        a, z = covers(table.column("g").to_numpy(), table.column("l").to_pylist(), table.column("r").to_pylist(), length, gram)
+        a, z = covers(table.column("g").to_numpy(), table.column("l"), table.column("r"), length, gram)
         on = np.flatnonzero(z)
         p, take = table.column("p").to_numpy()[on], pa.array(on)
         flat = lambda c: table.column(c).combine_chunks().take(take)
