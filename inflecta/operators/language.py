@@ -69,10 +69,10 @@ def routed(texts: DataFrame, facts: DataFrame, languages: list[str]) -> DataFram
         return F.struct(w["pos"].alias("pos"), w["surface"].alias("surface"), lang.alias("lang"), keys.alias("keys"))
 
     first = F.struct(letter(F.col("state")).alias("s"), F.lit("").alias("out"))
-    path = F.aggregate(F.coalesce("w", F.array().cast(listed.schema["w"].dataType)), first, step, lambda at: F.split(at["out"], ""))
-    folded = texts.select("id", "state").join(listed, "id", "left").withColumn("path", path)
-    words = F.transform(F.coalesce("w", F.array().cast(listed.schema["w"].dataType)), lambda w, i: word(w, F.col("path")[i]))
-    return folded.select("id", words.alias("words"))
+    own = F.coalesce("w", F.array().cast(listed.schema["w"].dataType))
+    # an argument beside the words: within a lambda, Spark would fold the whole text again for each of its words
+    path = F.aggregate(own, first, step, lambda at: F.slice(F.split(at["out"], ""), 1, F.length(at["out"])))
+    return texts.select("id", "state").join(listed, "id", "left").select("id", F.zip_with(own, path, word).alias("words"))
 
 
 def word_forms(asked: DataFrame, forms: DataFrame, detected: DataFrame, main: str | None) -> DataFrame:
