@@ -17,7 +17,10 @@ LANGUAGE_MARK, EXACT_MARK = "|", "!"
 
 def normalize(text: Column | str) -> Column:
     """Lower case by code point: each gives one, whatever stands beside it."""
-    return F.lower(F.translate(text, SPECIAL_UPPER, SPECIAL_LOWER))
+    text = F.col(text) if isinstance(text, str) else text
+    for upper, lower in zip(SPECIAL_UPPER, SPECIAL_LOWER, strict=True):  # translate would look up each character
+        text = F.replace(text, F.lit(upper), F.lit(lower))
+    return F.lower(text)
 
 
 def tokens(text: Column | str, lower: bool = True) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inflecta.functions.text import is_garbage
+from inflecta.sources.shared import by_sort, meet
 
 
 def detect(words: DataFrame, known: DataFrame, languages: DataFrame) -> DataFrame:
     """(token, detected): the language that knows the longest suffix, ties to the earlier one; null if none, or garbage."""
-    best = known.join(languages, "lang").groupBy("token").agg(F.max_by("lang", F.struct("known_len", -F.col("lang_ord"))).alias("found"))
-    joined = words.join(best, "token", "left")
+    best = meet(known, languages, "lang").groupBy("token").agg(F.max_by("lang", F.struct("known_len", -F.col("lang_ord"))).alias("found"))
+    joined = by_sort(words, best, "token", "left")
     return joined.select("token", F.when(~is_garbage("token"), F.col("found")).alias("detected"))
 
 
@@ -53,7 +54,7 @@ def routed(texts: DataFrame, facts: DataFrame, languages: list[str]) -> DataFram
     known = F.array_join(F.transform(F.filter("langs", lambda x: F.size(x["lemmas"]) > 0), lambda x: letter(x["lang"])), "")
     each = texts.select("id", F.posexplode_outer("tokens").alias("pos", "surface")).where("surface is not null")
     told = facts.select(F.col("token").alias("surface"), letter(F.col("detected")).alias("d"), known.alias("m"), "langs")
-    listed = each.join(told, "surface", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "surface", "d", "m", "langs"))).alias("w"))
+    listed = meet(each, told, "surface", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "surface", "d", "m", "langs"))).alias("w"))
 
     def step(at, w):
         own = w["m"].contains(at["s"])  # no word has the letter of no state
@@ -72,7 +73,7 @@ def routed(texts: DataFrame, facts: DataFrame, languages: list[str]) -> DataFram
     own = F.coalesce("w", F.array().cast(listed.schema["w"].dataType))
     # an argument beside the words: within a lambda, Spark would fold the whole text again for each of its words
     path = F.aggregate(own, first, step, lambda at: F.slice(F.split(at["out"], ""), 1, F.length(at["out"])))
-    return texts.select("id", "state").join(listed, "id", "left").select("id", F.zip_with(own, path, word).alias("words"))
+    return by_sort(texts.select("id", "state"), listed, "id", "left").select("id", F.zip_with(own, path, word).alias("words"))
 
 
 def word_forms(asked: DataFrame, forms: DataFrame, detected: DataFrame, main: str | None) -> DataFrame:
@@ -83,8 +84,8 @@ def word_forms(asked: DataFrame, forms: DataFrame, detected: DataFrame, main: st
     null if there are no forms, which is one row without a word.
     """
     has = forms.select("token", "lang").distinct()
-    own = asked.join(has.select("token", F.col("lang").alias("suggested"), F.lit(True).alias("own")), ["token", "suggested"], "left")
-    own = own.join(detected, "token", "left").withColumn("lang", F.when(F.col("own"), F.col("suggested")).otherwise(F.coalesce("detected", F.lit(main))))
-    found = own.join(forms, ["token", "lang"], "left")
+    own = by_sort(asked, has.select("token", F.col("lang").alias("suggested"), F.lit(True).alias("own")), ["token", "suggested"], "left")
+    own = by_sort(own, detected, "token", "left").withColumn("lang", F.when(F.col("own"), F.col("suggested")).otherwise(F.coalesce("detected", F.lit(main))))
+    found = by_sort(own, forms, ["token", "lang"], "left")
     answer = F.when(F.col("word").isNull(), F.lit(None)).when(F.col("own"), F.col("suggested")).otherwise(F.col("detected"))
     return found.select("token", "suggested", answer.alias("detected"), "word", "frequency", "ancode", "rank")

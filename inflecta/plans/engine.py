@@ -1,11 +1,12 @@
 """The engine: one lexicon and the operators on it, as methods over DataFrames.
 
 Words are analysed once per distinct word and joined back per distinct (document, word); postings meet phrases by key.
-All joins are left to Spark, which broadcasts a lexicon table only if it is small.
+Tables of the lexicon are broadcast if they have few rows; nothing that grows with a corpus is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,7 +17,7 @@ from inflecta.functions import text as T
 from inflecta.operators import analyze, forms, language, search
 from inflecta.sources import lexicon as source
 from inflecta.sources.lexicon import Lexicon
-from inflecta.sources.shared import spread, written
+from inflecta.sources.shared import by_sort, generation, meet, spread, written
 
 
 _WORDS = "array<struct<pos:int,surface:string,lang:string,keys:array<string>>>"
@@ -46,6 +47,8 @@ class MorphEngine:
 
     def __init__(self, spark: SparkSession, lexicon: Lexicon | None = None):
         self.spark, self.lexicon = spark, lexicon
+        self._given: dict[str, DataFrame] = {}
+        self._kept: dict[str, tuple[int, DataFrame]] = {}
         # a lexicon has a handful of languages and prefixes: dimensions, not data
         self.languages = [r["lang"] for r in lexicon.languages.orderBy("lang_ord").collect()] if lexicon else []
 
@@ -73,31 +76,45 @@ class MorphEngine:
         """From what build has written."""
         out = cls(spark, source.read_tables(spark, path))
         for name in ("forms", "suffixes", "guesses"):
-            out.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+            out._given[name] = spark.read.parquet(f"{path}/{name}")
         return out
 
     def close(self) -> None:
-        """Forgets the derived tables, which are kept in Spark's cache till then (in memory, or on disk if they are large)."""
+        """Forgets the derived tables, which stay in the shared folder until its tables are deleted."""
         self.__dict__.pop("prefixes", None)
-        for name in ("forms", "suffixes", "guesses"):
-            if name in self.__dict__:
-                self.__dict__.pop(name).unpersist()
+        self._kept.clear()
+
+    def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table of the lexicon, written down once: by its files alone it is known to be small."""
+        if name in self._given:
+            return self._given[name]
+        if name not in self._kept or self._kept[name][0] != generation():
+            self._kept[name] = (generation(), written(make(), name))
+        return self._kept[name][1]
 
     @property
     def main_language(self) -> str | None:
         return self.languages[0] if self.languages else None
 
-    @cached_property
+    @property
     def forms(self) -> DataFrame:
-        return forms.distinct_forms(forms.generate_forms(self.lexicon)).persist()
+        return self._table("forms", lambda: forms.distinct_forms(forms.generate_forms(self.lexicon)))
 
-    @cached_property
+    @property
     def suffixes(self) -> DataFrame:
-        return forms.suffix_index(self.forms).persist()
+        return self._table("suffixes", lambda: forms.suffix_index(self.forms))
 
-    @cached_property
+    @property
     def guesses(self) -> DataFrame:
-        return forms.guess_index(self.forms).persist()
+        return self._table("guesses", lambda: forms.guess_index(self.forms))
+
+    @property
+    def flex(self) -> DataFrame:
+        return self._table("flex", lambda: self.lexicon.flex)
+
+    @property
+    def language_order(self) -> DataFrame:
+        return self._table("languages", lambda: self.lexicon.languages)
 
     @cached_property
     def prefixes(self) -> dict[str, list[str]]:
@@ -116,25 +133,26 @@ class MorphEngine:
 
     def lemmas(self, words: DataFrame) -> DataFrame:
         """(token, lang, word, frequency, ancode, rank)."""
-        return analyze.ranked_words(self.candidates(words), self.lexicon.flex, True)
+        return analyze.ranked_words(self.candidates(words), self.flex, True)
 
     def word_forms(self, words: DataFrame, distinct_ancodes: bool = False) -> DataFrame:
         """All forms of the words that each may be: (token, lang, word, frequency, ancode, rank)."""
-        return analyze.ranked_words(self.candidates(words), self.lexicon.flex, False, distinct_ancodes)
+        return analyze.ranked_words(self.candidates(words), self.flex, False, distinct_ancodes)
 
     def contextual_forms(self, asked: DataFrame) -> DataFrame:
         """asked (token, suggested language or null) to (token, suggested, detected, word, frequency, ancode, rank)."""
+        asked = written(asked, "asked")
         vocabulary = written(asked.select("token").distinct(), "vocabulary")
         return language.word_forms(asked, written(self.word_forms(vocabulary), "word-forms"), self.detect_language(vocabulary), self.main_language)
 
     def detect_language(self, words: DataFrame) -> DataFrame:
-        return language.detect(words, self.known_suffix(words), self.lexicon.languages)
+        return language.detect(words, self.known_suffix(words), self.language_order)
 
     def analysis(self, words: DataFrame) -> DataFrame:
         """(token, detected, langs): of each word that isn't garbage, its language and its lemmas in each."""
-        lists = analyze.lemma_lists(self.candidates(words), self.lexicon.flex)
+        lists = analyze.lemma_lists(self.candidates(words), self.flex)
         by_word = lists.groupBy("token").agg(F.collect_list(F.struct("lang", "lemmas")).alias("langs"))
-        out = self.detect_language(words.where(~T.is_garbage("token"))).join(by_word, "token", "left")
+        out = by_sort(self.detect_language(words.where(~T.is_garbage("token"))), by_word, "token", "left")
         return out.select("token", "detected", F.coalesce("langs", F.expr("cast(array() as array<struct<lang:string,lemmas:array<string>>>)")).alias("langs"))
 
     def lemma_keys(self, each: DataFrame) -> DataFrame:
@@ -163,8 +181,8 @@ class MorphEngine:
         each = texts.select("id", F.posexplode_outer("tokens").alias("pos", "token")).where("token is not null")
         lang = F.when(~T.is_garbage("token"), F.lit(self.main_language))
         word = F.struct("pos", F.col("token").alias("surface"), lang.alias("lang"), F.concat(F.coalesce("more", F.expr("cast(array() as array<string>)")), F.array("token")).alias("keys"))
-        words = each.join(listed, "token", "left").groupBy("id").agg(F.array_sort(F.collect_list(word)).alias("words"))
-        return texts.select("id").join(words, "id", "left").select("id", F.coalesce("words", F.expr(f"cast(array() as {_WORDS})")).alias("words"))
+        words = meet(each, listed, "token", "left").groupBy("id").agg(F.array_sort(F.collect_list(word)).alias("words"))
+        return by_sort(texts.select("id"), words, "id", "left").select("id", F.coalesce("words", F.expr(f"cast(array() as {_WORDS})")).alias("words"))
 
     # --- documents and phrases ---
 
@@ -183,7 +201,7 @@ class MorphEngine:
             return DocIndex(sizes, self.describe(texts), each.withColumn("key", F.col("surface")), once.withColumn("key", F.col("surface")))
         listed = self.lemma_keys(once.select(F.col("surface").alias("token")))
         every = F.concat(F.array("surface"), F.coalesce("more", F.array().cast("array<string>")))
-        keyed = lambda rows: rows.join(listed.withColumnRenamed("token", "surface"), "surface", "left").select(*rows.columns, F.explode(every).alias("key"))
+        keyed = lambda rows: meet(rows, listed.withColumnRenamed("token", "surface"), "surface", "left").select(*rows.columns, F.explode(every).alias("key"))
         return DocIndex(sizes, self._joined_words(texts, listed), keyed(each), keyed(once))
 
     def phrase_lines(self, pieces: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +37,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < SMALL * cores else df
 
 
+#: Rows up to which a table is sent whole to every executor.
+FEW = 50_000
+
+
+def meet(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a written table, which is broadcast if it has few rows; else both sides are sorted, and hot keys split.
+
+    Spark goes by the size of a table's files, in which words take a tenth of what they take in memory, however often they are
+    exploded behind them; by that it would send the words of a corpus through the driver. rows never go there.
+    """
+    few = table.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(table), on, how) if few else by_sort(rows, table, on, how)
+
+
+def by_sort(rows: DataFrame, others: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that grow with the corpus: neither is sent to the driver."""
+    return rows.hint("merge").join(others, on, how)
+
+
 _tables: list[str] = []
+_forgotten = 0
+
+
+def generation() -> int:
+    """Grows each time that tables are forgotten: what was written under a smaller number is gone."""
+    return _forgotten
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -49,6 +75,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that this process has written; what was computed from them can't be computed again."""
+    global _forgotten
+    _forgotten += 1
     jvm = spark.sparkContext._jvm
     while _tables:
         path = jvm.org.apache.hadoop.fs.Path(_tables.pop())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from inflecta.operators import language
 from inflecta.plans.engine import DocIndex, MorphEngine
 from inflecta.sources import fixture as X
+from inflecta.sources.shared import written
 from tests.model import Model
 
 RU = (X.RU_MODELS, X.RU_LEMMAS, [])
@@ -203,3 +204,16 @@ def test_a_long_text_is_folded_once(spark):
     assert took < 15, took
     empty = language.routed(asked, told, ["en", "de"]).where("id in (3, 4)")
     assert [r.words for r in empty.collect()] == [[], []]
+
+
+def joins(df):
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+
+
+def test_words_are_never_broadcast(spark):
+    e = MorphEngine(spark, X.lexicon(spark, ("en", "de")))
+    asked = tokens(spark, ["cats", "walks", "schauen"]).withColumn("suggested", F.lit("en"))
+    vocabulary = written(asked.select("token"), "test-words")
+    for df in (e.word_forms(vocabulary), e.analysis(vocabulary), e.contextual_forms(asked)):
+        assert joins(df) and all("strategy=" in x for x in joins(df))
+        assert all("rightHint=(strategy=broadcast)" in x or "leftHint=(strategy=merge)" in x for x in joins(df))
