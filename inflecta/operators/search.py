@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inflecta.sources.shared import meet
+
 
 def postings(words: DataFrame) -> DataFrame:
     """(id, pos, surface, key) of texts (id, words)."""
@@ -29,21 +31,38 @@ def probes(lines: DataFrame) -> DataFrame:
     return each.select("phrase_id", "piece_no", "line_no", "n", F.col("w.pos").alias("token_no"), F.explode(keys).alias("key"))
 
 
-def matches(posts: DataFrame, once: DataFrame, asked: DataFrame, same_id: bool = False) -> DataFrame:
+def by_surface(asked: DataFrame, more: DataFrame | None) -> DataFrame:
+    """probes with the surface that meets them in place of the key: the key itself, or a word that has it by more (surface, key).
+
+    Each surface meets a word of a line once, whichever of its keys they share.
+    """
+    own = asked.withColumnRenamed("key", "surface")
+    if more is not None:
+        own = own.unionByName(meet(more, asked, "key").select(own.columns))
+    return own.distinct()
+
+
+def matches(posts: DataFrame, once: DataFrame, asked: DataFrame, parts: int, same_id: bool = False) -> DataFrame:
     """(id, phrase_id, piece_no, surface): the distinct texts that the lines of a piece match in a document.
 
     A line matches consecutive words of which each shares a key with the line's word there; what is matched are the
-    document's surfaces. One-word lines need no positions: they meet the lexemes (`once`), so a frequent word costs one row
-    a document. Both joins have plain sides, so Spark can broadcast the phrases by size or split hot words. same_id: a phrase is only looked for in the document of its own id.
+    document's surfaces. asked is a written table. posts, once and asked meet by key, or by surface where the columns are
+    surfaces. One-word lines need no positions: they meet the lexemes (`once`), so a frequent word costs one row
+    a document. same_id: a phrase is only looked for in the document of its own id.
+
+    What is found is dealt by document into `parts` (by the size of the texts), so that a task holds as much of a large corpus
+    as of a small one. What follows groups by document as well: the matches move once.
     """
-    on = ["key", "id"] if same_id else ["key"]
+    by = "key" if "key" in asked.columns else "surface"
+    on = [by, "id"] if same_id else [by]
     asked = asked.withColumn("id", F.col("phrase_id")) if same_id else asked
-    single = once.join(asked.where("n = 1").drop("n", "token_no", "line_no"), on).select("id", "phrase_id", "piece_no", "surface")
-    hits = posts.join(asked.where("n > 1"), on).select("id", "phrase_id", "piece_no", "line_no", "n", (F.col("pos") - F.col("token_no")).alias("start"), "token_no", "surface").distinct()
+    single = meet(once, asked.where("n = 1").drop("n", "token_no", "line_no"), on).select("id", "phrase_id", "piece_no", "surface")
+    if asked.where("n > 1").isEmpty():
+        return single.repartition(parts, "id").distinct()
+    hits = meet(posts, asked.where("n > 1"), on).select("id", "phrase_id", "piece_no", "line_no", "n", (F.col("pos") - F.col("token_no")).alias("start"), "token_no", "surface").repartition(parts, "id").distinct()
     whole = hits.groupBy("id", "phrase_id", "piece_no", "line_no", "n", "start").agg(F.array_sort(F.collect_list(F.struct("token_no", "surface"))).alias("w")).where(F.size("w") == F.col("n"))
     phrase = F.array_join(F.transform("w", lambda x: x["surface"]), " ")
-    # dealt by document, which what follows groups by as well: the matches move once
-    return single.union(whole.select("id", "phrase_id", "piece_no", phrase.alias("surface"))).repartition("id").distinct()
+    return single.union(whole.select("id", "phrase_id", "piece_no", phrase.alias("surface"))).repartition(parts, "id").distinct()
 
 
 def joined_matches(found: DataFrame) -> DataFrame:
@@ -60,9 +79,9 @@ def covered_bytes(found: DataFrame) -> DataFrame:
 def covered_by_pieces(per_text: DataFrame, pieces: DataFrame) -> DataFrame:
     """(id, phrase_id, covered) from what each distinct piece text covers (id, phrase_id: that text, covered).
 
-    pieces: (phrase_id, text, times). A piece text is matched once, however many searches share it.
+    pieces: (phrase_id, text, times), written. A piece text is matched once, however many searches share it.
     """
-    each = per_text.withColumnRenamed("phrase_id", "text").join(pieces, "text")
+    each = meet(per_text.withColumnRenamed("phrase_id", "text"), pieces, "text")
     return each.groupBy("id", "phrase_id").agg(F.sum(F.col("covered") * F.col("times")).alias("covered"))
 
 

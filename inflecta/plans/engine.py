@@ -17,7 +17,7 @@ from inflecta.functions import text as T
 from inflecta.operators import analyze, forms, language, search
 from inflecta.sources import lexicon as source
 from inflecta.sources.lexicon import Lexicon
-from inflecta.sources.shared import by_sort, generation, meet, spread, written
+from inflecta.sources.shared import by_sort, generation, meet, parts_of, spread, written
 
 
 _WORDS = "array<struct<pos:int,surface:string,lang:string,keys:array<string>>>"
@@ -31,6 +31,11 @@ class DocIndex:
     words: DataFrame
     postings: DataFrame
     lexemes: DataFrame
+    parts: int
+    #: (id, pos, surface), (id, surface) and (surface, key) of keys besides the surface, where keys don't depend on the text
+    each: DataFrame | None = None
+    once: DataFrame | None = None
+    more: DataFrame | None = None
 
     def write(self, path: str) -> None:
         """The index as Parquet; postings come from the words again."""
@@ -39,7 +44,7 @@ class DocIndex:
     @staticmethod
     def read(spark: SparkSession, path: str) -> DocIndex:
         rows = spark.read.parquet(path)
-        return DocIndex(rows.select("id", "byte_len"), rows.select("id", "words"), search.postings(rows.select("id", "words")), search.lexemes(rows.select("id", "words")))
+        return DocIndex(rows.select("id", "byte_len"), rows.select("id", "words"), search.postings(rows.select("id", "words")), search.lexemes(rows.select("id", "words")), parts_of(rows))
 
 
 class MorphEngine:
@@ -193,16 +198,16 @@ class MorphEngine:
         sizes = rows.select("id", F.coalesce(T.byte_length("t"), F.lit(0).cast("long")).alias("byte_len"))
         if len(self.languages) > 1:
             words = self.describe(texts)
-            return DocIndex(sizes, words, search.postings(words), search.lexemes(words))
+            return DocIndex(sizes, words, search.postings(words), search.lexemes(words), parts_of(rows))
         # outer, as Spark would else find the words of each text a second time, to see whether there are any
         each = texts.select("id", F.posexplode_outer("tokens").alias("pos", "surface")).where("surface is not null")
         once = texts.select("id", F.explode_outer(F.array_distinct("tokens")).alias("surface")).where("surface is not null")
         if not self.languages:
-            return DocIndex(sizes, self.describe(texts), each.withColumn("key", F.col("surface")), once.withColumn("key", F.col("surface")))
+            return DocIndex(sizes, self.describe(texts), each.withColumn("key", F.col("surface")), once.withColumn("key", F.col("surface")), parts_of(rows), each, once)
         listed = self.lemma_keys(once.select(F.col("surface").alias("token")))
         every = F.concat(F.array("surface"), F.coalesce("more", F.array().cast("array<string>")))
         keyed = lambda rows: meet(rows, listed.withColumnRenamed("token", "surface"), "surface", "left").select(*rows.columns, F.explode(every).alias("key"))
-        return DocIndex(sizes, self._joined_words(texts, listed), keyed(each), keyed(once))
+        return DocIndex(sizes, self._joined_words(texts, listed), keyed(each), keyed(once), parts_of(rows), each, once, listed.select(F.col("token").alias("surface"), F.explode("more").alias("key")))
 
     def phrase_lines(self, pieces: DataFrame) -> DataFrame:
         """pieces (phrase_id, piece_no, text) to described lines (phrase_id, piece_no, line_no, exact, words).
@@ -225,7 +230,15 @@ class MorphEngine:
     def matches(self, index: DocIndex, phrases: DataFrame, id_col: str = "phrase_id", text_col: str = "phrase", normalize: bool = True, by_space: bool = False, same_id: bool = False) -> DataFrame:
         """(id, phrase_id, piece_no, surface): see operators.search.matches."""
         asked = search.probes(self.phrase_lines(self._pieces(phrases, id_col, text_col, normalize, by_space)))
-        return search.matches(index.postings, index.lexemes, asked, same_id)
+        return self._matched(index, asked, same_id)
+
+    def _matched(self, index: DocIndex, asked: DataFrame, same_id: bool = False) -> DataFrame:
+        """Matches of probes. Where keys don't depend on the text, probes look their surfaces up, and texts need no keys."""
+        asked = written(asked, "probes")
+        if index.each is None:
+            return search.matches(index.postings, index.lexemes, asked, index.parts, same_id)
+        asked = written(search.by_surface(asked, index.more), "probes")
+        return search.matches(index.each, index.once, asked, index.parts, same_id)
 
     def search(self, index: DocIndex, phrases: DataFrame, **options) -> DataFrame:
         """(id, phrase_id, result) of the pairs that match; every other pair's result is the empty text."""
@@ -239,7 +252,7 @@ class MorphEngine:
         if compat and pairs is not None:
             return pairs.select("id", "phrase_id", F.lit(1).alias("contained"))
         found = self.matches(index, phrases, **options).select("id", "phrase_id").distinct().withColumn("contained", F.lit(1))
-        return found if pairs is None else pairs.join(found, ["id", "phrase_id"], "left").fillna(0, ["contained"])
+        return found if pairs is None else by_sort(pairs.repartition(index.parts, "id"), found, ["id", "phrase_id"], "left").fillna(0, ["contained"])
 
     def intersect(self, index: DocIndex, searches: DataFrame, id_col: str = "search_id", text_col: str = "search", guard: bool = True, normalize_search: bool = True, pairs: DataFrame | None = None, same_id: bool = False) -> DataFrame:
         """(id, phrase_id, score): the share of a document that the words of a search text cover.
@@ -250,13 +263,13 @@ class MorphEngine:
         if same_id:
             found = search.covered_bytes(self.matches(index, searches, id_col, text_col, normalize_search, True, True))
         else:
-            pieces = self._pieces(searches, id_col, text_col, normalize_search, True).groupBy("phrase_id", "text").agg(F.count("*").alias("times"))
+            pieces = written(self._pieces(searches, id_col, text_col, normalize_search, True).groupBy("phrase_id", "text").agg(F.count("*").alias("times")), "pieces")
             texts = pieces.select(F.col("text").alias("phrase_id"), F.lit(0).alias("piece_no"), "text").distinct()
-            per_text = search.covered_bytes(search.matches(index.postings, index.lexemes, search.probes(self.phrase_lines(texts))))
+            per_text = search.covered_bytes(self._matched(index, search.probes(self.phrase_lines(texts))))
             found = search.covered_by_pieces(per_text, pieces)
         if pairs is not None:
-            found = pairs.join(found, ["id", "phrase_id"], "left")
-        sized = found.join(index.sizes, "id").join(searches.select(F.col(id_col).alias("phrase_id"), F.coalesce(T.byte_length(text_col), F.lit(0).cast("long")).alias("search_len")), "phrase_id")
+            found = by_sort(pairs.repartition(index.parts, "id"), found, ["id", "phrase_id"], "left")
+        sized = meet(by_sort(found, index.sizes.repartition(index.parts, "id"), "id"), searches.select(F.col(id_col).alias("phrase_id"), F.coalesce(T.byte_length(text_col), F.lit(0).cast("long")).alias("search_len")), "phrase_id")
         return sized.select("id", "phrase_id", search.score(F.col("covered"), F.col("byte_len"), F.col("search_len"), guard).alias("score"))
 
     def intersect_pairs(self, rows: DataFrame, id_col: str, doc_col: str, search_col: str, guard: bool = True) -> DataFrame:

@@ -37,6 +37,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < SMALL * cores else df
 
 
+#: Bytes of stored texts for each part that what is found in them is dealt into.
+PART = 2 << 20
+
+
+def parts_of(df: DataFrame) -> int:
+    """Parts for what is made of texts: their number grows with the texts, so that no part does. Rows of unknown size don't count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 50)
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(size // PART, 20_000))
+
+
 #: Rows up to which a table is sent whole to every executor.
 FEW = 50_000
 

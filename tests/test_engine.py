@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from inflecta.operators import language
 from inflecta.plans.engine import DocIndex, MorphEngine
 from inflecta.sources import fixture as X
+from inflecta.sources import shared
 from inflecta.sources.shared import written
 from tests.model import Model
 
@@ -217,3 +218,17 @@ def test_words_are_never_broadcast(spark):
     for df in (e.word_forms(vocabulary), e.analysis(vocabulary), e.contextual_forms(asked)):
         assert joins(df) and all("strategy=" in x for x in joins(df))
         assert all("rightHint=(strategy=broadcast)" in x or "leftHint=(strategy=merge)" in x for x in joins(df))
+
+
+def test_parts_grow_with_the_texts_alone(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("id as doc_id", "string(id) as text").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    one = spark.createDataFrame([(-1, "")], "doc_id long, text string")  # its size isn't known
+    assert shared.parts_of(docs.union(one)) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(shared, "PART", 100)
+    assert shared.parts_of(docs) > spark.sparkContext.defaultParallelism
+    asked = spark.createDataFrame([(1, "7")], "phrase_id long, phrase string")
+    e = MorphEngine.identity(spark)
+    found = e.matches(e.index(docs), asked)
+    assert found.rdd.getNumPartitions() == shared.parts_of(docs)
+    assert [tuple(r) for r in found.collect()] == [(7, 1, 0, "7")]
