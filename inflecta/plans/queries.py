@@ -14,7 +14,7 @@ from inflecta.plans import oracle as O
 from inflecta.plans.engine import MorphEngine
 from inflecta.sources import fixture as X
 from inflecta.sources import lexicon as L
-from inflecta.sources.shared import shared_dir, spread
+from inflecta.sources.shared import by_sort, shared_dir, spread, written
 from inflecta.streaming import tokens as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -297,9 +297,10 @@ _piece_docs = "SELECT CAST(unnest(range(len(p))) AS VARCHAR) || '#' || id AS id,
 def q29_doc_array_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("text").dropna().distinct()
     pieces = turns.select("text", F.posexplode(T.split_docs("text", ".!?\n")).alias("n", "t")).select(F.concat(F.col("n").cast("string"), F.lit("#"), "text").alias("id"), "t")
-    e = engine(spark)
-    found = e.intersect(e.index(pieces, "id", "t"), table(spark, sf_dir, "benchmark"), "item_id", "text", False)
-    return found.select(F.col("id").alias("piece"), F.col("phrase_id").alias("item_id"), "score")
+    # numbers, as an id that holds the whole turn would go along with each word
+    pieces, e = written(pieces.withColumn("no", F.monotonically_increasing_id()), "pieces"), engine(spark)
+    found = e.intersect(e.index(pieces, "no", "t"), table(spark, sf_dir, "benchmark"), "item_id", "text", False).withColumnRenamed("id", "no")
+    return by_sort(found, pieces.select("no", "id"), "no").select(F.col("id").alias("piece"), F.col("phrase_id").alias("item_id"), "score")
 
 
 @query(f"WITH {O.TOKENS} SELECT doc_id AS id, pos, token, regexp_matches(token, '{O.GARBAGE}') AS garbage FROM tok")
